@@ -84,24 +84,27 @@ def reply_strip_chat(decoded: Column, prompt: Column | None = None, markers=ASSI
     return own_words.otherwise(strip(decoded))
 
 
-def ratio4(correct: Column, total: Column) -> Column:
-    """``correct / total`` rounded to 4 places; NULL when the total is 0.
+def round4(value: Column) -> Column:
+    """A double from 0 to 1 rounded to 4 places by its exact binary value.
 
-    The binary quotient decides the rounding: exact ties go to the even digit (1/32 gives
-    0.0312), other decimal ties go to whichever side the double lies on.  Only a tie needs
-    the exact comparison, so the common path is one division and one ROUND.
+    SQL ROUND works on the printed decimal and breaks ties upward; here an exact tie goes
+    to the even digit (1/32 gives 0.0312) and any other tie to the side its double lies
+    on.  Only a printed tie takes the exact path, the rest is one ROUND.
     """
-    c, t = correct.cast("bigint"), total.cast("bigint")
-    quotient = c / t
-    halves = F.try_divide(c * 20000, t).cast("bigint")       # value in half units of 1e-4
-    tie = (F.try_mod(c * 20000, t) == 0) & (halves % 2 == 1)
-    scaled = quotient * F.lit(float(2**62))                   # exact: a power of two
+    printed = value.cast("decimal(12,5)")
+    units = (printed * 100000).cast("bigint")
+    tie = (units % 10 == 5) & (printed.cast("double") == value)
+    low = F.floor(units / F.lit(10))
+    scaled = value * F.lit(float(2**62))  # exact: a power of two
     whole = scaled.cast("bigint")
-    wide = "decimal(38,0)"
-    excess = (whole.cast("decimal(19,0)") * F.lit(20000).cast("decimal(5,0)")
-              - halves.cast("decimal(10,0)") * F.lit(2**62).cast("decimal(19,0)")).cast(wide)
-    excess = excess.cast("double") + (scaled - whole.cast("double")) * 20000
-    down, up = (halves - 1) / F.lit(2), (halves + 1) / F.lit(2)
-    even = F.when(down % 2 == 0, down).otherwise(up)
-    on_tie = F.when(excess > 0, up).when(excess < 0, down).otherwise(even) / F.lit(10000)
-    return F.when(t != 0, F.when(tie, on_tie).otherwise(F.round(quotient, 4)))
+    above = (
+        whole.cast("decimal(19,0)") * F.lit(100000).cast("decimal(6,0)")
+        - units.cast("decimal(7,0)") * F.lit(2**62).cast("decimal(19,0)")
+    ).cast("double") + (scaled - whole.cast("double")) * 100000
+    up = (above > 0) | ((above == 0) & (low % 2 == 1))
+    return F.when(tie, (low + up.cast("int")) / F.lit(10000)).otherwise(F.round(value, 4))
+
+
+def ratio4(correct: Column, total: Column) -> Column:
+    """``correct / total`` rounded to 4 places; NULL when the total is 0."""
+    return round4(F.try_divide(correct.cast("double"), total.cast("double")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.functions.text import strip
+from docsieve.functions.text import round4, strip
 
 # Line order inside a page: the page number of the word record comes last.
 LINE_KEYS = ("block_num", "par_num", "line_num", "page_num")
@@ -38,14 +38,16 @@ def ocr_lines(words: DataFrame, min_confidence: float = 0.0) -> DataFrame:
         F.min(F.col("top").cast("int")).alias("_top"),
         F.max(edge("left", "width")).alias("_right"),
         F.max(edge("top", "height")).alias("_bottom"),
-        F.round(F.avg("confidence"), 4).alias("confidence"),
+        # decimal sum: the same result in whatever order partial sums are merged
+        F.sum(F.col("confidence").cast("decimal(18,8)")).alias("_confidence"),
         F.count(F.lit(1)).alias("word_count"),
     )
     return lines.select(
         *PAGE_KEYS, *LINE_KEYS,
         F.array_join(F.transform("_words", lambda w: w["text"]), " ").alias("text"),
         F.array("_left", "_top", "_right", "_bottom").alias("bbox"),
-        "confidence", "word_count",
+        round4(F.col("_confidence").cast("double") / F.col("word_count")).alias("confidence"),
+        "word_count",
     )
 
 

@@ -14,7 +14,6 @@ from docsieve.functions.jsonreply import json_tree, leaves, node
 from docsieve.functions.text import is_blank
 
 FIELD_ENTRIES = "array<struct<key:string,kind:string,value:string>>"
-_NONE = F.lit(None)
 
 
 def _optional(condition: Column, message) -> Column:
