@@ -167,6 +167,7 @@ def _tree_batch(replies: pa.Array, container_text: bool) -> pa.Array:
     return pa.StructArray.from_arrays(
         [pa.array(errors, pa.string()), pa.array(kinds, pa.string()), level.to_array()],
         names=["error", "kind", "nodes"],
+        mask=replies.is_null(),
     )
 
 
