@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -69,33 +70,40 @@ def brace_objects(text: str) -> list[str]:
     return found
 
 
+def _candidates(reply: str) -> Iterator[str]:
+    text = reply.strip()
+    for body in FENCE.findall(text):
+        yield body.strip()
+    if text[:1] == "{" and text[-1:] == "}":
+        yield text
+    yield from brace_objects(text)  # only reached, and scanned, when the others fail
+
+
 def candidate_texts(reply: str) -> list[str]:
     """Texts that may be JSON: fence bodies, the whole reply, brace objects; no repeats."""
-    text = reply.strip()
-    whole = [text] if text[:1] == "{" and text[-1:] == "}" else []
-    bodies = [body.strip() for body in FENCE.findall(text)]
-    return [c for c in dict.fromkeys(bodies + whole + brace_objects(text)) if c]
+    return list(dict.fromkeys(filter(None, _candidates(reply))))
 
 
 def first_json(reply: str) -> tuple[int | None, str | None, object, str | None]:
     """(position, candidate, value, error) of the first candidate that parses."""
-    error = None
-    for pos, candidate in enumerate(candidate_texts(reply)):
+    tried, error = {}, None
+    for candidate in filter(None, _candidates(reply)):
+        if candidate in tried:
+            continue
         try:
-            return pos, candidate, json.loads(candidate), None
+            return len(tried), candidate, json.loads(candidate), None
         except (ValueError, RecursionError) as exc:
-            error = error or dims.MALFORMED_JSON + str(exc)
+            tried[candidate] = error = error or dims.MALFORMED_JSON + str(exc)
     return None, None, None, error or dims.NO_JSON_OBJECT
 
 
+_KINDS = {
+    str: "string", int: "number", float: "number", bool: "boolean", type(None): "null", dict: "object", list: "array",
+}
+
+
 def _kind(value) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, str):
-        return "string"
-    return {dict: "object", list: "array"}.get(type(value), "number")
+    return _KINDS[type(value)]
 
 
 def _utf8(text: str) -> str:
@@ -114,28 +122,28 @@ class _Level:
     def add_children(self, container) -> None:
         """Append the entries of one object or array (nothing for other values)."""
         if isinstance(container, dict):
-            entries = container.items()
-        elif isinstance(container, list):
-            entries = ((None, element) for element in container)
+            self.keys += map(_utf8, container)
+            elements = container.values()
         else:
-            entries = ()
-        for key, value in entries:
-            kind = _kind(value)
-            self.keys.append(None if key is None else _utf8(key))
+            elements = container if isinstance(container, list) else ()
+            self.keys += [None] * len(elements)
+        for value in elements:
+            kind = _KINDS[type(value)]
             self.kinds.append(kind)
-            self.values.append(self._text(kind, value))
-            if self.inner is not None:
-                self.inner.add_children(value)
+            if kind == "string":
+                text = _utf8(value)
+            elif kind in ("object", "array"):
+                text = _utf8(json.dumps(value, ensure_ascii=False, separators=(",", ":"))) if self.container_text else None
+            else:
+                text = None if value is None else str(value)
+            self.values.append(text)
         self.offsets.append(len(self.keys))
-
-    def _text(self, kind: str, value) -> str | None:
-        if kind == "string":
-            return _utf8(value)
-        if kind in ("object", "array"):
-            if not self.container_text:
-                return None
-            return _utf8(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
-        return None if value is None else str(value)
+        if self.inner is not None:
+            for value in elements:
+                if value and isinstance(value, (dict, list)):
+                    self.inner.add_children(value)
+                else:
+                    self.inner.offsets.append(self.inner.offsets[-1])
 
     def to_array(self) -> pa.ListArray:
         arrays = [pa.array(col, pa.string()) for col in (self.keys, self.kinds, self.values)]
@@ -239,6 +247,15 @@ def json_tree(reply: Column, container_text: bool = False) -> Column:
     return _kernel(kernel, TREE)(_maybe_json(reply, r"\{|```|^[\s\x1c-\x1f\x85\p{Z}]*\["))
 
 
+def explode_rows(df, column: Column, pos: str, *names: str):
+    """``posexplode`` of a computed array or map.
+
+    The plain form makes the optimizer infer a non-empty filter, pushed down with a second
+    copy of the computation; the outer form plus a filter on its position does not.
+    """
+    return df.select(*df.columns, F.posexplode_outer(column).alias(pos, *names)).filter(F.col(pos).isNotNull())
+
+
 def node(nodes: Column, key: str) -> Column:
     """The entry with this key (keys are unique), NULL when absent."""
     return F.get(F.filter(nodes, lambda n: n["key"] == key), F.lit(0))

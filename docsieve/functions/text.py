@@ -23,6 +23,15 @@ MATCH_NOISE = r"[^\p{L}\p{N}_./-]+"
 MATCH_EDGES = "./- "
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A column captured inside a lambda is evaluated for every element once the optimizer
+    has inlined it; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove all leading and trailing white space, line breaks included."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -42,9 +51,11 @@ def lines(text: Column) -> Column:
 def norm_text(text: Column) -> Column:
     """Value text without quotes, edges and trailing punctuation; placeholders give NULL."""
     bare = strip(F.btrim(strip(text), F.lit("\"'")))
-    bare = F.rtrim(bare, F.lit(WHITESPACE + ",.;"))
-    no_value = F.lower(bare).isin(*dims.NULL_TOKENS) | bare.rlike(dims.PLACEHOLDER_PATTERN)
-    return F.when(~no_value, bare)
+    return let(
+        F.rtrim(bare, F.lit(WHITESPACE + ",.;")),
+        lambda value: F.when(
+            ~(F.lower(value).isin(*dims.NULL_TOKENS) | value.rlike(dims.PLACEHOLDER_PATTERN)), value),
+    )
 
 
 def norm_value(value: Column, kind: Column | None = None) -> Column:
@@ -57,7 +68,7 @@ def norm_value(value: Column, kind: Column | None = None) -> Column:
 def norm_field_name(name: Column) -> Column:
     """Snake-case a field name and resolve synonyms."""
     snake = F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))
-    return F.coalesce(F.try_element_at(dims.literal_map(dims.FIELD_ALIASES), snake), snake)
+    return let(snake, lambda key: F.coalesce(F.try_element_at(dims.literal_map(dims.FIELD_ALIASES), key), key))
 
 
 def norm_match(value: Column) -> Column:

@@ -13,7 +13,7 @@ def json_candidates(replies: DataFrame, reply: str = "response") -> DataFrame:
     """One row per candidate JSON text: the input columns but the reply, plus pos and text."""
     found = replies.withColumn("_found", jsonreply.json_candidates(F.col(reply)))
     keep = [c for c in replies.columns if c != reply]
-    return found.select(*keep, F.posexplode("_found").alias("pos", "candidate"))
+    return jsonreply.explode_rows(found, F.col("_found"), "pos", "candidate").select(*keep, "pos", "candidate")
 
 
 def json_first_valid(replies: DataFrame, reply: str = "response") -> DataFrame:
@@ -37,6 +37,6 @@ def json_entries(replies: DataFrame, reply: str = "response") -> DataFrame:
     """Top-level entries of each reply's payload in document order (key NULL for arrays)."""
     shredded = replies.withColumn("_tree", jsonreply.json_tree(F.col(reply), container_text=True))
     keep = [c for c in replies.columns if c != reply]
-    return shredded.select(
-        *keep, F.col("_tree.kind").alias("payload_kind"), F.posexplode("_tree.nodes").alias("pos", "_node")
-    ).select(*keep, "payload_kind", "pos", "_node.key", "_node.kind", "_node.value")
+    rows = jsonreply.explode_rows(shredded, F.col("_tree.nodes"), "pos", "_node")
+    return rows.select(
+        *keep, F.col("_tree.kind").alias("payload_kind"), "pos", "_node.key", "_node.kind", "_node.value")

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.functions.text import exact_match, norm_match, ratio4, strip
+from docsieve.functions.jsonreply import explode_rows
+from docsieve.functions.text import exact_match, let, norm_match, ratio4, strip
 
 # ---- Fixed values: names of the strict metrics, in report order ---------------------------
 STRICT_METRICS = (
@@ -47,7 +48,8 @@ def qa_exact_match(pairs: DataFrame, predicted: str = "predicted", expected: str
 
 def per_field_match(predicted: Column, expected: Column) -> Column:
     """``map<field, boolean>`` over the expected fields; a missing prediction is NULL."""
-    return F.transform_values(expected, lambda name, value: exact_match(F.try_element_at(predicted, name), value))
+    return let(predicted, lambda found: F.transform_values(
+        expected, lambda name, value: exact_match(F.try_element_at(found, name), value)))
 
 
 def with_field_accuracy(joined: DataFrame, predicted: str = "fields", expected: str = "expected_fields") -> DataFrame:
@@ -87,14 +89,15 @@ def with_table_accuracy(joined: DataFrame, predicted: str = "table", expected: s
 
     Extra predicted rows and cells cost nothing; an empty expected row is never correct.
     """
-    def row_matches(row: Column, i: Column) -> Column:
-        return F.transform(row, lambda cell, j: F.get(F.get("_predicted", i), j).eqNullSafe(cell))
+    def matches(predicted_rows: Column) -> Column:
+        return F.transform("_expected", lambda row, i: let(F.get(predicted_rows, i), lambda found: F.transform(
+            row, lambda cell, j: F.get(found, j).eqNullSafe(cell))))
 
     return (
         joined
         .withColumn("_predicted", _normal_rows(F.col(f"{predicted}.rows")))
         .withColumn("_expected", _normal_rows(F.col(expected)))
-        .withColumn("_match", F.transform("_expected", row_matches))
+        .withColumn("_match", let(F.col("_predicted"), matches))
         .withColumn("expected_rows", F.greatest(F.size("_expected"), F.lit(0)))
         .withColumn("predicted_rows", F.greatest(F.size("_predicted"), F.lit(0)))
         .withColumn("correct_rows", F.size(F.filter(
@@ -172,8 +175,9 @@ def strict_metrics(results: DataFrame, samples: DataFrame, on: str = "sample_id"
     """
     rows = results.join(samples, on)
     expected = F.col("expected_fields")
-    hits = F.filter(F.map_entries(expected), lambda e: strip(_entry_text(F.col("field_entries"), e["key"])) == strip(
-        F.coalesce(e["value"], F.lit("None"))))
+    hits = let(F.col("field_entries"), lambda found: F.filter(
+        F.map_entries(expected),
+        lambda e: strip(_entry_text(found, e["key"])) == strip(F.coalesce(e["value"], F.lit("None")))))
     same = lambda a, b: F.when(b.isNotNull(), F.coalesce((a == b).cast("double"), F.lit(0.0)))
     folded = lambda name: F.lower(strip(F.col(name)))
     scores = (
@@ -188,8 +192,8 @@ def strict_metrics(results: DataFrame, samples: DataFrame, on: str = "sample_id"
     metrics = F.array(*[F.struct(F.lit(name).alias("metric"), score.alias("score"))
                         for name, score in zip(STRICT_METRICS, scores)])
     keep = [c for c in ("model", "dataset", "task", on, "latency_seconds", "memory_mb") if c in rows.columns]
-    return rows.select(*keep, F.explode(metrics).alias("_m")).select(*keep, "_m.metric", "_m.score").filter(
-        F.col("score").isNotNull())
+    long = explode_rows(rows.withColumn("_metrics", metrics), F.col("_metrics"), "_at", "_m")
+    return long.select(*keep, "_m.metric", "_m.score").filter(F.col("score").isNotNull())
 
 
 def bench_summary(metrics: DataFrame, *group_by: str) -> DataFrame:

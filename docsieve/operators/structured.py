@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions import dims
-from docsieve.functions.jsonreply import json_tree, leaves, node
-from docsieve.functions.text import is_blank
+from docsieve.functions.jsonreply import explode_rows, json_tree, leaves, node
+from docsieve.functions.text import is_blank, let
 
 FIELD_ENTRIES = "array<struct<key:string,kind:string,value:string>>"
 
@@ -97,9 +97,8 @@ def structured_parse(
         F.lit(None).cast(FIELD_ENTRIES))
     nested = F.coalesce(nested, F.array().cast(FIELD_ENTRIES))
     nested_keys = F.transform(nested, lambda n: n["key"])
-    flat = F.transform(
-        F.array_except(moved, nested_keys),
-        lambda k: F.element_at(F.filter(leaves(top), lambda n: n["key"] == k), 1))
+    flat = let(leaves(top), lambda known: F.transform(
+        F.array_except(moved, nested_keys), lambda k: node(known, k)))
     number = F.col("_is.confidence.value")
     confidence = (
         F.when(kind["confidence"] == "boolean", (number == "True").cast("double"))
@@ -130,13 +129,15 @@ def structured_parse(
 
 def fields_long(results: DataFrame, *keys: str) -> DataFrame:
     """One row per extracted field: the key columns, pos, field, value, value_kind."""
-    return results.select(*keys, F.posexplode("field_entries").alias("pos", "_f")).select(
+    rows = explode_rows(results.select(*keys, "field_entries"), F.col("field_entries"), "pos", "_f")
+    return rows.select(
         *keys, "pos", F.col("_f.key").alias("field"), F.col("_f.value").alias("value"), F.col("_f.kind").alias("value_kind"))
 
 
 def schema_errors_long(results: DataFrame, *keys: str) -> DataFrame:
     """One row per schema error, in the order the errors were found."""
-    return results.select(*keys, F.posexplode("schema_errors").alias("pos", "error"))
+    rows = explode_rows(results.select(*keys, "schema_errors"), F.col("schema_errors"), "pos", "error")
+    return rows.select(*keys, "pos", "error")
 
 
 def schema_rates(results: DataFrame, *group_by: str) -> DataFrame:

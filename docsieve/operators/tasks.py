@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions import dims
-from docsieve.functions.jsonreply import json_tree, leaves, node
-from docsieve.functions.text import is_blank, lines, norm_field_name, norm_text, norm_value, strip
+from docsieve.functions.jsonreply import explode_rows, json_tree, leaves, node
+from docsieve.functions.text import is_blank, let, lines, norm_field_name, norm_text, norm_value, strip
 
 # ---- Fixed values: line and table formats ---------------------------------------------
 KEY_VALUE_LINE = r"(?U)^\s*[-*•]?\s*([A-Za-z][A-Za-z0-9 _/#.()-]{0,48}?)\s*[:=]\s*(.*)$"
@@ -106,27 +106,26 @@ def _named(entries: Column) -> Column:
     return F.filter(named, lambda n: n["field"] != "").cast(ENTRIES)
 
 
-def with_entries(parsed: DataFrame, reply: str = "response", when: Column | None = None) -> DataFrame:
-    """Adds ``_entries``: first entry per field in reply order (JSON first, else lines).
+def _first_per_field(entries: Column) -> Column:
+    """First entry of every field, in reply order.
 
-    First-wins is a sort inside the row: equal names become neighbours, each name's
-    first occurrence is kept.  No shuffle, and a reply with very many keys stays
-    ``n log n``.
+    A sort inside the row: equal names become neighbours and each name's first occurrence
+    is kept.  No shuffle, and a reply with very many keys stays ``n log n``.
     """
+    by_name = F.sort_array(F.transform(entries, lambda n, i: F.struct(
+        n["field"].alias("field"), i.alias("pos"), n["kind"].alias("kind"), n["value"].alias("value"))))
+    firsts = let(by_name, lambda names: F.filter(names, lambda n, i: (i == 0) | (
+        F.get(names, i - 1)["field"] != n["field"])))
+    return F.sort_array(F.transform(firsts, lambda n: F.struct(
+        n["pos"].alias("pos"), n["field"].alias("field"), n["kind"].alias("kind"), n["value"].alias("value"))))
+
+
+def with_entries(parsed: DataFrame, reply: str = "response", when: Column | None = None) -> DataFrame:
+    """Adds ``_entries``: first entry per field in reply order (JSON first, else lines)."""
     wanted = F.lit(True) if when is None else when
-    by_name = F.col("_by_name")
-    return (
-        parsed
-        .withColumn("_json", F.when(wanted, _named(_json_entries())))
-        .withColumn("_all", F.when(F.size("_json") > 0, F.col("_json")).when(wanted, _named(_line_entries(F.col(reply)))))
-        .withColumn("_by_name", F.sort_array(F.transform("_all", lambda n, i: F.struct(
-            n["field"].alias("field"), i.alias("pos"), n["kind"].alias("kind"), n["value"].alias("value")))))
-        .withColumn("_firsts", F.filter(by_name, lambda n, i: (i == 0) | (
-            F.get(by_name, i - 1)["field"] != n["field"])))
-        .withColumn("_entries", F.sort_array(F.transform("_firsts", lambda n: F.struct(
-            n["pos"].alias("pos"), n["field"].alias("field"), n["kind"].alias("kind"), n["value"].alias("value")))))
-        .drop("_json", "_all", "_by_name", "_firsts")
-    )
+    found = let(_named(_json_entries()), lambda entries: F.when(F.size(entries) > 0, entries).otherwise(
+        _named(_line_entries(F.col(reply)))))
+    return parsed.withColumn("_entries", F.when(wanted, _first_per_field(found)))
 
 
 def _field_map(entries: Column) -> Column:
@@ -136,12 +135,12 @@ def _field_map(entries: Column) -> Column:
 
 def _dense_fields(schema: Column, entries: Column) -> Column:
     """Every schema field in schema order, NULL where the reply had none."""
-    return F.map_from_entries(F.transform(schema, lambda f: F.struct(
-        f.alias("key"), F.get(F.filter(entries, lambda n: n["field"] == f), F.lit(0))["value"].alias("value"))))
+    return let(entries, lambda known: F.map_from_entries(F.transform(schema, lambda f: F.struct(
+        f.alias("key"), F.get(F.filter(known, lambda n: n["field"] == f), F.lit(0))["value"].alias("value")))))
 
 
 def _additional(schema: Column, entries: Column) -> Column:
-    return F.filter(entries, lambda n: ~F.array_contains(schema, n["field"]))
+    return let(schema, lambda fields: F.filter(entries, lambda n: ~F.array_contains(fields, n["field"])))
 
 
 # ---- table -------------------------------------------------------------------------------
@@ -170,12 +169,12 @@ def _with_table(parsed: DataFrame, reply: str, wanted: Column) -> DataFrame:
         .when(has_rows, own_names)
     )
     cell = lambda cells, name: F.get(F.filter(cells, lambda c: c["key"] == name), F.lit(0))
-    json_rows = F.transform(
+    values_of = lambda names: F.transform(
         F.filter("_raw", lambda r: r["kind"].isin(*_CONTAINERS)),
         lambda r: F.when(r["kind"] == "array", _norm_row(r["cells"])).otherwise(
-            F.transform("_columns", lambda name: norm_value(
-                cell(r["cells"], name)["value"], cell(r["cells"], name)["kind"]))),
+            F.transform(names, lambda name: let(cell(r["cells"], name), lambda c: norm_value(c["value"], c["kind"])))),
     )
+    json_rows = let(F.col("_columns"), values_of)
     split_line = lambda line: F.transform(
         F.split(F.btrim(strip(line), F.lit("|")), r"\|", -1), strip)
     piped = F.filter(
@@ -302,31 +301,28 @@ def _single(replies: DataFrame, reply: str, task: str, *wanted: str, document_ty
 def kv_long(replies: DataFrame, reply: str = "response") -> DataFrame:
     """One row per extracted field: pos, field, value, value_kind (first entry wins)."""
     keep = [c for c in replies.columns if c != reply]
-    return (
-        with_entries(with_payload(replies, reply), reply)
-        .select(*keep, F.explode("_entries").alias("_e"))
-        .select(*keep, "_e.pos", "_e.field", "_e.value", F.col("_e.kind").alias("value_kind"))
-    )
+    rows = explode_rows(with_entries(with_payload(replies, reply), reply), F.col("_entries"), "_at", "_e")
+    return rows.select(*keep, "_e.pos", "_e.field", "_e.value", F.col("_e.kind").alias("value_kind"))
 
 
 def kv_dense(replies: DataFrame, reply: str = "response", document_type: str = "document_type_hint") -> DataFrame:
     """One row per (reply, schema field of the hinted type), in schema order."""
     keep = [c for c in replies.columns if c != reply]
     parsed = parse_key_value(replies, reply, document_type)
-    return parsed.select(*keep, F.posexplode("fields").alias("ordinal", "field", "value"))
+    return explode_rows(parsed, F.col("fields"), "ordinal", "field", "value").select(*keep, "ordinal", "field", "value")
 
 
 def kv_additional(replies: DataFrame, reply: str = "response", document_type: str = "document_type_hint") -> DataFrame:
     """One row per extracted field outside the hinted type's schema."""
     keep = [c for c in replies.columns if c != reply]
     parsed = parse_key_value(replies, reply, document_type)
-    return parsed.select(*keep, F.explode("additional_fields").alias("field", "value"))
+    return explode_rows(parsed, F.col("additional_fields"), "_at", "field", "value").select(*keep, "field", "value")
 
 
 def cells_long(replies: DataFrame, reply: str = "response") -> DataFrame:
     """One row per table cell: row_idx, col_idx, column_name, value."""
     keep = [c for c in replies.columns if c != reply]
-    rows = table_parse(replies, reply).select(
-        *keep, F.col("table.columns").alias("_columns"), F.posexplode("table.rows").alias("row_idx", "_row"))
-    cells = rows.select(*keep, "_columns", "row_idx", F.posexplode("_row").alias("col_idx", "value"))
+    parsed = table_parse(replies, reply).withColumn("_columns", F.col("table.columns"))
+    rows = explode_rows(parsed, F.col("table.rows"), "row_idx", "_row").select(*keep, "_columns", "row_idx", "_row")
+    cells = explode_rows(rows, F.col("_row"), "col_idx", "value")
     return cells.select(*keep, "row_idx", "col_idx", F.get("_columns", F.col("col_idx")).alias("column_name"), "value")
