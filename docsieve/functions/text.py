@@ -54,7 +54,8 @@ def norm_text(text: Column) -> Column:
     return let(
         F.rtrim(bare, F.lit(WHITESPACE + ",.;")),
         lambda value: F.when(
-            ~(F.lower(value).isin(*dims.NULL_TOKENS) | value.rlike(dims.PLACEHOLDER_PATTERN)), value),
+            ~(F.array_contains(dims.string_array(dims.NULL_TOKENS), F.lower(value)) | value.rlike(dims.PLACEHOLDER_PATTERN)),
+            value),
     )
 
 

@@ -63,14 +63,14 @@ def _evidence(reply: Column) -> Column:
     return F.lower(F.concat(F.coalesce(prefix, F.lit("")), reply))
 
 
-def _earliest_type(text: Column) -> Column:
+def _earliest_type(text: str) -> Column:
+    """Type of the phrase found first in column ``text``; NULL when none occurs."""
     hits = []
     for ordinal, (document_type, phrases) in enumerate(dims.TYPE_PHRASES.items()):
         for phrase in phrases:
-            at = F.instr(text, F.lit(phrase))
-            hits.append(F.when(at > 0, F.struct(
-                at.alias("at"), F.lit(ordinal).alias("ordinal"), F.lit(document_type).alias("type"))))
-    return F.least(*hits)["type"]
+            at = f"instr({text}, {dims.sql_text(phrase)})"
+            hits.append(f"if({at} > 0, struct({at} AS at, {ordinal} AS ordinal, {dims.sql_text(document_type)} AS type), NULL)")
+    return F.expr(f"least({', '.join(hits)})")["type"]
 
 
 # ---- key-value ---------------------------------------------------------------------------
@@ -217,56 +217,72 @@ def task_dispatch(
     reply: str = "response",
     task: str = "task",
     document_type: str = "document_type_hint",
+    tasks: tuple[str, ...] = dims.ANALYSIS_TASKS,
 ) -> DataFrame:
     """Parse a mixed corpus: each reply by its own task.
 
     Adds document_type, fields, additional_fields, table, summary, answer, confidence,
     parse_success and parse_errors; the reply and every other input column are kept.
     Key-value replies with an unknown type hint come back as errors, not exceptions.
+    ``tasks`` names the tasks that occur, when fewer than all; others count as unsupported.
     """
-    name, text = F.col(task), F.coalesce(F.col(reply), F.lit(""))
+    name, raw = F.col(task), F.col("_reply")
+    is_a = {t: name == t for t in tasks}
     hint = F.col(document_type) if document_type in replies.columns else F.lit(None).cast("string")
-    is_kv, is_class = name == dims.KEY_VALUE, name == dims.CLASSIFICATION
-    staged = (
-        with_payload(replies.withColumn("_reply", text), "_reply")
-        .withColumn("_evidence", F.when(is_class, _evidence(F.col("_reply"))))
-        .withColumn("_type", F.when(is_class, _earliest_type(F.col("_evidence"))))
-        .withColumn("_schema", F.when(is_kv, dims.schema_fields(hint)))
-    )
-    staged = with_entries(staged, "_reply", when=is_kv)
-    staged = _with_table(staged, "_reply", name == dims.TABLE)
-    staged = (
-        staged
-        .withColumn("_summary", F.when(name == dims.SUMMARY, _summary(F.col("_reply"))))
-        .withColumn("_answer", F.when(name == dims.QA, _answer(F.col("_reply"))))
-    )
-    entries, schema = F.col("_entries"), F.col("_schema")
-    unknown_hint = is_kv & hint.isNotNull() & schema.isNull()
-    error = (
-        F.when(is_class & is_blank(F.col("_reply")), dims.EMPTY_REPLY)
-        .when(is_class & F.col("_type").isNull(), dims.NO_DOCUMENT_TYPE)
-        .when(unknown_hint, F.concat(F.lit("Unsupported document type: "), hint))
-        .when(is_kv & (F.size(entries) == 0), dims.NO_KEY_VALUES)
-        .when((name == dims.TABLE) & (F.size("_table.rows") == 0), dims.NO_TABLE_ROWS)
-        .when((name == dims.SUMMARY) & F.col("_summary").isNull(), dims.NO_SUMMARY)
-        .when((name == dims.QA) & F.col("_answer").isNull(), dims.NO_ANSWER)
-        .when(~name.isin(*dims.ANALYSIS_TASKS) | name.isNull(), F.concat(F.lit("Unsupported task: "), F.coalesce(name, F.lit("NULL"))))
-    )
-    has_schema = F.size(schema) > 0
-    kept = [F.col(c) for c in replies.columns if c != "document_type"]
-    return staged.withColumn("_error", error).select(
-        *kept,
-        F.when(is_class, F.coalesce("_type", F.lit(dims.UNKNOWN_TYPE))).when(is_kv, hint).alias("document_type"),
-        F.when(is_kv & ~unknown_hint, F.when(has_schema, _dense_fields(schema, entries)).otherwise(
-            _field_map(entries))).alias("fields"),
-        F.when(is_kv & has_schema, _field_map(_additional(schema, entries))).alias("additional_fields"),
-        F.col("_table").alias("table"),
-        F.col("_summary").alias("summary"),
-        F.col("_answer").alias("answer"),
-        F.lit(None).cast("double").alias("confidence"),
-        F.col("_error").isNull().alias("parse_success"),
-        F.when(F.col("_error").isNull(), dims.string_array(())).otherwise(F.array("_error")).alias("parse_errors"),
-    )
+    results = {
+        "document_type": F.lit(None).cast("string"),
+        "fields": F.lit(None).cast("map<string,string>"),
+        "additional_fields": F.lit(None).cast("map<string,string>"),
+        "table": F.lit(None).cast(TABLE_TYPE),
+        "summary": F.lit(None).cast("string"),
+        "answer": F.lit(None).cast("string"),
+        "confidence": F.lit(None).cast("double"),
+    }
+    error = F.when(~F.coalesce(name.isin(*tasks), F.lit(False)), F.concat(
+        F.lit("Unsupported task: "), F.coalesce(name, F.lit("NULL"))))
+    staged = with_payload(replies.withColumn("_reply", F.coalesce(F.col(reply), F.lit(""))), "_reply")
+
+    if dims.CLASSIFICATION in tasks:
+        this = is_a[dims.CLASSIFICATION]
+        staged = staged.withColumn("_evidence", F.when(this, _evidence(raw))).withColumn("_type", _earliest_type("_evidence"))
+        error = error.when(this & is_blank(raw), dims.EMPTY_REPLY).when(this & F.col("_type").isNull(), dims.NO_DOCUMENT_TYPE)
+        results["document_type"] = F.when(this, F.coalesce("_type", F.lit(dims.UNKNOWN_TYPE)))
+    if dims.KEY_VALUE in tasks:
+        this, schema, entries = is_a[dims.KEY_VALUE], F.col("_schema"), F.col("_entries")
+        staged = with_entries(staged.withColumn("_schema", F.when(this, dims.schema_fields(hint))), "_reply", when=this)
+        unknown = this & hint.isNotNull() & schema.isNull()
+        error = error.when(unknown, F.concat(F.lit("Unsupported document type: "), hint)).when(
+            this & (F.size(entries) == 0), dims.NO_KEY_VALUES)
+        results["document_type"] = F.coalesce(results["document_type"], F.when(this, hint))
+        results["fields"] = F.when(F.size(schema) > 0, _dense_fields(schema, entries)).when(
+            this & ~unknown, _field_map(entries))
+        results["additional_fields"] = F.when(F.size(schema) > 0, _field_map(_additional(schema, entries)))
+    if dims.TABLE in tasks:
+        this = is_a[dims.TABLE]
+        staged = _with_table(staged, "_reply", this)
+        error = error.when(this & (F.size("_table.rows") == 0), dims.NO_TABLE_ROWS)
+        results["table"] = F.col("_table")
+    if dims.SUMMARY in tasks:
+        this = is_a[dims.SUMMARY]
+        staged = staged.withColumn("_summary", F.when(this, _summary(raw)))
+        error = error.when(this & F.col("_summary").isNull(), dims.NO_SUMMARY)
+        results["summary"] = F.col("_summary")
+    if dims.QA in tasks:
+        this = is_a[dims.QA]
+        staged = staged.withColumn("_answer", F.when(this, _answer(raw)))
+        error = error.when(this & F.col("_answer").isNull(), dims.NO_ANSWER)
+        results["answer"] = F.col("_answer")
+
+    results["parse_success"] = F.col("_error").isNull()
+    results["parse_errors"] = F.when(F.col("_error").isNull(), dims.string_array(())).otherwise(F.array("_error"))
+    kept = [c for c in replies.columns if c not in results]
+    return staged.withColumn("_error", error).select(*kept, *[column.alias(c) for c, column in results.items()])
+
+
+def _single(replies: DataFrame, reply: str, task: str, *wanted: str, document_type: str = "document_type_hint") -> DataFrame:
+    parsed = task_dispatch(replies.withColumn("_task", F.lit(task)), reply, "_task", document_type, (task,))
+    kept = [c for c in replies.columns if c not in wanted]
+    return parsed.select(*kept, *wanted, "parse_success", "parse_errors")
 
 
 def classify_reply(replies: DataFrame, reply: str = "response") -> DataFrame:
@@ -292,12 +308,6 @@ def parse_key_value(replies: DataFrame, reply: str = "response", document_type:
     return _single(replies, reply, dims.KEY_VALUE, "fields", "additional_fields", document_type=document_type)
 
 
-def _single(replies: DataFrame, reply: str, task: str, *wanted: str, document_type: str = "document_type_hint") -> DataFrame:
-    parsed = task_dispatch(replies.withColumn("_task", F.lit(task)), reply, "_task", document_type)
-    kept = [c for c in replies.columns if c not in wanted]
-    return parsed.select(*kept, *wanted, "parse_success", "parse_errors")
-
-
 def kv_long(replies: DataFrame, reply: str = "response") -> DataFrame:
     """One row per extracted field: pos, field, value, value_kind (first entry wins)."""
     keep = [c for c in replies.columns if c != reply]
