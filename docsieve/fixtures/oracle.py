@@ -48,7 +48,7 @@ def normed(x: str) -> str:
 
 _NAMES = {t: lits(dims.DOCUMENT_SCHEMAS[t]) for t in LABELS}
 _INVOICES = f"""
-li AS (SELECT l_orderkey, count(*) AS n, min(CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey) % 10000000000 AS partkey
+li AS (SELECT l_orderkey, count(*) AS n, min(CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey) % 1000000000000000 AS partkey
        FROM lineitem GROUP BY 1),
 invoices AS (
   SELECT 'ORD-' || o_orderkey AS document_id, 'invoice' AS document_type, o_orderkey AS k,

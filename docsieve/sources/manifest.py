@@ -36,7 +36,8 @@ def document_id(path: Column) -> Column:
 def manifest_scan(spark: SparkSession, path: str, signatures: bool = False) -> DataFrame:
     """Files below a folder: source_path, file_size_bytes, modified_at (and ``head``).
 
-    Without ``signatures`` the file contents are never read.
+    Without ``signatures`` the file contents are never read.  File sources skip names that
+    start with ``_`` or ``.``; such documents do not appear.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     columns = [

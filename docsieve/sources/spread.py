@@ -1,0 +1,16 @@
+"""Parallelism of small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer splits than there are cores.
+
+    Parsing is CPU work, and one small file is one split: it would keep one core busy and
+    the others idle.  An input with enough splits passes untouched, so nothing of size is
+    ever shuffled here.  Only the scan is planned, no job runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

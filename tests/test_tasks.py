@@ -13,7 +13,8 @@ SCHEMA = "id string, task string, response string, document_type_hint string"
 def parse(spark):
     def run(task, reply, hint=None):
         df = spark.createDataFrame([("r", task, reply, hint)], SCHEMA)
-        return tasks.task_dispatch(df).first().asDict(recursive=True)
+        known = (task,) if task in dims.ANALYSIS_TASKS else (dims.SUMMARY,)
+        return tasks.task_dispatch(df, tasks=known).first().asDict(recursive=True)
     return run
 
 
