@@ -348,12 +348,16 @@ def evaluation_replies(truth: DataFrame) -> DataFrame:
 EXTENSIONS = (".pdf", ".PNG", ".jpg", ".jpeg", ".txt", "")
 
 
+def file_path(key: Column) -> Column:
+    suffix = F.get(dims.string_array(EXTENSIONS), (key % len(EXTENSIONS)).cast("int"))
+    return F.concat(F.lit("/inbox/doc_"), key, suffix)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per document: source_path, file_size_bytes, page_count (of PDFs)."""
     key = F.col("doc_id")
-    suffix = F.get(dims.string_array(EXTENSIONS), (key % len(EXTENSIONS)).cast("int"))
     return table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("/inbox/doc_"), key, suffix).alias("source_path"),
+        file_path(key).alias("source_path"),
         F.col("n_chars").alias("file_size_bytes"), (key % 3 + 1).cast("int").alias("page_count"), key.alias("doc_id"))
 
 

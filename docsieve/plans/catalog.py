@@ -462,10 +462,9 @@ def letter_reply(image_ref: str, prompt: str) -> str:
 
 @query
 def understand_documents(spark, sf):
-    listed = render.files(spark, sf)
-    known = manifest.accepted(manifest.manifest_validate(listed))
-    path = listed.select(F.col("doc_id").cast("string").alias("_doc"), manifest.document_id(F.col("source_path")).alias("_id"))
-    words = render.ocr_words(spark, sf).join(path, F.col("document_id") == F.col("_doc")).withColumn("document_id", F.col("_id")).drop("_doc", "_id")
+    known = manifest.accepted(manifest.manifest_validate(render.files(spark, sf)))
+    path = render.file_path(F.col("document_id").cast("bigint"))
+    words = render.ocr_words(spark, sf).withColumn("document_id", manifest.document_id(path))
     done = understand.understand_documents(
         known, words, "document_understanding", infer.echo_predictor_factory(reply=letter_reply), model_key="letter")
     total = lambda column, value: F.aggregate(column, F.lit(0), lambda acc, x: acc + value(x))

@@ -125,7 +125,10 @@ def quarantine(manifest: DataFrame) -> DataFrame:
 
 
 def page_explode(manifest: DataFrame) -> DataFrame:
-    """One row per page of accepted documents, numbered from 1."""
+    """One row per page of accepted documents, numbered from 1.
+
+    A PDF whose page count is not known gives no page; ``page_select_errors`` lists it.
+    """
     return accepted(manifest).filter(F.col("page_count") >= 1).select(
         "document_id", "source_path", "file_type",
         F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page_number"),

@@ -23,7 +23,7 @@ def test_manifest_of_real_files(spark, rows, tmp_path):
     dotted = spark.createDataFrame([("/x/.pdf", 1, 1)], "source_path string, file_size_bytes long, page_count int")
     assert manifest.manifest_validate(dotted).first().reason == "unsupported_type"
     checked = manifest.signature_check(manifest.manifest_scan(spark, str(tmp_path), signatures=True))
-    assert checked.filter("signature_ok").count() == 4
+    assert checked.filter("signature_ok").count() == 3
 
 
 def test_requested_paths(spark, rows, tmp_path):
