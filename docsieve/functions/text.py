@@ -51,12 +51,15 @@ def lines(text: Column) -> Column:
 def norm_text(text: Column) -> Column:
     """Value text without quotes, edges and trailing punctuation; placeholders give NULL."""
     bare = strip(F.btrim(strip(text), F.lit("\"'")))
-    return let(
-        F.rtrim(bare, F.lit(WHITESPACE + ",.;")),
-        lambda value: F.when(
-            ~(F.array_contains(dims.string_array(dims.NULL_TOKENS), F.lower(value)) | value.rlike(dims.PLACEHOLDER_PATTERN)),
-            value),
-    )
+    longest = max(map(len, dims.NULL_TOKENS))
+
+    def keep(value: Column) -> Column:
+        # cheap tests first: few values are short enough or start like a placeholder
+        token = (F.length(value) <= longest) & F.array_contains(dims.string_array(dims.NULL_TOKENS), F.lower(value))
+        placeholder = value.startswith("<") & value.rlike(dims.PLACEHOLDER_PATTERN)
+        return F.when(~(token | placeholder), value)
+
+    return let(F.rtrim(bare, F.lit(WHITESPACE + ",.;")), keep)
 
 
 def norm_value(value: Column, kind: Column | None = None) -> Column:
@@ -79,8 +82,12 @@ def norm_match(value: Column) -> Column:
 
 
 def exact_match(predicted: Column, expected: Column) -> Column:
-    """Equality of comparison forms; NULL equals NULL only."""
-    return norm_match(predicted).eqNullSafe(norm_match(expected))
+    """Equality of comparison forms; NULL equals NULL only.
+
+    Identical texts, the usual case, are settled before any normalisation.
+    """
+    identical = F.coalesce(predicted == expected, F.lit(False))
+    return identical | norm_match(predicted).eqNullSafe(norm_match(expected))
 
 
 def reply_strip_chat(decoded: Column, prompt: Column | None = None, markers=ASSISTANT_MARKERS) -> Column:

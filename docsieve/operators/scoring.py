@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions.jsonreply import explode_rows
-from docsieve.functions.text import exact_match, let, norm_match, ratio4, strip
+from docsieve.functions.text import exact_match, let, ratio4, strip
 
 # ---- Fixed values: names of the strict metrics, in report order ---------------------------
 STRICT_METRICS = (
@@ -49,7 +49,7 @@ def qa_exact_match(pairs: DataFrame, predicted: str = "predicted", expected: str
 def per_field_match(predicted: Column, expected: Column) -> Column:
     """``map<field, boolean>`` over the expected fields; a missing prediction is NULL."""
     return let(predicted, lambda found: F.transform_values(
-        expected, lambda name, value: exact_match(F.try_element_at(found, name), value)))
+        expected, lambda name, value: let(F.try_element_at(found, name), lambda got: exact_match(got, value))))
 
 
 def with_field_accuracy(joined: DataFrame, predicted: str = "fields", expected: str = "expected_fields") -> DataFrame:
@@ -80,10 +80,6 @@ def field_accuracy_micro(per_document: DataFrame) -> DataFrame:
     return sums.withColumn("accuracy", ratio4(F.col("correct_fields"), F.col("total_fields")))
 
 
-def _normal_rows(rows: Column) -> Column:
-    return F.transform(rows, lambda row: F.transform(row, norm_match))
-
-
 def with_table_accuracy(joined: DataFrame, predicted: str = "table", expected: str = "expected_rows") -> DataFrame:
     """Adds position-aligned row and cell counts to rows holding both sides.
 
@@ -91,12 +87,12 @@ def with_table_accuracy(joined: DataFrame, predicted: str = "table", expected: s
     """
     def matches(predicted_rows: Column) -> Column:
         return F.transform("_expected", lambda row, i: let(F.get(predicted_rows, i), lambda found: F.transform(
-            row, lambda cell, j: F.get(found, j).eqNullSafe(cell))))
+            row, lambda cell, j: exact_match(F.get(found, j), cell))))
 
     return (
         joined
-        .withColumn("_predicted", _normal_rows(F.col(f"{predicted}.rows")))
-        .withColumn("_expected", _normal_rows(F.col(expected)))
+        .withColumn("_predicted", F.col(f"{predicted}.rows"))
+        .withColumn("_expected", F.col(expected))
         .withColumn("_match", let(F.col("_predicted"), matches))
         .withColumn("expected_rows", F.greatest(F.size("_expected"), F.lit(0)))
         .withColumn("predicted_rows", F.greatest(F.size("_predicted"), F.lit(0)))
