@@ -427,6 +427,19 @@ SELECT document_id, task, CASE WHEN bad THEN 'FAILED' ELSE 'RUN' END AS status,
        CASE WHEN NOT bad THEN image_path || '|' || length(prompt) END AS response, CASE WHEN NOT bad THEN 'echo' END AS model_name,
        CASE WHEN NOT bad THEN 'cpu' END AS device, CASE WHEN NOT bad THEN length(prompt) / 1000.0::DOUBLE END AS inference_time
 FROM (SELECT *, k % 11 = 5 AS bad FROM prompted)"""
+ORACLE["analyze_documents"] = f"""WITH {_QUEUE},
+done AS (SELECT q.*, length(p.prompt) AS n, q.reason IS NULL AND q.k % 11 <> 5 AS ran
+         FROM queue q LEFT JOIN prompted p USING (document_id, task))
+SELECT document_id, task, CASE WHEN ran THEN 'RUN' ELSE 'FAILED' END AS status,
+       CASE WHEN reason IS NOT NULL THEN reason WHEN NOT ran THEN 'cannot read ' || image_path END AS error,
+       CASE WHEN ran AND task = 'classification' THEN 'invoice' WHEN ran THEN hint END AS document_type,
+       ocr_text IS NOT NULL AS ocr_context_used, CASE WHEN ran THEN n / 1000.0::DOUBLE END AS inference_time,
+       CASE WHEN ran THEN TRUE END AS parse_success,
+       CASE WHEN ran AND task = 'key_value_extraction' THEN CAST(n AS VARCHAR) END AS field_value,
+       CASE WHEN ran AND task = 'table_extraction' THEN CAST(n AS VARCHAR) END AS cell_value,
+       CASE WHEN ran AND task = 'summarization' THEN n || ' chars' END AS summary,
+       CASE WHEN ran AND task = 'question_answering' THEN CAST(n AS VARCHAR) END AS answer
+FROM done"""
 ORACLE["reply_strip_chat"] = f"SELECT conv_id, turn, trim(text, {WS}) AS response FROM conversations"
 
 # ---- whole documents -----------------------------------------------------------------------------------------------------------

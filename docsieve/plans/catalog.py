@@ -11,7 +11,7 @@ from docsieve.fixtures import render
 from docsieve.functions import dims
 from docsieve.functions.text import reply_strip_chat
 from docsieve.operators import infer, ocr, prompts, queue, replies, scoring, structured, tasks
-from docsieve.plans import report, understand
+from docsieve.plans import analyze, report, understand
 from docsieve.sources import manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,13 +106,16 @@ def ocr_json(spark, sf):
 
 # ---- work queue and prompts ----------------------------------------------------------------------
 
-def _queue(spark, sf):
+def _asked_documents(spark, sf):
     asked = F.when(F.col("k") % 3 != 0, F.concat(F.lit(" Who signed "), F.col("document_id"), F.lit("? ")))
-    documents = render.source_documents(spark, sf).select(
+    return render.source_documents(spark, sf).select(
         "document_id", "document_type", asked.alias("question"),
         F.concat(F.lit("/scan/"), F.col("document_id"), F.when(F.col("k") % 11 == 5, ".unreadable").otherwise(".png")).alias("image_path"),
         F.when(F.col("k") % 4 == 0, F.concat(F.lit(" seen: "), F.col("document_type"), F.lit("\n"))).alias("ocr_text"))
-    return queue.task_fanout(documents, REQUESTED_TASKS)
+
+
+def _queue(spark, sf):
+    return queue.task_fanout(_asked_documents(spark, sf), REQUESTED_TASKS)
 
 
 @query
@@ -431,6 +434,21 @@ def batch_infer(spark, sf):
     return done.select("document_id", "task", "status", "error", "response", "model_name", "device", "inference_time")
 
 
+def counting_reply(image_ref: str, prompt: str) -> str:
+    n = len(prompt)
+    return f'{{"document_type":"invoice","fields":{{"Prompt chars":{n}}},"columns":["n"],"rows":[[{n}]],"summary":"{n} chars.","answer":"{n}"}}'
+
+
+@query
+def analyze_documents(spark, sf):
+    done = analyze.analyze_documents(
+        _asked_documents(spark, sf), infer.echo_predictor_factory(reply=counting_reply), dims.string_array(REQUESTED_TASKS), model_key="counting")
+    return done.select(
+        "document_id", "task", "status", "error", "document_type", "ocr_context_used", "inference_time", "parse_success",
+        F.try_element_at("additional_fields", F.lit("prompt_chars")).alias("field_value"),
+        F.get(F.get("table.rows", F.lit(0)), F.lit(0)).alias("cell_value"), "summary", "answer")
+
+
 @query
 def eval_runs(spark, sf):
     return _runs(spark, sf).select(
