@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,16 @@ def local_session(cpus: str = "*", app: str = "docsieve", **conf: str) -> SparkS
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers (a cluster has no copy of it).
+
+    The archive is a file of the driver; Spark copies it to every executor.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_docsieve_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="docsieve-"), "docsieve"), "zip", root, "docsieve"))
+    context._docsieve_shipped = True
