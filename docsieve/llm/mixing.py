@@ -71,7 +71,7 @@ def _plan(sized: DataFrame, share: float, weights: tuple[float, ...], at_most: f
     known = slices.drop("source_size").join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
-    cut = F.expr("filter(ends, e -> e.start < rest and e.start + e.slice_size >= rest)[0]")
+    cut = F.expr("get(filter(ends, e -> e.start < rest and e.start + e.slice_size >= rest), 0)")
     return known.withColumn("epochs", epochs).withColumn("rest", rest).withColumn("cut", cut).select(
         "t_source", "source_size", "target", "epochs", "rest", F.coalesce(F.col("cut.slice"), F.lit(-1)).alias("cut_slice"), F.col("cut.start").alias("cut_start"))
 
