@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, fingerprint, mixing, packing, warc
+from docsieve.llm import exact_dedup, fingerprint, html_extract, mixing, packing, quality, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -26,6 +26,14 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.when(F.col("quality") == 1, 1.0).otherwise(0.25).alias("quality_weight"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -47,13 +55,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_fingerprints, op6_mix_sources, op7_best_fit_packing, op8_warc, op10_exact_dedup)}
+    op2_quality, op3_html_text, op4_fingerprints, op6_mix_sources, op7_best_fit_packing, op8_warc, op10_exact_dedup)}
 
 ORACLE = {
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
-    "op8_warc": None,
 }
-ORACLE = {name: sql for name, sql in ORACLE.items() if sql}
