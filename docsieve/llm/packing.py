@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.llm.common import text_blocks, written
 
@@ -324,7 +325,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nodes:
         if out is not None:
             yield out
 
-    schema = pieces.drop("__h").schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.drop("__h").schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.repartition("__block").sortWithinPartitions("__block", "__h").mapInArrow(place, schema)
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.llm.common import LOWER, mix, prefix_hash, span_hash, text_blocks, words
 
@@ -130,7 +131,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
                 [*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 names=[*batch.schema.names, "q_score", "q_predicted"])
 
-    schema = docs.schema.add("q_score", "double").add("q_predicted", "int")
+    schema = T.StructType([*docs.schema.fields, T.StructField("q_score", T.DoubleType()), T.StructField("q_predicted", T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
 
