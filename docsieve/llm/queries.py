@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, fingerprint, html_extract, mixing, packing, quality, warc
+from docsieve.llm import exact_dedup, fingerprint, html_extract, minhash, mixing, packing, quality, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -26,6 +26,10 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.when(F.col("quality") == 1, 1.0).otherwise(0.25).alias("quality_weight"))
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality, op3_html_text, op4_fingerprints, op6_mix_sources, op7_best_fit_packing, op8_warc, op10_exact_dedup)}
+    op1_minhash, op2_quality, op3_html_text, op4_fingerprints, op6_mix_sources, op7_best_fit_packing, op8_warc, op10_exact_dedup)}
 
 ORACLE = {
     "op10_exact_dedup": """
