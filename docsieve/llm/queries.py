@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, fingerprint, html_extract, minhash, mixing, packing, quality, warc
+from docsieve.llm import exact_dedup, fingerprint, html_extract, minhash, mixing, packing, quality, substring_dedup, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -54,12 +54,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash, op2_quality, op3_html_text, op4_fingerprints, op6_mix_sources, op7_best_fit_packing, op8_warc, op10_exact_dedup)}
+    op1_minhash, op2_quality, op3_html_text, op4_fingerprints, op6_mix_sources, op7_best_fit_packing, op8_warc, op9_substring_dedup, op10_exact_dedup)}
 
 ORACLE = {
     "op10_exact_dedup": """
