@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, fingerprint, html_extract, minhash, mixing, packing, quality, substring_dedup, warc
+from docsieve.llm import exact_dedup, fingerprint, html_extract, minhash, mixing, packing, quality, substring_dedup, suffix_dedup, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -42,6 +42,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_strings(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
 
@@ -63,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash, op2_quality, op3_html_text, op4_fingerprints, op6_mix_sources, op7_best_fit_packing, op8_warc, op9_substring_dedup, op10_exact_dedup)}
+    op1_minhash, op2_quality, op3_html_text, op4_fingerprints, op5_suffix_dedup, op6_mix_sources, op7_best_fit_packing, op8_warc, op9_substring_dedup, op10_exact_dedup)}
 
 ORACLE = {
     "op10_exact_dedup": """
