@@ -19,20 +19,20 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.common import prefix_hash, span_hash
 
-LEAST, USUAL, MOST = 16, 40, 160
-STRICT, LOOSE = 6, 4  # bits that must vanish before and after the usual size
-_GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
+LEAST, USUAL, MOST = 8, 20, 80
+STRICT, LOOSE = 5, 3  # bits that must vanish before and after the usual size
+_GEAR = np.random.default_rng(77).integers(0, 2**16, 256).astype(np.uint16)
 ROWS = 5_000
 COARSE, MOST_BLOCKS = 64, 20_000
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
-    """Gear hash at every byte: the sum of ``gear[byte] << age`` over the last 32 bytes."""
+    """Gear hash at every byte: the sum of ``gear[byte] << age`` over the last 16 bytes."""
     out = _GEAR[data]
     with np.errstate(over="ignore"):
-        for step in (1, 2, 4, 8, 16):
+        for step in (1, 2, 4, 8):
             older = np.zeros_like(out)
-            older[step:] = out[:-step] << np.uint32(step)
+            older[step:] = out[:-step] << np.uint16(step)
             out = out + older
     return out
 
@@ -43,8 +43,8 @@ def boundaries(data: np.ndarray) -> list[int]:
     if n <= LEAST:
         return [n] if n else []
     gear = gear_hash(data)
-    loose = np.flatnonzero(gear >> np.uint32(32 - LOOSE) == 0) + 1
-    strict = loose[gear[loose - 1] >> np.uint32(32 - STRICT) == 0]
+    loose = np.flatnonzero(gear >> np.uint16(16 - LOOSE) == 0) + 1
+    strict = loose[gear[loose - 1] >> np.uint16(16 - STRICT) == 0]
     # first candidate at or after each position, read once a chunk
     loose, strict = [*loose.tolist(), n], [*strict.tolist(), n]
     ends, start, i, j = [], 0, 0, 0
