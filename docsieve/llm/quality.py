@@ -23,6 +23,7 @@ TRAIN_ROWS = 12_000  # bound of the training sample; labelled rows beyond it are
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-3, 1e-4
 THRESHOLD = 0.7
+SCORE, PREDICTED = "__q_score", "__q_predicted"
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123] = 97
@@ -113,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` with ``q_score`` (0 to 1) and ``q_predicted``; the model is 1 MB, its size fixed."""
+    """All columns of ``docs`` with ``__q_score`` (0 to 1) and ``__q_predicted``; the model is 1 MB, its size fixed."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     text = [f.name for f in docs.schema].index("text")
 
@@ -122,16 +123,16 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             column = batch.column(text)
-            for first, end, data, offsets in text_blocks(column if pa.types.is_string(column.type) else column.cast(pa.string())):
+            for first, end, data, offsets in text_blocks(column):
                 ends, index, value = features(data, offsets)
                 sums = np.concatenate([[0], np.cumsum(w[index].astype(np.float64) * value)])
                 scores[first:end] = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
             scores = 1 / (1 + np.exp(-np.clip(scores + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
-                names=[*batch.schema.names, "q_score", "q_predicted"])
+                names=[*batch.schema.names, SCORE, PREDICTED])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("q_score", T.DoubleType()), T.StructField("q_predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType()), T.StructField(PREDICTED, T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -144,11 +145,10 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return score(own, fit(docs, labels, rows)).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("q_score").alias("score"), F.col("q_predicted").alias("predicted"))
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), F.col(PREDICTED).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
-    keep = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", F.col("text").cast("string").alias("text"))
-    scored = score(keep, fit(docs, labels, rows)).filter("q_predicted = 1")
-    return scored.select("__row.*")
+    own = docs.drop(SCORE, PREDICTED)
+    return score(own, fit(docs, labels, rows)).filter(F.col(PREDICTED) == 1).select(*own.columns)
