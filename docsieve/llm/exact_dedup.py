@@ -23,23 +23,23 @@ from docsieve.llm.common import written
 
 CAPACITY = 50_000
 MAX_DEPTH = 40
+_EMPTY = pa.py_buffer(b"")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        ids = batch.column(0).to_pylist()
+        bodies = [t.as_buffer() or _EMPTY for t in batch.column(1)]
         chains: dict[bytes, list[list]] = {}
         found = []
         for row, doc_id in enumerate(ids):
-            data = texts[row].as_buffer()
-            data = b"" if data is None else memoryview(data)
-            digest = hashlib.sha256(data).digest()
+            digest = hashlib.sha256(memoryview(bodies[row])).digest()
             for entry in chains.setdefault(digest, []):
-                if texts[entry[0]].as_buffer() == texts[row].as_buffer() or not len(data):
+                if bodies[entry[0]] == bodies[row]:
                     entry[1].append(doc_id)
                     break
             else:
-                entry = [row, [doc_id], digest, len(data)]
+                entry = [row, [doc_id], digest]
                 chains[digest].append(entry)
                 found.append(entry)
         key = np.array([int.from_bytes(e[2][:8], "big") >> 1 for e in found], np.int64)

@@ -22,7 +22,7 @@ from docsieve.llm.common import prefix_hash, span_hash
 LEAST, USUAL, MOST = 8, 20, 80
 STRICT, LOOSE = 5, 3  # bits that must vanish before and after the usual size
 _GEAR = np.random.default_rng(77).integers(0, 2**16, 256).astype(np.uint16)
-ROWS = 5_000
+ROWS = 1_000
 COARSE, MOST_BLOCKS = 64, 20_000
 
 
@@ -194,5 +194,6 @@ def fingerprints(docs: DataFrame, rows_per_block: int = ROWS) -> DataFrame:
     heads = texts.join(F.broadcast(lead), texts.doc_id.eqNullSafe(lead.first_id)).groupBy("to_block", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     rows = blocked.select("block", F.lit(0).alias("tail"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(
         heads.select(F.col("to_block").alias("block"), F.lit(1).alias("tail"), "doc_id", "text"))
-    return rows.repartition(len(order), "block").sortWithinPartitions("block", "tail", F.col("doc_id").desc_nulls_last(), "text").select(
+    # four small blocks a task on average, so that a task with more of them is not much longer
+    return rows.repartition(-(-len(order) // 4), "block").sortWithinPartitions("block", "tail", F.col("doc_id").desc_nulls_last(), "text").select(
         "block", "doc_id", "text").mapInArrow(_compare, OUTPUT)
