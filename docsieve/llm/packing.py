@@ -4,8 +4,8 @@ Documents are cut into pieces of at most ``capacity`` tokens; full pieces fill a
 alone.  The other pieces are dealt by hash over blocks of bounded size, and every block is
 packed by branch and bound: take the largest piece that is left, enumerate the fillings
 around it that no other filling dominates, and follow them while the waste stays under the
-bound that an improvement needs.  Best-fit decreasing gives the first incumbent, and each
-branch is finished by best fit once its budget of nodes is spent, so a block always ends.
+bound that an improvement needs.  Best-fit decreasing gives the first incumbent, and the open
+branch is finished by best fit once a block's budget is spent, so a block always ends.
 Sequences never span blocks, which costs at most one partly filled sequence a block.
 """
 
@@ -27,7 +27,7 @@ from docsieve.llm.common import text_blocks, written
 
 CAPACITY = 4096
 BLOCK = 20_000
-NODES = 2_000
+TRIES = 300_000  # pieces that the search of one block may try
 CACHE = 350_000
 
 _TOKENIZERS: dict[str, tuple] = {}
@@ -182,55 +182,61 @@ def _best_fit(stock: _Stock, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(stock: _Stock, room: int, waste: int, width: int = 6) -> list[list[int]]:
+def _fillings(stock: _Stock, room: int, waste: int, budget: list[int], width: int = 6, leaves: int = 32) -> list[list[int]]:
     """Undominated fillings of ``room`` with at most ``waste`` left, best filled first.
 
-    A filling that leaves room for another piece is dominated by the one that adds it; one
-    that could swap a piece for a larger that still fits is dominated by the swap.  Only
-    maximal fillings of decreasing pieces are made, the closest fit first.
+    A filling that leaves room for another piece is dominated by the one that adds it, so only
+    maximal ones count; pieces come in falling order, the closest fit first, then the next
+    two smaller sizes.  ``budget`` counts the pieces tried.
     """
     found: list[tuple[int, list[int]]] = []
-
-    def fill(left: int, limit: int, chosen: list[int]) -> None:
-        if len(found) >= width:
-            return
-        x = stock.largest_up_to(min(left, limit))
-        tried = 0
-        if x is None:
-            if left <= waste and stock.largest_up_to(left) is None:
-                found.append((left, list(chosen)))
-            return
-        while x is not None and tried < 3 and len(found) < width:
+    chosen: list[int] = []
+    tried: list[int] = []
+    left, x, seen = room, stock.largest_up_to(room), 0
+    while True:
+        while x is not None and budget[0] > 0:
             stock.take(x)
             chosen.append(x)
-            fill(left - x, x, chosen)
-            chosen.pop()
-            stock.give(x)
-            at = bisect.bisect_left(stock.sizes, x)
-            x, tried = (stock.sizes[at - 1] if at else None), tried + 1
-
-    fill(room, room, [])
+            tried.append(1)
+            left, budget[0] = left - x, budget[0] - 1
+            x = stock.largest_up_to(min(left, x))
+        seen += 1
+        if left <= waste and stock.largest_up_to(left) is None:
+            found.append((left, list(chosen)))
+        if len(found) >= width or seen >= leaves or budget[0] <= 0:
+            break
+        x = None
+        while chosen and x is None:
+            last, times = chosen.pop(), tried.pop()
+            stock.give(last)
+            left += last
+            at = bisect.bisect_left(stock.sizes, last)
+            if times < 3 and at:
+                x = stock.sizes[at - 1]
+        if x is None:
+            break
+        stock.take(x)
+        chosen.append(x)
+        tried.append(times + 1)
+        left, budget[0] = left - x, budget[0] - 1
+        x = stock.largest_up_to(min(left, x))
+    for x in chosen:
+        stock.give(x)
     return [f for _, f in sorted(found, key=lambda item: (item[0], len(item[1])))]
 
 
-def pack_block(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
-    """Sequences (lists of lengths) for one block; as few as the search finds."""
+def pack_block(lengths: list[int], capacity: int = CAPACITY, tries: int = TRIES) -> list[list[int]]:
+    """Sequences (lists of lengths) for one block; as few as the search finds.
+
+    Fewer than total / capacity are impossible, and the search stops there.  After ``tries``
+    pieces tried, the open branch is finished by best fit and the best packing met counts.
+    """
     total = sum(lengths)
     lower = -(-total // capacity)
     best = _best_fit(_Stock(lengths), capacity)
-    if len(best) <= lower:
-        return best
-    stock, spent = _Stock(lengths), 0
-
-    def finish(done: list[list[int]]) -> None:
-        nonlocal best
-        rest = done + _best_fit(stock, capacity)
-        if len(rest) < len(best):
-            best = rest
-
-    # depth first without recursion: each level keeps the fillings it has not tried yet
+    stock, budget = _Stock(lengths), [tries]
     done: list[list[int]] = []
-    levels: list[list[list[int]]] = []
+    levels: list[list[list[int]]] = []  # fillings that each open level has not tried yet
     wasted = 0
 
     def branch() -> list[list[int]]:
@@ -240,15 +246,20 @@ def pack_block(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES)
             return []
         top = stock.sizes[-1]
         stock.take(top)
-        options = _fillings(stock, capacity - top, slack)
+        options = _fillings(stock, capacity - top, slack, budget)
         stock.give(top)
         return [[top, *f] for f in reversed(options)]
 
-    levels.append(branch())
+    if len(best) > lower:
+        levels.append(branch())
     while levels and len(best) > lower:
+        if budget[0] <= 0:
+            rest = [*done, *_best_fit(stock, capacity)]
+            best = min(best, rest, key=len)
+            break
         if not levels[-1]:
             levels.pop()
-            if done and levels:
+            if done:
                 undone = done.pop()
                 wasted -= capacity - sum(undone)
                 for x in undone:
@@ -259,20 +270,15 @@ def pack_block(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES)
             stock.take(x)
         done.append(chosen)
         wasted += capacity - sum(chosen)
-        spent += 1
-        if not stock.sizes:
-            if len(done) < len(best):
-                best = [list(b) for b in done]
-            levels.append([])
-        elif spent >= nodes:
-            finish([list(b) for b in done])
-            break
-        else:
+        if stock.sizes:
             levels.append(branch())
+        else:
+            best = min(best, [list(b) for b in done], key=len)
+            levels.append([])
     return best
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nodes: int = NODES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, tries: int = TRIES) -> DataFrame:
     """Add sequence_id and offset to pieces; all columns stay.
 
     Blocks hold about ``block`` pieces each, whatever the number of pieces.
@@ -295,7 +301,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nodes:
             if number < 0:  # full pieces, one a sequence
                 bins = [[int(x)] for x in lengths]
             else:
-                bins = pack_block(lengths.tolist(), capacity, nodes)
+                bins = pack_block(lengths.tolist(), capacity, tries)
             rows_of: dict[int, list[int]] = {}
             for row, x in enumerate(lengths.tolist()):
                 rows_of.setdefault(x, []).append(row)
@@ -329,11 +335,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nodes:
     return dealt.repartition("__block").sortWithinPartitions("__block", "__h").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, block: int = BLOCK, nodes: int = NODES) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, block: int = BLOCK, tries: int = TRIES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids, then ``end_id``: a null or empty text is one token.  Rows
     repeated with one id are packed each; null ids stay null.  Other columns are ignored.
     An empty table gives no rows.
     """
-    return pack(written(tokenize(docs, path, capacity, end_id), "pieces"), capacity, block, nodes)
+    return pack(written(tokenize(docs, path, capacity, end_id), "pieces"), capacity, block, tries)
