@@ -29,6 +29,7 @@ PATH_DIM, WORD_DIM, FIGURES = 64, 24, 6
 DIM = PATH_DIM + WORD_DIM + FIGURES
 HIDDEN = 20
 TRAIN_PAGES = 300  # bound of the training sample
+COMPOSED = 600  # least number of composed training pages
 EPOCHS, RATE, BATCH, SEED = 8, 0.01, 16, 5
 MAX_TRAIN_BLOCKS = 400  # longer pages are not learned from; every page is extracted whole
 
@@ -340,8 +341,9 @@ def _composed(page: list[Block], labels: np.ndarray, rng: np.random.Generator, t
     if chance(0.25):
         around(side + pick("ul li a|p|h3|section p"), int(rng.integers(1, 5)), 2, 20, chance(0.5))
     home = pick("article|article|main|main article|div .content|div .post|div .article .body|div .entry .content|section .story|div|div .main .text|div .page div")
-    for (path, text, linked), label in zip(page, labels):
-        if label:
+    longer = int(rng.integers(2, 40)) if chance(0.1) else 1  # some articles are very long
+    for (path, text, linked), label in list(zip(page, labels)) * longer:
+        if len(out) < MAX_TRAIN_BLOCKS and label:
             cut = max([i for i, name in enumerate(path) if name in _MAIN], default=len(path) - 2) + 1
             out.append((root + home + (path[cut:] or ("p",)), text, linked, 1))
             if chance(0.05):
@@ -364,7 +366,7 @@ _PLAIN_PAGE = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><art
 
 
 def training_set(pages: list[str]) -> list[tuple[list[Block], np.ndarray]]:
-    """Pages taught by their markup, each followed by two composed from it."""
+    """Pages taught by their markup, each followed by others composed from it: two, or as many as make ``COMPOSED``."""
     rng = np.random.default_rng(SEED)
     known = []
     for page in [*pages, _PLAIN_PAGE]:
@@ -376,7 +378,7 @@ def training_set(pages: list[str]) -> list[tuple[list[Block], np.ndarray]]:
     out = []
     for page, labels in known:
         out.append((page, labels))
-        out += [_composed(page, labels, rng, texts) for _ in range(2)]
+        out += [_composed(page, labels, rng, texts) for _ in range(max(2, -(-COMPOSED // len(known))))]
     return out
 
 

@@ -25,7 +25,7 @@ def corpus():
     texts += [None, None, "", "", " \t\n\x0b\x0c\r ", "one", "ONE", "two words", "x y z", "é́ ß \U0001f600 <|endoftext|> don't", "a" * 3000]
     texts += [" ".join(f"w{i % 700}" for i in range(12_000))]  # long, and it repeats itself
     rows = [(i * 3 + 1, t, rng.choice(["en", "de", None]), f"src{min(i % 4, 2)}" if i % 7 else None, len(t or "")) for i, t in enumerate(texts)]
-    return rows + [rows[5], rows[5], (None, "no id at all", "en", "src0", 12), (None, base[3], None, None, 0), (None, None, None, None, None)]
+    return rows + [rows[5], rows[5], (None, "no id at all", "en", "src0", 12), (None, base[3], None, None, len(base[3])), (None, None, None, None, None)]
 
 
 @pytest.fixture(scope="session")
