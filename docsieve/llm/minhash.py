@@ -11,10 +11,14 @@ class in the same order.  The order is by document frequency over all classes, s
 very common shingles stay out.  Pairs of a list are filtered by set size and by the
 similarity that the sketch of the union estimates, and verified on the full sets.
 
-Lists never emit all their pairs.  Long lists first link their members to one hub, and links
-verified so far are contracted; then only members outside the list's largest component meet
-the members of other components.  Two documents that are left unpaired by this are linked
-already, so the components are those of all links.
+Lists never emit all their pairs.  Long lists first link their members to a hub, the member
+that shares most (the text that the others were made from, as a rule), and the links so far
+are contracted; then only members outside the list's largest component meet the members of
+other components.  Two documents that are left unpaired by this are linked already, so the
+components are those of all links.  Members of long lists that stay apart are alike but not
+near duplicates as a rule; 32 values cannot tell, so they are listed again by deep sketches,
+which hold whole sets: there the rarest fifth decides, and the differences of two sets from
+their hub give their intersection before a pair is made.
 """
 
 from __future__ import annotations
@@ -30,11 +34,23 @@ from docsieve.llm.common import LOWER, counts_of, mix, prefix_hash, span_hash, t
 from docsieve.llm.graph import components
 
 SKETCH = 32
-#: Common values asked of two sketches.  At similarity 0.8, 32 values of the union's sketch hold
-#: 25.6 common ones on average; 11 or fewer have a probability below 1e-7.
-COMMON = 12
+DEEP = 4096  # sketch of the classes in long lists: the whole set, but for very long texts
+DIFFERENCES = 256  # most differences from a hub that are kept in lists; beyond, pairs are made and verified
 LONG_LIST = 32  # longer lists are contracted around a hub first
+
+
+def least_common(k: int, percent: int) -> int:
+    """Common values asked of two sketches of k values: six standard deviations below the mean.
+
+    At similarity 0.8, 32 values of the union's sketch hold 25.6 common ones on average; 11 or
+    fewer have a probability below 1e-7.
+    """
+    p = percent / 100
+    return max(1, int(k * p - 6 * (k * p * (1 - p)) ** 0.5))
+
+
 _TOP = np.uint64(1 << 63)
+SKETCHED = "k struct<id: long, k: long>, n long, digest binary, sketch array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +86,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return placed[new], hashed[new]
 
 
-def _sketch_task(size: int):
+def _sketch_task(size: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, data, offsets in text_blocks(batch.column(1)):
@@ -80,8 +96,8 @@ def _sketch_task(size: int):
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(salt)), dtype=np.uint64)]) for salt in (11, 13)]
                     digests = np.stack([mix(s[first[1:]] - s[first[:-1]] + number.astype(np.uint64)) for s in sums], 1)
-                kept = np.minimum(number, SKETCH)
-                retained = np.arange(len(h)) - first[:-1][row] < SKETCH
+                kept = np.minimum(number, k)
+                retained = np.arange(len(h)) - first[:-1][row] < k
                 # top bit flipped: signed order is hash order
                 values = (h[retained] ^ _TOP).view(np.int64)
                 raw = digests.astype(">u8").tobytes()
@@ -125,7 +141,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     # whole sets are exact; of truncated ones the least number is asked that any link reaches
     whole = F.greatest("na", "nb") <= SKETCH
-    likely = F.when(whole, 100 * common >= percent * F.size(F.array_union("sa", "sb"))).otherwise(common >= F.least(F.lit(COMMON), F.size(union) / 3))
+    likely = F.when(whole, 100 * common >= percent * F.size(F.array_union("sa", "sb"))).otherwise(
+        common >= F.least(F.lit(least_common(SKETCH, percent)), F.size(union) / 3))
     likely_pairs = written(known.filter(likely).select("a", "b"), "likely-pairs")
     wanted = likely_pairs.select(F.col("a").alias("k")).unionByName(likely_pairs.select(F.col("b").alias("k"))).distinct()
     bodies = written(texts.join(wanted, "k", "left_semi"), "pair-texts")
@@ -135,8 +152,94 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     return written(ordered.mapInArrow(_verify_task(size, percent), "a long, b long").distinct(), "links")
 
 
-def _sizes_fit(percent: int) -> F.Column:
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+def _can_link(percent: int, k: int) -> F.Column:
+    """What sizes and shared values allow: (na, sa) and (nb, sb) of a pair."""
+    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    # values that a whole set shares with no other bound every intersection
+    enough = F.least("sa", "sb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return fit & ((F.greatest("na", "nb") > k) | enough)
+
+
+def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Inverted lists (v, cls, n, s, w) of the rarest retained values of each class (cls, n, sketch).
+
+    s counts the retained values that other classes share; w tells how central a class is: the
+    text that many others were made from shares all its values.
+    """
+    values = classes.select("cls", "n", F.explode("sketch").alias("v"))
+    frequency = values.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
+    size, p = F.least(F.col("n"), F.lit(k)), percent / 100
+    # common values that any link leaves in both sketches, whole or truncated
+    common = F.when(F.col("n") > k, least_common(k, percent)).otherwise(
+        F.least(F.ceil(F.col("n") * percent / 100), F.floor(k - F.col("n") * ((1 - p) / p))))
+    shared = values.join(frequency, "v").groupBy("cls", "n").agg(
+        F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"), F.round(F.sum(F.log2("f")), 3).alias("w"))
+    # values that one class alone retains come first in the order, and their lists hold no pair
+    prefix = F.greatest(F.lit(0), size - F.greatest(common, F.lit(1)) + 1 - (size - F.size("vs"))).cast("int")
+    return written(shared.withColumn("s", F.size("vs")).withColumn("vs", F.slice("vs", 1, prefix)).select(
+        "cls", "n", "s", "w", F.explode("vs").alias("e")).select(F.col("e.v").alias("v"), "cls", "n", "s", "w"), "lists")
+
+
+def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists with the component c of each member under the links so far."""
+    known = components(links)
+    return written(lists.join(known, F.col("cls") == F.col("node"), "left").select(
+        *lists.columns, F.coalesce("component", "cls").alias("c")), "placed-lists")
+
+
+def _split(placed: DataFrame) -> DataFrame:
+    """Lists whose members lie in several components: v, members, the largest component."""
+    parts = placed.groupBy("v", "c").agg(F.count("*").alias("m"))
+    return parts.groupBy("v").agg(F.sum("m").alias("members"), F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).filter(
+        "cs > 1").select("v", "members", F.col("top.c").alias("major"))
+
+
+def _hub_pairs(lists: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs of the most central member of each long list with the others."""
+    hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("w", F.negate("cls").alias("o"), "cls", "n", "s")).alias("h")).filter(
+        F.col("m") > LONG_LIST)
+    return lists.join(hubs, "v").filter(F.col("cls") != F.col("h.cls")).select(
+        F.col("h.cls").alias("x"), F.col("h.n").alias("na"), F.col("h.s").alias("sa"), F.col("cls").alias("y"), F.col("n").alias("nb"), F.col("s").alias("sb"),
+    ).filter(_can_link(percent, k)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _against_hub(lists: DataFrame, deep: DataFrame) -> DataFrame:
+    """Members of long lists with a hub of theirs, its size, and how they differ from it.
+
+    ``less`` are the hub's values that the member has not, ``more`` those that it adds; two
+    members of one hub have their exact intersection by these.  Members that differ in more than
+    ``DIFFERENCES`` values have no row.  Both sets must be whole.
+    """
+    hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("w", F.negate("cls").alias("o"), "cls", "n")).alias("h")).filter(
+        (F.col("m") > LONG_LIST) & (F.col("h.n") <= DEEP))
+    chosen = lists.filter(F.col("n") <= DEEP).join(hubs, "v").groupBy("cls").agg(F.max("h").alias("h")).select(
+        "cls", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"))
+    sets = deep.select("cls", "sketch")
+    return written(chosen.join(sets, "cls").join(sets.withColumnsRenamed({"cls": "hub", "sketch": "hub_sketch"}), "hub").select(
+        "cls", "hub", "hub_n", F.array_except("hub_sketch", "sketch").alias("less"), F.array_except("sketch", "hub_sketch").alias("more"),
+    ).filter(F.size("less") + F.size("more") <= DIFFERENCES), "hub-members")
+
+
+def _cross_pairs(open_lists: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs of members outside a list's largest component with the members of other components.
+
+    Lists may carry a hub and the differences from it (see ``_against_hub``); pairs of one hub
+    are then made only if their intersection suffices.
+    """
+    met = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))) & _can_link(percent, k)
+    own, other = {"cls": "x", "n": "na", "s": "sa", "c": "cx", "v": "vx"}, {"cls": "y", "n": "nb", "s": "sb", "c": "cy"}
+    if "hub" in open_lists.columns:
+        own, other = own | {"hub": "hub_x", "less": "less_x", "more": "more_x"}, other | {"hub": "hub_y", "hub_n": "hub_n", "less": "less_y", "more": "more_y"}
+        least = F.col("hub_n") - F.greatest(F.size("less_x"), F.size("less_y")) + F.least(F.size("more_x"), F.size("more_y"))
+        exact = F.col("hub_n") - F.size("less_x") - F.size("less_y") + F.size(F.array_intersect("less_x", "less_y")) + F.size(
+            F.array_intersect("more_x", "more_y"))
+        enough = [x * (100 + percent) >= (F.col("na") + F.col("nb")) * percent for x in (least, exact)]
+        apart = F.col("hub_x").isNull() | F.col("hub_y").isNull() | (F.col("hub_x") != F.col("hub_y"))
+        met = met & (apart | (enough[0] & enough[1]))
+    minor = open_lists.filter("c <> major").select(*own).withColumnsRenamed(own)
+    rest = open_lists.select("v", "major", *other).withColumnsRenamed(other)
+    return minor.join(rest, (F.col("vx") == F.col("v")) & met).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,43 +256,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col
     text = F.col(text_col).cast("string")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("k"), text.alias("text"))
     rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("k")).alias("k"), text.alias("text"))
-    sketched = written(rows.mapInArrow(_sketch_task(shingle), "k struct<id: long, k: long>, n long, digest binary, sketch array<long>").select(
+    sketched = written(rows.mapInArrow(_sketch_task(shingle, SKETCH), SKETCHED).select(
         F.col("k.id").alias("doc_id"), F.col("k.k").alias("k"), "n", "digest", "sketch"), "sketches")
     # equal sets are one class, named by its least key
     members = sketched.filter("digest is not null").groupBy("digest").agg(
         F.min("k").alias("cls"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(members, "classes")
 
-    values = classes.select("cls", "n", F.explode("sketch").alias("v"))
-    frequency = values.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
-    # values that one class alone retains come first in the order, and their lists hold no pair
-    size = F.least(F.col("n"), F.lit(SKETCH))
-    least_common = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * 0.75)).otherwise(COMMON)
-    shared = values.join(frequency, "v").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"))
-    prefix = F.greatest(F.lit(0), size - least_common + 1 - (size - F.size("vs"))).cast("int")
-    lists = written(shared.withColumn("vs", F.slice("vs", 1, prefix)).select("cls", "n", F.explode("vs").alias("e")).select(
-        "cls", "n", F.col("e.v").alias("v")), "lists")
-
-    # long lists: one hub each
-    hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("cls", "n")).alias("hub")).filter(F.col("m") > LONG_LIST).select(
-        F.col("v"), F.col("hub.cls").alias("a"), F.col("hub.n").alias("na"))
-    stars = lists.withColumnsRenamed({"cls": "b", "n": "nb"}).join(hubs, "v").filter("a <> b").filter(_sizes_fit(percent)).select("a", "b").distinct()
-    links = _verified(stars, classes, texts, shingle, percent)
-    known = components(links)
+    lists = _lists(classes, SKETCH, percent)
+    links = _verified(_hub_pairs(lists, percent, SKETCH), classes, texts, shingle, percent)
+    placed = _placed(lists, links)
+    open_lists = placed.join(_split(placed), "v")
+    short = _cross_pairs(open_lists.filter(F.col("members") <= LONG_LIST), percent, SKETCH)
+    links = links.unionByName(_verified(short, classes, texts, shingle, percent))
 
-    # all lists: members outside the largest component against the members of other components
-    placed = written(lists.join(known, F.col("cls") == F.col("node"), "left").select(
-        "v", "cls", "n", F.coalesce("component", "cls").alias("c")), "placed-lists")
-    parts = placed.groupBy("v", "c").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("v").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).filter("cs > 1").select(
-        "v", F.col("top.c").alias("major"))
-    open_lists = placed.join(mixed, "v")
-    minor = open_lists.filter("c <> major").select("v", F.col("cls").alias("x"), F.col("n").alias("na"), F.col("c").alias("cx"))
-    rest = open_lists.select("v", F.col("cls").alias("y"), F.col("n").alias("nb"), F.col("c").alias("cy"), "major")
-    pairs = minor.join(rest, "v").filter("cx <> cy").filter((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))).filter(
-        _sizes_fit(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _verified(pairs, classes, texts, shingle, percent)
-    joined = written(components(links.unionByName(more)), "components")
+    # long lists that one hub does not hold together: their members are listed again, by deep sketches
+    again = written(open_lists.filter(F.col("members") > LONG_LIST).select("cls").distinct(), "deep-classes")
+    deep_texts = texts.join(again, F.col("k") == F.col("cls"), "left_semi").select(F.struct(F.col("k").alias("id"), "k").alias("k"), "text")
+    deep = written(deep_texts.mapInArrow(_sketch_task(shingle, DEEP), SKETCHED).filter("n > 0").groupBy(F.col("k.k").alias("cls")).agg(
+        F.max(F.struct("n", "sketch")).alias("e")).select("cls", "e.*"), "deep-sketches")
+    deep_lists = _lists(deep, DEEP, percent)
+    links = links.unionByName(_verified(_hub_pairs(deep_lists, percent, DEEP), classes, texts, shingle, percent))
+    placed = _placed(deep_lists, links).join(_against_hub(deep_lists, deep), "cls", "left")
+    links = links.unionByName(_verified(_cross_pairs(placed.join(_split(placed), "v"), percent, DEEP), classes, texts, shingle, percent))
+    joined = written(components(links), "components")
 
     least = joined.join(classes.select("cls", "least"), F.col("node") == F.col("cls")).groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "component").select("node", "component_id")
