@@ -2,14 +2,16 @@
 
 Every string of ``window`` bytes has a minimizer, so equal strings lie in pieces with one
 minimizer (see ``windows``).  Pieces with equal bytes repeat as a whole.  Of the others only
-those can hold a repeat that share, around the minimizer, one of four blocks that together
-reach into every window; one piece of each content is fetched, and the suffixes that start
-at its windows are sorted together with those of the same minimizer.
+those can hold a repeat that share, around the minimizer, one of eight blocks of 350 bytes,
+and only in the windows that hold a shared block; every window holds one.  One piece of each
+content is fetched, and the suffixes that start at these windows are sorted together with
+those of the same minimizer.
 
 The sort is a mergesort on hashes: prefix polynomial hashes give the hash of any stretch in
 one step, a binary search over them finds the common extension of two suffixes, and the byte
-behind it decides.  Neighbours with a common extension of a whole window are compared byte
-by byte before they count.  All merges of a level run at once in numpy.
+behind it decides (suffixes that differ in their first eight bytes need no search).
+Neighbours that agree in a whole window are compared byte by byte before they count.  All
+merges of a level run at once in numpy.
 
 A minimizer met by very many contents is dealt over several sorts, each of which leaves one
 digest per window; the digests meet in a Spark aggregation.
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 from docsieve.llm.common import prefix_hash, span_hash, text_blocks, written
 from docsieve.llm.windows import pieces
 
-WINDOW, GRAM, STEP = 400, 32, 100
-RUN = 1024  # contents of one minimizer that are sorted together
+WINDOW, GRAM, STEP = 400, 32, 50
+RUN = 4096  # contents of one minimizer that are sorted together
 SORT_BYTES = 200_000  # small groups are sorted together up to about this size
-PIECE = "mini long, piece long, doc long, pos long, n int, blocks array<struct<j: int, block: long>>"
+PIECE = "mini long, piece long, doc long, pos long, n int, anchor int, blocks array<struct<j: int, block: long>>"
 
 
 def _minis(window: int):
@@ -68,7 +70,8 @@ def _pieces(window: int):
                     pa.StructArray.from_arrays([pa.array(np.concatenate(js)[order]), pa.array(np.concatenate(values)[order].view(np.int64))], ["j", "block"]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(p.key.view(np.int64)), pa.array(p.content.view(np.int64)), pa.array(doc[begin:end][p.row]), pa.array(p.start),
-                     pa.array(p.count.astype(np.int32)), blocks], names=["mini", "piece", "doc", "pos", "n", "blocks"])
+                     pa.array(p.count.astype(np.int32)), pa.array((p.anchor - low).astype(np.int32)), blocks],
+                    names=["mini", "piece", "doc", "pos", "n", "anchor", "blocks"])
     return run
 
 
@@ -83,18 +86,29 @@ def _contents(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, data, offsets in text_blocks(batch.column(1)):
-                row, (pos, n, mini, piece) = _listed(batch.column(2).slice(begin, end - begin), ("pos", "n", "mini", "piece"))
+                row, (pos, n, mini, piece, anchor, js) = _listed(
+                    batch.column(2).slice(begin, end - begin), ("pos", "n", "mini", "piece", "anchor", "js"))
                 a = offsets[row] + pos
                 b = a + n + window - 1
                 inside = b <= offsets[row + 1]
-                a, b, n, mini, piece = a[inside], b[inside], n[inside], mini[inside], piece[inside]
+                a, b, mini, piece, anchor, js = a[inside], b[inside], mini[inside], piece[inside], anchor[inside], js[inside]
                 true = np.flatnonzero(span_hash(prefix_hash(data), a, b).view(np.int64) == piece)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mini[true]), pa.array(piece[true]), pa.array(n[true].astype(np.int32)),
-                     pa.array([data[a[i]: b[i]].tobytes() for i in true], pa.binary())], names=["mini", "piece", "n", "bytes"])
+                    [pa.array(mini[true]), pa.array(piece[true]), pa.array(anchor[true].astype(np.int32)), pa.array(js[true]),
+                     pa.array([data[a[i]: b[i]].tobytes() for i in true], pa.binary())], names=["mini", "piece", "anchor", "js", "bytes"])
     return run
 
 
+def wanted_windows(anchor: int, js: int, count: int, window: int) -> np.ndarray:
+    """Windows of a piece, from its start, that hold one of the blocks in the bit set ``js``."""
+    before = anchor - np.arange(count)  # bytes from the window's start to the minimizer
+    out = np.zeros(count, bool)
+    for j in range(window // STEP):
+        if js >> j & 1:
+            out |= (before >= window - STEP * (j + 1)) & (before <= window - STEP * j)
+    return np.flatnonzero(out)
+
+
 # ---- suffix sort ------------------------------------------------------------------------
 
 def _extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
@@ -109,21 +123,37 @@ def _extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) ->
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
 
 
-def _after(data: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """-1, 0 or 1 as the suffix at a sorts before, like or after that at b."""
-    common = _extension(prefix, a, b, limit)
-    inside = common < limit
-    at = np.minimum(common, limit - 1)
-    return np.where(inside, np.sign(data[a + at].astype(np.int64) - data[b + at]), 0)
+class _Suffixes:
+    """Suffixes at ``start``, compared on their first ``limit`` bytes."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, limit: int) -> None:
+        self.data, self.start, self.limit, self.prefix = data, start, limit, prefix_hash(data)
+        self.whole = span_hash(self.prefix, start, start + limit)
+        self.head = np.zeros(len(start), np.uint64)  # the first eight bytes as a number
+        for k in range(8):
+            self.head = (self.head << np.uint64(8)) | (data[start + k].astype(np.uint64) if k < limit else np.uint64(0))
 
+    def after(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as suffix a sorts before, like or after suffix b."""
+        x, y = self.head[a], self.head[b]
+        out = np.where(x > y, 1, -1)
+        tie = np.flatnonzero(x == y)
+        same = self.whole[a[tie]] == self.whole[b[tie]]
+        out[tie[same]] = 0
+        tie = tie[~same]
+        p, q = self.start[a[tie]], self.start[b[tie]]
+        at = np.minimum(_extension(self.prefix, p, q, self.limit), self.limit - 1)
+        out[tie] = np.sign(self.data[p + at].astype(np.int64) - self.data[q + at])
+        return out
 
-def sorted_suffixes(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
-    """Order of the suffixes at ``start`` (first ``limit`` bytes) within each group; groups are contiguous.
+
+def sorted_suffixes(suffixes: _Suffixes, group: np.ndarray) -> np.ndarray:
+    """Order of the suffixes within each group; groups are contiguous.
 
     Bottom-up mergesort: at each level every element finds its rank in the neighbouring run by
     binary search, all elements at once.
     """
-    n = len(start)
+    n = len(group)
     order = np.arange(n)
     bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     base = bounds[np.searchsorted(bounds, np.arange(n), "right") - 1]  # first place of the own group
@@ -144,7 +174,7 @@ def sorted_suffixes(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, gro
             if not len(open_):
                 break
             mid = (low[open_] + high[open_]) >> 1
-            sign = _after(data, prefix, start[order[open_]], start[order[mid]], limit)
+            sign = suffixes.after(order[open_], order[mid])
             # an element goes behind those of the other run that are less, a right one also behind equals
             behind = (sign > 0) | ((sign == 0) & ~left[open_])
             low[open_], high[open_] = np.where(behind, mid + 1, low[open_]), np.where(behind, high[open_], mid)
@@ -163,60 +193,65 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) ->
     return out
 
 
-def repeated_starts(contents: list[tuple[int, bytes]], window: int) -> list[np.ndarray]:
-    """For (group, bytes) pieces, in order of group: which windows another place of the group has."""
-    data = np.frombuffer(b"".join(b for _, b in contents), np.uint8)
-    sizes = np.array([len(b) for _, b in contents])
-    begin, counts = np.cumsum(sizes) - sizes, sizes - window + 1
-    each = np.repeat(np.arange(len(contents)), counts)
-    start = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
-    group = np.array([g for g, _ in contents])[each]
-    prefix = prefix_hash(data)
-    order = sorted_suffixes(data, prefix, start, group, window)
+def repeated_starts(contents: list[tuple[int, bytes, np.ndarray]], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For pieces (group, bytes, windows), in order of group: which of the windows repeat in the group.
+
+    Also which windows are the first of their kind in the sort.
+    """
+    data = np.frombuffer(b"".join(b for _, b, _ in contents), np.uint8)
+    sizes, counts = np.array([len(b) for _, b, _ in contents]), np.array([len(w) for *_, w in contents])
+    begin, each = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(contents)), counts)
+    start = begin[each] + np.concatenate([w for *_, w in contents])
+    group = np.array([g for g, *_ in contents])[each]
+    suffixes = _Suffixes(data, start, window)
+    order = sorted_suffixes(suffixes, group)
     a, b = order[:-1], order[1:]
-    near = np.flatnonzero((group[a] == group[b]) & (_extension(prefix, start[a], start[b], window) == window)) if len(order) > 1 else np.zeros(0, np.int64)
+    near = np.flatnonzero((group[a] == group[b]) & (suffixes.whole[a] == suffixes.whole[b]))
     near = near[_equal_bytes(data, start[a[near]], start[b[near]], window)] if len(near) else near
-    found = np.zeros(len(start), bool)
+    found, first = np.zeros(len(start), bool), np.ones(len(start), bool)
     found[order[near]] = found[order[near + 1]] = True
-    return np.split(found, np.cumsum(counts)[:-1])
+    first[order[near + 1]] = False
+    edges = np.cumsum(counts)[:-1]
+    return list(zip(np.split(found, edges), np.split(first, edges)))
 
 
 def _sort_task(window: int):
     """Rows sorted by (mini, run): sort the suffixes of each group.
 
     Gives the windows that repeat as (mini, piece, at, n, digest null), and for groups dealt
-    over several runs the digest of every other window.
+    over several runs the digest of the first window of each kind.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[tuple, int, bytes, int]] = []  # (group, piece, bytes, runs)
+        held: list[tuple] = []  # (group, piece, bytes, windows, runs)
         size, seen, last = 0, set(), None
 
         def flush() -> pa.RecordBatch:
             names = {g: i for i, g in enumerate(dict.fromkeys(h[0] for h in held))}
-            found = repeated_starts([(names[h[0]], h[2]) for h in held], window)
             rows: list[tuple] = []
-            for ((mini, _), piece, raw, runs), marks in zip(held, found):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
+            for ((mini, _), piece, raw, at, runs), (found, first) in zip(held, repeated_starts([(names[h[0]], h[2], h[3]) for h in held], window)):
+                marks = np.zeros(len(raw) + 1, np.int8)
+                marks[at[found]] = 1
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], marks])))
                 rows += [(mini, piece, int(a), int(b - a), None) for a, b in zip(edge[::2], edge[1::2])]
                 if runs > 1:
-                    # repeats inside a run also stand for themselves in the other runs
-                    rows += [(mini, piece, i, 1, hashlib.blake2b(raw[i: i + window], digest_size=16).digest()) for i in range(len(marks))]
+                    rows += [(mini, piece, int(i), 1, hashlib.blake2b(raw[i: i + window], digest_size=16).digest()) for i in at[first]]
             held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
                 names=["mini", "piece", "at", "n", "digest"])
 
         for batch in batches:
-            for mini, salt, runs, piece, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for mini, salt, runs, piece, anchor, js, raw in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 group = (mini, salt)
                 if group != last:
                     if size > SORT_BYTES:
                         yield flush()
                         size = 0
                     seen, last = set(), group
-                if piece not in seen:
+                at = wanted_windows(anchor, js, len(raw) - window + 1, window)
+                if piece not in seen and len(at):
                     seen.add(piece)
-                    held.append((group, piece, raw, runs))
+                    held.append((group, piece, raw, at, runs))
                     size += len(raw)
         if held:
             yield flush()
@@ -259,7 +294,7 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     minis = written(own.select("text").mapInArrow(_minis(window), "mini long").groupBy("mini").agg(
         F.count("*").alias("m")).filter("m > 1").select("mini"), "shared-minimizers")
     found = written(own.mapInArrow(_pieces(window), PIECE).join(minis, "mini"), "pieces")
-    contents = found.groupBy("mini", "piece").agg(F.count("*").alias("m"), F.min(F.struct("doc", "pos", "n")).alias("first"))
+    contents = found.groupBy("mini", "piece").agg(F.count("*").alias("m"), F.min(F.struct("doc", "pos", "n", "anchor")).alias("first"))
     contents = written(contents, "contents")
     many = contents.filter("m > 1").select("mini", "piece")
     whole = found.join(many, ["mini", "piece"], "left_semi").select("doc", "pos", "n", F.col("pos").alias("piece_pos"), F.col("n").alias("piece_n"), "piece")
@@ -267,14 +302,15 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # pieces that share a block with another content of their minimizer
     blocks = found.select("mini", "piece", F.explode("blocks").alias("b")).select("mini", "piece", "b.j", "b.block").distinct()
     shared = blocks.groupBy("mini", "j", "block").agg(F.count("*").alias("m")).filter("m > 1").select("mini", "j", "block")
-    candidates = blocks.join(shared, ["mini", "j", "block"], "left_semi").select("mini", "piece").distinct()
-    fetched = contents.join(candidates, ["mini", "piece"]).select("mini", "piece", "first.*")
-    listed = fetched.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "mini", "piece")).alias("wanted"))
+    candidates = blocks.join(shared, ["mini", "j", "block"], "left_semi").groupBy("mini", "piece").agg(
+        F.bit_or(F.expr("shiftleft(1L, j)")).alias("js"))
+    fetched = contents.join(candidates, ["mini", "piece"]).select("mini", "piece", "js", "first.*")
+    listed = fetched.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "mini", "piece", "anchor", "js")).alias("wanted"))
     raw = written(own.join(listed, "doc").select("doc", "text", "wanted").mapInArrow(
-        _contents(window), "mini long, piece long, n int, bytes binary"), "contents-bytes")
+        _contents(window), "mini long, piece long, anchor int, js long, bytes binary"), "contents-bytes")
     runs = raw.groupBy("mini").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
     dealt = raw.join(runs, "mini").withColumn("run", F.pmod(F.xxhash64("piece"), F.col("runs")).cast("int"))
-    marks = written(dealt.select("mini", "run", "runs", "piece", "bytes").repartition("mini", "run").sortWithinPartitions("mini", "run", "piece").mapInArrow(
+    marks = written(dealt.select("mini", "run", "runs", "piece", "anchor", "js", "bytes").repartition("mini", "run").sortWithinPartitions("mini", "run", "piece").mapInArrow(
         _sort_task(window), "mini long, piece long, at int, n int, digest binary"), "marks")
     met = marks.filter("digest is not null")
     across = met.join(met.groupBy("mini", "digest").agg(F.count("*").alias("m")).filter("m > 1"), ["mini", "digest"], "left_semi")

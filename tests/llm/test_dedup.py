@@ -211,13 +211,21 @@ def test_strings_of_a_minimizer_with_many_contents(docs, docs_rows, monkeypatch,
 def test_suffix_sort_orders_and_finds_repeats():
     rng = random.Random(6)
     contents = [(g, bytes(rng.choice(b"ab") for _ in range(rng.randrange(12, 60)))) for g in range(5) for _ in range(g + 1)]
-    found = suffix_dedup.repeated_starts(contents, 12)
-    for (g, raw), marks in zip(contents, found):
+    found = suffix_dedup.repeated_starts([(g, b, np.arange(len(b) - 11)) for g, b in contents], 12)
+    for (g, raw), (marks, _) in zip(contents, found):
         pool = Counter(b[a:a + 12] for h, b in contents if h == g for a in range(len(b) - 11))
         assert marks.tolist() == [pool[raw[a:a + 12]] > 1 for a in range(len(raw) - 11)]
-    from docsieve.llm.common import prefix_hash
-
+    kinds = {(g, raw[a:a + 12]) for g, raw in contents for a in range(len(raw) - 11)}
+    assert sum(int(first.sum()) for _, first in found) == len(kinds)
     data = np.frombuffer(contents[-1][1], np.uint8)
-    start = np.arange(len(data) - 11)
-    order = suffix_dedup.sorted_suffixes(data, prefix_hash(data), start, np.zeros(len(start), int), 12)
-    assert [data[s:s + 12].tobytes() for s in start[order]] == sorted(data[s:s + 12].tobytes() for s in start)
+    for limit in (5, 12):
+        start = np.arange(len(data) - 11)
+        order = suffix_dedup.sorted_suffixes(suffix_dedup._Suffixes(data, start, limit), np.zeros(len(start), int))
+        assert [data[s:s + limit].tobytes() for s in start[order]] == sorted(data[s:s + limit].tobytes() for s in start)
+
+
+def test_every_window_holds_a_block():
+    for anchor in (0, 150, 368):
+        count = anchor + 1
+        assert suffix_dedup.wanted_windows(anchor, (1 << 8) - 1, count, 400).tolist() == list(range(count))
+        assert all(0 <= anchor - t - (400 - 50 * (j + 1)) <= 50 for j in range(8) for t in suffix_dedup.wanted_windows(anchor, 1 << j, count, 400))
