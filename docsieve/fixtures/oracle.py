@@ -453,3 +453,11 @@ SELECT document_id, 'document_understanding' AS task, 'echo' AS model_id, filena
        CAST(sum(length(coalesce(text, ''))) AS INTEGER) AS ocr_chars, CAST(sum(n_blocks) AS INTEGER) AS blocks,
        string_agg(CASE WHEN parsed AND coalesce(trim(text, {WS}), '') <> '' THEN 'page with text' ELSE '-' END, ',' ORDER BY page_number) AS summaries
 FROM res GROUP BY document_id, filename"""
+ORACLE["understand_errors"] = f"""WITH {_FILES}
+SELECT document_id, source_path, CASE WHEN reason IS NOT NULL THEN reason WHEN file_type = 'pdf' AND file_size_bytes % 2 <> 0 THEN 'page_count_unknown'
+       ELSE 'Page 2 not found in document' END AS error
+FROM man WHERE reason IS NOT NULL OR page_count < 2 OR (file_type = 'pdf' AND file_size_bytes % 2 <> 0)"""
+ORACLE["eval_unmatched"] = """
+SELECT coalesce(l.doc_id, d.doc_id) AS document_id, CASE WHEN d.doc_id IS NULL THEN 'no_truth' ELSE 'no_reply' END AS reason
+FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d ON l.doc_id = d.doc_id
+WHERE l.doc_id IS NULL OR d.doc_id IS NULL"""

@@ -26,7 +26,8 @@ TREE = f"struct<error:string,kind:string,nodes:array<{NODE}>>"
 FIRST = "struct<pos:int,candidate:string,kind:string,error:string>"
 
 # ---- Fixed values: code fences, with or without a json tag --------------------------------
-FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.DOTALL | re.IGNORECASE)
+FENCE_MARK = "```"
+FENCE_TAG = re.compile("json", re.IGNORECASE)
 
 _MARKS = re.compile(r'[{}"\\]')
 
@@ -70,10 +71,24 @@ def brace_objects(text: str) -> list[str]:
     return found
 
 
+def fence_bodies(text: str) -> list[str]:
+    """Texts between pairs of fence marks, without a json tag and outer blanks; linear."""
+    found, at = [], text.find(FENCE_MARK)
+    while at >= 0:
+        start = at + len(FENCE_MARK)
+        tag = FENCE_TAG.match(text, start)
+        start = tag.end() if tag else start
+        end = text.find(FENCE_MARK, start)
+        if end < 0:
+            break
+        found.append(text[start:end].strip())
+        at = text.find(FENCE_MARK, end + len(FENCE_MARK))
+    return found
+
+
 def _candidates(reply: str) -> Iterator[str]:
     text = reply.strip()
-    for body in FENCE.findall(text):
-        yield body.strip()
+    yield from fence_bodies(text)
     if text[:1] == "{" and text[-1:] == "}":
         yield text
     yield from brace_objects(text)  # only reached, and scanned, when the others fail
@@ -114,10 +129,16 @@ def _utf8(text: str) -> str:
 class _Level:
     """Column builders for one nesting level; ``inner`` holds the children."""
 
-    def __init__(self, depth: int, container_text: bool):
+    def __init__(self, depth: int):
         self.keys, self.kinds, self.values, self.offsets = [], [], [], [0]
-        self.container_text = container_text or depth == 1
-        self.inner = _Level(depth - 1, container_text) if depth > 1 else None
+        self.container_text = depth == 1
+        self.inner = _Level(depth - 1) if depth > 1 else None
+
+    def carry_text(self, wanted: bool) -> None:
+        """Whether containers added next carry their JSON text; those of the last level always do."""
+        if self.inner is not None:
+            self.container_text = wanted
+            self.inner.carry_text(wanted)
 
     def add_children(self, container) -> None:
         """Append the entries of one object or array (nothing for other values)."""
@@ -155,10 +176,10 @@ class _Level:
         return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), entries)
 
 
-def _tree_batch(replies: pa.Array, container_text: bool) -> pa.Array:
+def _tree_batch(replies: pa.Array, container_text: pa.Array) -> pa.Array:
     sys.set_int_max_str_digits(0)
-    errors, kinds, level = [], [], _Level(3, container_text)
-    for reply in replies.to_pylist():
+    errors, kinds, level = [], [], _Level(3)
+    for reply, wanted in zip(replies.to_pylist(), container_text.to_pylist()):
         error = kind = value = None
         if reply is not None:
             pos, _, value, error = first_json(reply)
@@ -171,6 +192,7 @@ def _tree_batch(replies: pa.Array, container_text: bool) -> pa.Array:
                     pass
         errors.append(None if error is None else _utf8(error))
         kinds.append(kind)
+        level.carry_text(bool(wanted))
         level.add_children(value)
     return pa.StructArray.from_arrays(
         [pa.array(errors, pa.string()), pa.array(kinds, pa.string()), level.to_array()],
@@ -179,14 +201,6 @@ def _tree_batch(replies: pa.Array, container_text: bool) -> pa.Array:
     )
 
 
-def _tree_lean(replies: pa.Array) -> pa.Array:
-    return _tree_batch(replies, container_text=False)
-
-
-def _tree_full(replies: pa.Array) -> pa.Array:
-    return _tree_batch(replies, container_text=True)
-
-
 def _candidates_batch(replies: pa.Array) -> pa.Array:
     return pa.array(
         [None if r is None else [_utf8(c) for c in candidate_texts(r)] for r in replies.to_pylist()],
@@ -237,14 +251,14 @@ def json_first_valid(reply: Column) -> Column:
     return _kernel(_first_batch, FIRST)(_maybe_json(reply, r"\{|```"))
 
 
-def json_tree(reply: Column, container_text: bool = False) -> Column:
+def json_tree(reply: Column, container_text: Column | bool = False) -> Column:
     """First parseable JSON value of a reply, shredded three levels deep, entries in order.
 
     Scalars carry their text and kind.  Objects and arrays carry their JSON text at the
-    third level, and at every level when ``container_text`` is set.
+    third level, and at every level where ``container_text`` is true.
     """
-    kernel = _tree_full if container_text else _tree_lean
-    return _kernel(kernel, TREE)(_maybe_json(reply, r"\{|```|^[\s\x1c-\x1f\x85\p{Z}]*\["))
+    wanted = F.lit(container_text) if isinstance(container_text, bool) else container_text
+    return _kernel(_tree_batch, TREE)(_maybe_json(reply, r"\{|```|^[\s\x1c-\x1f\x85\p{Z}]*\["), wanted)
 
 
 def explode_rows(df, column: Column, pos: str, *names: str):

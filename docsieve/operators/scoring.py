@@ -70,6 +70,18 @@ def field_accuracy_doc(predictions: DataFrame, truth: DataFrame, on: str = "docu
         on, "document_type", "total_fields", "correct_fields", "accuracy", "per_field")
 
 
+def unmatched(predictions: DataFrame, truth: DataFrame, on: str = "document_id") -> DataFrame:
+    """Keys that one side alone has, with the reason: ``no_truth`` or ``no_reply``.
+
+    Metrics compare matched rows; these are the rows that they leave out.
+    """
+    left = predictions.select(on).distinct().withColumn("_reply", F.lit(True))
+    right = truth.select(on).distinct().withColumn("_truth", F.lit(True))
+    both = left.join(right, on, "full_outer")
+    reason = F.when(F.col("_truth").isNull(), "no_truth").when(F.col("_reply").isNull(), "no_reply")
+    return both.select(on, reason.alias("reason")).filter("reason is not null")
+
+
 def field_accuracy_micro(per_document: DataFrame) -> DataFrame:
     """Sums over documents, per document type and in total (document_type NULL)."""
     sums = per_document.rollup("document_type").agg(

@@ -38,9 +38,9 @@ def _string_member(key: str) -> Column:
     return F.when(_is_object() & (entry["kind"] == "string"), entry["value"])
 
 
-def with_payload(replies: DataFrame, reply: str = "response") -> DataFrame:
+def with_payload(replies: DataFrame, reply: str = "response", container_text: Column | bool = False) -> DataFrame:
     """Adds ``_tree``, the shredded payload every parser reads."""
-    return replies.withColumn("_tree", json_tree(F.col(reply)))
+    return replies.withColumn("_tree", json_tree(F.col(reply), container_text))
 
 
 # ---- classification ----------------------------------------------------------------------
@@ -90,11 +90,18 @@ def _json_entries() -> Column:
 
 
 def _line_entries(reply: Column) -> Column:
-    matching = F.filter(lines(reply), lambda line: line.rlike(KEY_VALUE_LINE))
-    return F.transform(matching, lambda line: F.struct(
-        F.regexp_extract(line, KEY_VALUE_LINE, 1).alias("key"),
+    """Key and value of every line of that form; each line meets the pattern once.
+
+    The match is rewritten to key, mark, value.  A line without a match stays as it is, and
+    no match can: a mark stands where its separator stood.
+    """
+    mark = "\x01"
+    split = F.transform(lines(reply), lambda line: let(strip(line), lambda own: let(
+        F.regexp_replace(own, KEY_VALUE_LINE, f"$1{mark}$2"), lambda new: F.when(new != own, new))))
+    return F.transform(F.filter(split, lambda new: new.isNotNull()), lambda new: F.struct(
+        F.substring_index(new, mark, 1).alias("key"),
         F.lit("string").alias("kind"),
-        F.regexp_extract(line, KEY_VALUE_LINE, 2).alias("value"),
+        F.substr(new, F.instr(new, mark) + 1).alias("value"),
     ))
 
 
@@ -168,11 +175,11 @@ def _with_table(parsed: DataFrame, reply: str, wanted: Column) -> DataFrame:
         F.when(is_list, F.transform(F.get(_nodes(), F.lit(0))["items"], lambda c: c["key"]))
         .when(has_rows, own_names)
     )
-    cell = lambda cells, name: F.get(F.filter(cells, lambda c: c["key"] == name), F.lit(0))
+    by_name = lambda cells: F.map_from_entries(F.transform(cells, lambda c: F.struct(c["key"], norm_value(c["value"], c["kind"]))))
     values_of = lambda names: F.transform(
         F.filter("_raw", lambda r: r["kind"].isin(*_CONTAINERS)),
         lambda r: F.when(r["kind"] == "array", _norm_row(r["cells"])).otherwise(
-            F.transform(names, lambda name: let(cell(r["cells"], name), lambda c: norm_value(c["value"], c["kind"])))),
+            let(by_name(r["cells"]), lambda values: F.transform(names, lambda name: F.try_element_at(values, name)))),
     )
     json_rows = let(F.col("_columns"), values_of)
     split_line = lambda line: F.transform(
@@ -240,7 +247,9 @@ def task_dispatch(
     }
     error = F.when(~F.coalesce(name.isin(*tasks), F.lit(False)), F.concat(
         F.lit("Unsupported task: "), F.coalesce(name, F.lit("NULL"))))
-    staged = with_payload(replies.withColumn("_reply", F.coalesce(F.col(reply), F.lit(""))), "_reply")
+    # table cells and column names may be objects or arrays; no other parser reads their text
+    nested = F.coalesce(is_a[dims.TABLE], F.lit(False)) if dims.TABLE in tasks else False
+    staged = with_payload(replies.withColumn("_reply", F.coalesce(F.col(reply), F.lit(""))), "_reply", nested)
 
     if dims.CLASSIFICATION in tasks:
         this = is_a[dims.CLASSIFICATION]

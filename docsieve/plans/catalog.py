@@ -493,3 +493,19 @@ def understand_documents(spark, sf):
         total("inference_logs", lambda r: r["ocr_text_length"]).alias("ocr_chars"),
         total("ocr", lambda p: F.size(p["blocks"])).alias("blocks"),
         F.array_join(F.transform("results", lambda r: F.coalesce(r["summary"], F.lit("-"))), ",").alias("summaries"))
+
+
+@query
+def understand_errors(spark, sf):
+    """Every second PDF comes without a page count, and only second pages are asked for."""
+    listed = render.files(spark, sf)
+    counted = listed.withColumn("page_count", F.when(F.col("file_size_bytes") % 2 == 0, F.col("page_count")))
+    return understand.understand_errors(manifest.manifest_validate(counted), 2)
+
+
+@query
+def eval_unmatched(spark, sf):
+    """Replies of the labelled documents against the truth of those with an even id."""
+    replies = render.table(spark, sf, "labels").select(F.col("doc_id").alias("document_id"))
+    truth = render.table(spark, sf, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id"))
+    return report.eval_unmatched(replies, truth)

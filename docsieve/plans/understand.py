@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.operators.infer import batch_infer
-from docsieve.operators.ocr import ocr_lines, ocr_page_text, page_ocr_join, page_select
+from docsieve.operators.ocr import ocr_lines, ocr_page_text, page_ocr_join, page_select, page_select_errors
 from docsieve.operators.prompts import prompt_object
 from docsieve.operators.structured import structured_parse
-from docsieve.sources.manifest import page_explode
+from docsieve.sources.manifest import accepted, page_explode
+
+PAGE_COUNT_UNKNOWN = "page_count_unknown"
 
 RESULT = (
-    "page_number", "document_type", "fields", "tables", "summary", "confidence", "response",
+    "page_number", "status", "error", "document_type", "fields", "tables", "summary", "confidence", "response",
     "parse_errors", "schema_errors", "parse_success", "schema_valid", "schema_normalized",
 )
 LOG = (
-    "page_number", "model_name", "task", "inference_time", "parse_success", "schema_valid",
+    "page_number", "status", "error", "model_name", "task", "inference_time", "parse_success", "schema_valid",
     "schema_normalized", "document_type", "field_count", "ocr_text_length", "parse_errors", "schema_errors",
 )
 
@@ -27,16 +29,32 @@ def understand_pages(
 ) -> DataFrame:
     """One structured result per page of the accepted documents.
 
-    The page choice is applied to both inputs before anything is grouped or inferred.
+    The page choice is applied to both inputs before anything is grouped or inferred, and
+    words of other documents are left out first.  A page whose inference failed has its status
+    and error; documents without a page are listed by ``understand_errors``.
     """
     pages = page_select(page_explode(manifest), page_number)
-    ocr = ocr_page_text(ocr_lines(page_select(words, page_number), min_confidence))
+    own = page_select(words, page_number).join(accepted(manifest).select("document_id"), "document_id", "left_semi")
+    ocr = ocr_page_text(ocr_lines(own, min_confidence))
     prompted = prompt_object(page_ocr_join(pages, ocr).withColumn("task", F.lit(task)))
     prompted = prompted.withColumn("ocr_text_length", F.length(F.coalesce("ocr_text", F.lit(""))))
     replies = batch_infer(prompted, factory, model_key, image="source_path", partitions=partitions)
     return structured_parse(replies)
 
 
+def understand_errors(manifest: DataFrame, page_number: int | None = None) -> DataFrame:
+    """Documents of the manifest that give no page, with the reason: document_id, source_path, error.
+
+    Quarantined files keep their reason; an accepted file with an unknown number of pages
+    (a scanned PDF whose pages nobody counted) says so, and one without the requested page too.
+    """
+    known = accepted(manifest).filter("page_count is not null")
+    lacking = page_select_errors(known, page_explode(known), page_number)
+    reasons = manifest.filter("status <> 'ACCEPTED' or page_count is null").select(
+        "document_id", F.when(F.col("status") == "ACCEPTED", PAGE_COUNT_UNKNOWN).otherwise(F.col("reason")).alias("error"))
+    return manifest.select("document_id", "source_path").join(reasons.unionByName(lacking), "document_id")
+
+
 def fold_documents(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     """Page results per document: metadata, OCR pages, results and logs, in page order."""
     in_order = lambda *columns: F.sort_array(F.collect_list(F.struct(*columns)))

@@ -1,5 +1,6 @@
 """The reply kernel against a naive model, and its payload rules."""
 
+import time
 import re
 
 import pyarrow as pa
@@ -66,7 +67,7 @@ def test_truncated_outer_object_yields_inner():
 
 
 def tree(reply, full=False):
-    return jsonreply._tree_batch(pa.array([reply]), full).to_pylist()[0]
+    return jsonreply._tree_batch(pa.array([reply]), pa.array([full])).to_pylist()[0]
 
 
 def test_tree_keeps_order_kind_and_number_text():
@@ -102,3 +103,18 @@ def test_odd_inputs_are_data():
     assert tree('{"a": ' + "9" * 5000 + "}")["nodes"][0]["value"] == "9" * 5000
     assert tree('{"a":' * 100_000 + "1" + "}" * 100_000)["kind"] is None
     assert tree(None) is None
+
+
+FENCE_RULE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.DOTALL | re.IGNORECASE)  # the rule that fence_bodies follows
+
+
+@given(st.text(alphabet="`jJsSoOnN {}\n\u00a0\u017f", max_size=40) | st.lists(st.sampled_from(["```", "json", "JSON", " ", "\n", "x", "`"]), max_size=14).map("".join))
+def test_fences_follow_the_rule(text):
+    assert jsonreply.fence_bodies(text) == [body.strip() for body in FENCE_RULE.findall(text)]
+
+
+def test_open_fences_stay_linear():
+    start = time.perf_counter()
+    for text in ("```json" + " " * 200_000, "```" + "\n" * 200_000 + "x", "``` ```" * 30_000 + "`" * 100_001):
+        jsonreply.first_json(text)
+    assert time.perf_counter() - start < 1

@@ -16,6 +16,7 @@ def test_field_accuracy(spark, rows):
     per_document = scoring.field_accuracy_doc(predicted, truth)
     got = {r["document_id"]: r for r in rows(per_document)}
     assert set(got) == {"d1", "d2"}
+    assert {r["document_id"]: r["reason"] for r in rows(scoring.unmatched(predicted, truth))} == {"d3": "no_truth", "d4": "no_reply"}
     assert got["d1"]["per_field"] == {"a": True, "b": True, "c": False} and got["d1"]["accuracy"] == 0.6667
     assert (got["d2"]["total_fields"], got["d2"]["accuracy"]) == (0, None)
     micro = {r["document_type"]: (r["documents"], r["total_fields"], r["correct_fields"], r["accuracy"]) for r in rows(scoring.field_accuracy_micro(per_document))}

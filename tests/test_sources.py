@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from docsieve.operators import ocr
 from docsieve.sources import files, manifest
-from docsieve.sources.spread import spread
 
 PDF, PNG, JPG = b"%PDF-1.7 x", b"\x89PNG\r\n\x1a\n...", b"\xff\xd8\xff\xe0..."
 
@@ -56,11 +55,30 @@ def test_truth_source(spark, rows, tmp_path):
     assert got["d2"]["expected_fields"] == {} and got["d2"]["expected_rows"] == []
 
 
+def test_truth_in_splittable_forms(spark, rows, tmp_path):
+    document = {"document_id": "d1", "document_type": "invoice", "fields": {"amount": "5"}, "table": {"columns": ["a"], "rows": [["1"]]}}
+    (tmp_path / "truth.jsonl").write_text("\n".join(json.dumps({**document, "document_id": f"d{i}"}) for i in range(3)))
+    lines = files.truth_source(spark, str(tmp_path / "truth.jsonl"), "jsonl")
+    spark.read.schema(files.TRUTH_DOCUMENT).json(str(tmp_path / "truth.jsonl")).write.parquet(str(tmp_path / "parquet"))
+    for got in (lines, files.truth_source(spark, str(tmp_path / "parquet"), "parquet")):
+        assert sorted(r["document_id"] for r in rows(got)) == ["d0", "d1", "d2"]
+        assert all(r["expected_fields"] == {"amount": "5"} and r["expected_rows"] == [["1"]] for r in rows(got))
+
+
 def test_ocr_side_files(spark, rows, tmp_path):
-    (tmp_path / "scan.v1.txt").write_text("line one\nline two\n")
-    documents = spark.createDataFrame([("/in/scan.v1.png",), ("/in/other.png",)], "source_path string")
-    got = rows(files.with_ocr_text(documents, files.ocr_text_source(spark, str(tmp_path))).orderBy("source_path"))
-    assert [r["ocr_text"] for r in got] == [None, "line one\nline two\n"]
+    texts = tmp_path / "texts"
+    for folder in ("a", "b", "c d+e"):
+        (texts / folder).mkdir(parents=True)
+        (texts / folder / "page_1.txt").write_text(f"text of {folder}\nline two\n")
+    (texts / "b" / "page_1.ocr").write_text("another")
+    (texts / "scan.v1.txt").write_text("top")
+    documents = spark.createDataFrame(
+        [(f"file:/in/x/{name}",) for name in ("a/page_1.png", "b/page_1.png", "c d+e/page_1.png", "scan.v1.png", "other.png", "page_1.png")], "source_path string")
+    joined = files.with_ocr_text(documents, files.ocr_text_source(spark, str(texts)), "/in/x")
+    got = {r["source_path"].removeprefix("file:/in/x/"): (r["ocr_text"], r["ocr_error"]) for r in rows(joined)}
+    assert joined.count() == 6
+    assert got == {"a/page_1.png": ("text of a\nline two\n", None), "b/page_1.png": (None, "side files with one name: 2"),
+                   "c d+e/page_1.png": ("text of c d+e\nline two\n", None), "scan.v1.png": ("top", None), "other.png": (None, None), "page_1.png": (None, None)}
 
 
 def test_sinks(spark, rows, tmp_path):
@@ -73,9 +91,3 @@ def test_sinks(spark, rows, tmp_path):
     files.write_ocr_json(ocr.ocr_documents(pages), str(tmp_path / "ocr"))
     assert json.loads(spark.read.text(str(tmp_path / "ocr")).first().value) == {
         "document_id": "d", "pages": [{"page_number": 1, "text": "t\nu", "blocks": [{"text": "t", "bbox": [0, 0, 1, 1], "confidence": 0.5}]}]}
-
-
-def test_spread_only_small_inputs(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
-    assert "Exchange" not in spread(spark.range(10, numPartitions=cores + 3))._jdf.queryExecution().executedPlan().toString()

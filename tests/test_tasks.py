@@ -1,5 +1,6 @@
 """Task family: one parser per task, all in one pass."""
 
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,23 @@ def test_cells_long(spark, rows):
     assert rows(tasks.cells_long(df)) == [
         {"id": "t", "row_idx": 0, "col_idx": 0, "column_name": "a", "value": "1"},
         {"id": "t", "row_idx": 0, "col_idx": 1, "column_name": None, "value": "2"}]
+
+
+def test_nested_cells_are_kept(spark, rows):
+    """Nested cells carry their JSON text in every form of a table."""
+    items = [{"item": "x", "price": {"amount": 5}}, {"item": None, "price": {"amount": 6}}, {"item": None, "price": None}]
+    replies = ["```json\n" + json.dumps(items) + "\n```", json.dumps({"rows": items}), json.dumps({"columns": ["item", "price"], "rows": [list(i.values()) for i in items]}),
+               json.dumps({"columns": [{"name": "Date"}, "b"], "rows": [[1, [2, 3]]]}), json.dumps({"columns": "ab", "rows": [{"a": 1, "b": 2}]})]
+    parsed = rows(tasks.table_parse(spark.createDataFrame(list(enumerate(replies)), "id int, response string")).orderBy("id"))
+    want = [["x", '{"amount":5}'], [None, '{"amount":6}']]
+    assert [r["table"]["rows"] for r in parsed[:3]] == [want] * 3
+    assert parsed[3]["table"] == {"columns": ['{"name":"Date"}', "b"], "rows": [["1", "[2,3]"]]}
+    assert parsed[4]["table"] == {"columns": ["a", "b"], "rows": [["1", "2"]]}
+
+
+def test_key_lines_meet_the_pattern_once(spark, rows):
+    reply = " - Total : 5 \n\tName:  A: b\nno pair\x01here\nx\x01y: 1\n" + " " * 5000 + "\n* Due Date= 2024\n"
+    got = rows(tasks.kv_long(spark.createDataFrame([(1, reply)], "id int, response string")))
+    assert [r["value"] for r in got] == ["5", "A: b", "2024"]
+    plan = tasks.kv_long(spark.createDataFrame([(1, reply)], "id int, response string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Za-z][A-Za-z0-9 _/#.()-]{0,48}") <= 2
