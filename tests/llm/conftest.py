@@ -48,7 +48,3 @@ def clashing(docs):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], COLUMNS)
-
-
-def same_rows(a, b):
-    return sorted(map(tuple, a), key=repr) == sorted(map(tuple, b), key=repr)

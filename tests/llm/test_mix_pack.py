@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import same_rows
+from comparing import same_rows
 
 from docsieve.llm import fingerprint, mixing, packing
 from docsieve.llm.queries import tokenizer_path

@@ -5,7 +5,7 @@ import re
 
 import duckdb
 import pytest
-from conftest import same_rows
+from comparing import same_rows
 from test_dedup import expected_near
 
 import __spark_entry__ as entry_points

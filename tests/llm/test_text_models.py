@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import same_rows
+from comparing import same_rows
 
 from docsieve.llm import html_extract, quality, warc
 from docsieve.llm.common import new_path
@@ -34,14 +34,14 @@ def test_quality_odd_inputs(docs, docs_rows, clashing, no_docs, spark):
     labels = spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(docs_rows)] + [(4, 1), (4, None), (10**9, 1), (None, 0)], "doc_id long, quality int")
     got = quality.classify(clashing, labels).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in docs_rows)
-    blank = {r.score for r, d in zip(sorted(got, key=str), sorted(docs_rows, key=str)) if False} or {r.score for r in got if r.doc_id is None}
-    assert all(0 <= s <= 1 for s in blank)
+    texts = {r[0]: r[1] for r in docs_rows if r[0] is not None}
+    assert len({r.score for r in got if r.doc_id is not None and not (texts[r.doc_id] or "").strip()}) == 1  # the bias
     assert quality.classify(no_docs, labels).collect() == []
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.classify(docs, none).collect()} == {0.5}
     assert quality.keep_good(clashing, labels).columns == clashing.columns
     kept = quality.keep_good(docs, labels).collect()
-    assert same_rows([r.doc_id for r in kept if r], [r.doc_id for r in got if r.predicted]) if False else len(kept) == sum(r.predicted for r in got)
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in got if r.predicted)
 
 
 def test_features_by_hand():
@@ -100,7 +100,7 @@ def test_extraction(spark):
 def test_extraction_odd_inputs(spark):
     rows = [(1, "http://a", PAGE), (1, "http://a", PAGE), (2, None, None), (3, "", ""), (None, "u", "<p>"), (5, "u", "a < b & c <unclosed"),
             (6, "u", "<article>" + "<p>word and words.</p>" * 3000 + "</article>"), (7, "u", "<!-- never closed"), (8, "u", "<script>x")]
-    pages = spark.createDataFrame([(*r, "own") for r in rows], "page_id long, url string, html string, text string").withColumnRenamed("text", "text")
+    pages = spark.createDataFrame([(*r, "own") for r in rows], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     by = {r.page_id: r for r in got}
