@@ -11,7 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Session settings while a table of the shared folder is written: shuffle files go with the write,
+#: and Arrow batches hold at most 16 MB of texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +40,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The shuffle files behind the write are of no further use and are removed with it.
     """
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path = new_path(spark, name)
+    before = {key: spark.conf.get(key) for key in WRITING}
+    for key, value in WRITING.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
