@@ -278,9 +278,10 @@ def train(pages: list[tuple[list[Block], np.ndarray]]) -> dict[str, np.ndarray]:
     inputs = [vectors(p) for p, _ in pages]
     step = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(pages))
-        for at in range(0, len(order), BATCH):
-            chosen = sorted(order[at: at + BATCH], key=lambda j: len(inputs[j]))
+        # batches of like length, in random order: a long page makes no short one wait
+        order = sorted(rng.permutation(len(pages)), key=lambda j: len(inputs[j]))
+        for at in rng.permutation(np.arange(0, len(order), BATCH)):
+            chosen = order[at: at + BATCH]
             grads = _gradients([inputs[j] for j in chosen], [pages[j][1] for j in chosen], model)
             step += 1
             for k, g in grads.items():
