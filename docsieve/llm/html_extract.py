@@ -35,6 +35,7 @@ MAX_TRAIN_BLOCKS = 400  # longer pages are not learned from; every page is extra
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"  # ends at once; the other elements without visible text ignore the slash
     r"|<(script|style|template|noscript|svg|iframe|object|canvas|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -45,6 +46,9 @@ _INLINE = frozenset(
 # an opening tag of the key closes an open element of the value, if no container lies between
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CONTAINERS = frozenset("ul ol dl table body article section div nav aside header footer main form".split())
+# elements that leave an open head open; basefont and bgsound have no end tag
+_IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+_HEAD_TOP = frozenset("head basefont bgsound".split())
 _PIECES = re.compile(r"[a-z]+")
 
 Block = tuple[tuple[str, ...], str, int]  # tag path, text, characters inside links
@@ -75,6 +79,14 @@ def blocks(page: str) -> list[Block]:
             text.clear()
         linked = 0
 
+    def leave_head() -> None:
+        """An open head ends, with or without its end tag, where anything of the body begins."""
+        i = len(stack)
+        while i and stack[i - 1][0] in _HEAD_TOP:
+            i -= 1
+        if any(tag == "head" for tag, _ in stack[i:]):
+            del stack[i:]
+
     def add(raw: str) -> None:
         nonlocal linked, path
         if not raw:
@@ -83,6 +95,7 @@ def blocks(page: str) -> list[Block]:
         if not text:
             if raw.isspace():
                 return
+            leave_head()
             path = tuple(n for _, names in stack for n in names)
         text.append(raw)
         if any(tag == "a" for tag, _ in stack):
@@ -108,6 +121,8 @@ def blocks(page: str) -> list[Block]:
                 if tag in _INLINE and stack[i][0] not in _INLINE:
                     break
         else:
+            if tag not in _IN_HEAD:
+                leave_head()
             if tag not in _INLINE or tag in _CLOSES:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p" or stack[i][0] in _CLOSES.get(tag, ()):

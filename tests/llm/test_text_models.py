@@ -109,6 +109,26 @@ def test_extraction_odd_inputs(spark):
     assert html_extract.extract(spark.createDataFrame([], pages.schema)).collect() == []
 
 
+def test_extraction_open_head_and_closed_svg(spark):
+    """Optional </head> and <body> left out, and icons that end at their slash: no text is lost."""
+    icon = '<svg class="i" viewBox="0 0 1 1"/>'
+    variants = [PAGE.replace("</head><body>", "<body>"), PAGE.replace("</head><body>", ""), PAGE.replace("<p>First", f"<p>{icon}First"),
+                PAGE.replace("<header>", f"<header>{icon}<SVG/><svg\n/>"), PAGE.replace("<body>", "<body><svg><title>No</title><path d='M0'/></svg>")]
+    assert all(v != PAGE for v in variants)
+    rows = [(i, "u", html) for i, html in enumerate([PAGE, *variants])]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "First paragraph" in got[0] and set(got.values()) == {got[0]}
+    whole = [t for _, t, _ in html_extract.blocks(PAGE)]
+    assert all([t for _, t, _ in html_extract.blocks(v)] == whole for v in variants)
+    for html, texts in [('<p>one <svg class="i"/> two</p><p>three</p>', ["one two", "three"]), ("<head><title>x</title>bare <b>text</b>", ["bare text"]),
+                        ("<head><bgsound src=a><meta name=b><p>one", ["one"]), ("<p>one<svg><g/><text>drawn</text></svg> two", ["one two"])]:
+        cut = html_extract.blocks(html)
+        assert [t for _, t, _ in cut] == texts and not any("head" in path for path, _, _ in cut)
+    # what stands in the head, and only that, keeps its path
+    kept = html_extract.blocks("<head><noframes>old</noframes><link href=a></head><body><p>one")
+    assert [("head" in path, t) for path, t, _ in kept] == [(True, "old"), (False, "one")]
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(2)
     model = {k: v.astype(np.float64) for k, v in html_extract.new_model(rng).items()}
