@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Session settings while a table of the shared folder is written: shuffle files go with the write,
 #: and Arrow batches hold at most 16 MB of texts.
@@ -52,6 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_text(name: str) -> F.Column:
+    """Of a group's texts the one with the least hash; partial aggregation leaves one a task, so no group is hot."""
+    return F.min(F.struct(F.xxhash64(name).alias("h"), F.col(name).alias("t")))["t"].alias(name)
+
+
 # ---- texts as byte arrays ------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import LOWER, mix, prefix_hash, span_hash, words
+from docsieve.llm.common import LOWER, mix, one_text, prefix_hash, span_hash, words
 
 PATH_DIM, WORD_DIM, FIGURES = 64, 24, 6
 DIM = PATH_DIM + WORD_DIM + FIGURES
@@ -406,11 +406,14 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(pages: DataFrame, sample: int = TRAIN_PAGES) -> dict[str, np.ndarray]:
-    """Train on at most ``sample`` pages, chosen by a hash of page_id; one task learns from them."""
+    """Train on at most ``sample`` pages, chosen by a hash of page_id; one task learns from them.
+
+    Of the rows repeated with one page_id, one is learned from: that with the least hash of its html.
+    """
     spark = pages.sparkSession
     ids = pages.select(F.col("page_id").cast("long").alias("s_id")).filter("s_id is not null").distinct().orderBy(F.xxhash64("s_id"), "s_id").limit(sample)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    chosen = own.join(ids, F.col("page_id") == F.col("s_id")).select("page_id", "html")
+    chosen = own.join(F.broadcast(ids), F.col("page_id") == F.col("s_id")).groupBy("page_id").agg(one_text("html"))
     plain = spark.createDataFrame([(None, "")], "page_id long, html string")
     rows = chosen.unionByName(plain).repartition(1).sortWithinPartitions("page_id", "html").select("html").mapInArrow(
         _train_task, "name string, weights binary").collect()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsieve.llm.common import LOWER, mix, prefix_hash, span_hash, text_blocks, words
+from docsieve.llm.common import LOWER, mix, one_text, prefix_hash, span_hash, text_blocks, words
 
 BITS = 18
 TRAIN_ROWS = 12_000  # bound of the training sample; labelled rows beyond it are not learned from
@@ -99,7 +99,8 @@ def held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights learned from at most ``rows`` labelled documents, chosen by a hash of their id.
 
-    A document with several labels has the largest; null labels are no labels.  The sample,
+    A document with several labels has the largest; null labels are no labels.  Of the rows
+    repeated with one id, one is learned from: that with the least hash of its text.  The sample,
     bounded by ``rows``, is learned from in one task; without any row all weights are 0.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(
@@ -107,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     present = known.join(own.select("doc_id"), F.col("l_id") == F.col("doc_id"), "left_semi")
     sample = present.orderBy(F.xxhash64("l_id"), "l_id").limit(rows)
-    examples = own.join(sample, F.col("l_id") == F.col("doc_id")).select("text", "label", "doc_id")
+    examples = own.join(F.broadcast(sample), F.col("l_id") == F.col("doc_id")).groupBy("doc_id", "label").agg(one_text("text"))
     model = examples.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "label").mapInArrow(
         _train_task, "weights binary").collect()
     return np.frombuffer(model[0]["weights"], np.float32) if model else np.zeros((1 << BITS) + 1, np.float32)

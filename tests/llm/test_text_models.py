@@ -44,6 +44,34 @@ def test_quality_odd_inputs(docs, docs_rows, clashing, no_docs, spark):
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in got if r.predicted)
 
 
+def test_training_samples_bound_rows(spark, monkeypatch):
+    """An id with many rows is learned from once, whatever their order."""
+    rows = [(8, f"<p>copy {i}</p>") for i in range(300)] + [(i, f"<p>text {i}</p>") for i in range(100, 120)] + [(8, None), (8, "<p>copy 0</p>")] * 3
+    frames = [spark.createDataFrame(part, "doc_id long, text string").repartition(4) for part in (rows, rows[::-1])]
+    labels = spark.createDataFrame([(i, i % 2) for i in (8, *range(100, 120))], "doc_id long, quality int")
+    folder = new_path(spark, "seen").removeprefix("file://")
+    os.makedirs(folder)
+
+    def seen(batches):
+        texts = sorted(t for batch in batches for t in batch.column(0).to_pylist())
+        with open(f"{folder}/{hashlib.sha1(os.urandom(8)).hexdigest()}", "w") as f:
+            f.write("\n".join(texts))
+        return iter(())
+
+    monkeypatch.setattr(quality, "_train_task", seen)
+    monkeypatch.setattr(html_extract, "_train_task", seen)
+    counts, known = [], [8, *range(100, 120)]
+    for frame in frames:
+        quality.fit(frame, labels)
+        html_extract.fit(frame.selectExpr("doc_id as page_id", "text as html"))
+    for name in os.listdir(folder):
+        with open(f"{folder}/{name}") as f:
+            counts.append(sorted(line for line in f.read().split("\n") if line))
+    learned = [i for i in known if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert 8 in learned and sorted(map(len, counts)) == sorted([len(learned)] * 2 + [len(known)] * 2)
+    assert len(set(map(tuple, counts))) == 2  # the same rows in either order
+
+
 def test_features_by_hand():
     texts = ["Reed,*** one one", "", "x"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
