@@ -50,7 +50,7 @@ def least_common(k: int, percent: int) -> int:
 
 
 _TOP = np.uint64(1 << 63)
-SKETCHED = "k struct<id: long, k: long>, n long, digest binary, sketch array<long>"
+SKETCHED = "k struct<id: long, k: long, sha: string>, n long, digest binary, sketch array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,11 +253,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col
     of the component are, and such a row is kept.  Other columns are ignored; an empty table
     gives no rows.
     """
+    return _grouped(docs, shingle, percent, id_col, text_col, F.lit(None)).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, sha: F.Column) -> DataFrame:
+    """One row per document: doc_id, sha, n, digest, component_id, component (its least key; null without a shingle)."""
     text = F.col(text_col).cast("string")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("k"), text.alias("text"))
-    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("k")).alias("k"), text.alias("text"))
+    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("k"), sha.cast("string").alias("sha")).alias("k"), text.alias("text"))
     sketched = written(rows.mapInArrow(_sketch_task(shingle, SKETCH), SKETCHED).select(
-        F.col("k.id").alias("doc_id"), F.col("k.k").alias("k"), "n", "digest", "sketch"), "sketches")
+        F.col("k.id").alias("doc_id"), F.col("k.k").alias("k"), F.col("k.sha").alias("sha"), "n", "digest", "sketch"), "sketches")
     # equal sets are one class, named by its least key
     members = sketched.filter("digest is not null").groupBy("digest").agg(
         F.min("k").alias("cls"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -272,7 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col
 
     # long lists that one hub does not hold together: their members are listed again, by deep sketches
     again = written(open_lists.filter(F.col("members") > LONG_LIST).select("cls").distinct(), "deep-classes")
-    deep_texts = texts.join(again, F.col("k") == F.col("cls"), "left_semi").select(F.struct(F.col("k").alias("id"), "k").alias("k"), "text")
+    deep_texts = texts.join(again, F.col("k") == F.col("cls"), "left_semi").select(F.struct(F.col("k").alias("id"), "k", F.lit(None).cast("string").alias("sha")).alias("k"), "text")
     deep = written(deep_texts.mapInArrow(_sketch_task(shingle, DEEP), SKETCHED).filter("n > 0").groupBy(F.col("k.k").alias("cls")).agg(
         F.max(F.struct("n", "sketch")).alias("e")).select("cls", "e.*"), "deep-sketches")
     deep_lists = _lists(deep, DEEP, percent)
@@ -282,19 +288,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col
     joined = written(components(links), "components")
 
     least = joined.join(classes.select("cls", "least"), F.col("node") == F.col("cls")).groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "component").select("node", "component_id")
+    named = joined.join(least, "component").select("node", "component", "component_id")
     resolved = classes.select("digest", "cls", "least").join(named, F.col("cls") == F.col("node"), "left").select(
-        "digest", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    out = sketched.select("doc_id", "n", "digest").join(resolved, "digest", "left").withColumn(
+        "digest", F.coalesce("component", "cls").alias("component"),
+        F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return sketched.select("doc_id", "sha", "n", "digest").join(resolved, "digest", "left").withColumn(
         "component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Documents with all their columns, one of each group of near duplicates: the one with the least id.
 
-    Rows repeated with that id and text collapse to one.
+    Rows repeated with that id and text, or with that id and one shingle set, collapse to one.
+    Other sets of that id, which are one document with it, stay too, but for one that equals the
+    set of a smaller id.  A null id stays only where all ids of the group are null, and then one
+    row of the group stays, that with the least SHA-256 of its text.  Texts without a shingle are
+    in no group: one row of each id (null is one) and text stays.
     """
-    kept = near_duplicates(docs, shingle, percent).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key")).distinct()
-    return docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))).join(
-        kept, "__key", "left_semi").dropDuplicates(["__key", "text"]).select(*docs.columns)
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    kept = _grouped(docs, shingle, percent, "doc_id", "text", sha).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # what tells survivors apart: the id and its set, the component where ids are null, the text without a set
+    apart = F.when(F.col("digest").isNull(), F.col("sha")).when(F.col("doc_id").isNull(), F.col("component").cast("string")).otherwise(F.hex("digest"))
+    stay = kept.groupBy("doc_id", apart.alias("apart")).agg(F.min("sha").alias("sha")).select(_row_key(F.col("doc_id"), F.col("sha")).alias("__key"))
+    return docs.withColumn("__key", _row_key(F.col("doc_id").cast("long"), sha)).join(
+        stay, "__key", "left_semi").dropDuplicates(["__key", "text"]).select(*docs.columns)
+
+
+def _row_key(doc_id: F.Column, sha: F.Column) -> F.Column:
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), sha)

@@ -123,6 +123,21 @@ def test_keep_one(docs, docs_rows):
     assert all(c == 1 for i, c in Counter(r.doc_id for r in kept.collect()).items() if i is not None)
 
 
+def test_keep_one_without_ids(spark):
+    """Of a group without ids one row stays, of a group with one none without; an id does not keep the copies it has elsewhere."""
+    def text(name, changed=None):
+        return " ".join("other" if i == changed else f"{name}{i}" for i in range(120))
+
+    blank = [(None, None), (None, " "), (None, " "), (8, ""), (8, "")]
+    rows = [(None, text("a")), (None, text("a", 0)), (None, text("a", 119)), (None, text("a")), (None, text("b").upper()), (None, text("b")),
+            (None, text("c", 0)), (3, text("c")), (5, text("c").upper()), (5, text("d")), (5, text("d")), (5, text("D")), *blank]
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert set(kept) <= set(rows)
+    of = Counter((i, (t or "").lower().split()[-1][0] if (t or "").strip() else t) for i, t in kept if t is None or "other" not in t)
+    of += Counter((i, t.split()[1][0]) for i, t in kept if t and "other" in t)
+    assert of == Counter({(None, "a"): 1, (None, "b"): 1, (3, "c"): 1, (5, "d"): 1, (None, None): 1, (None, " "): 1, (8, ""): 1})
+
+
 def test_components(spark):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(100, 160)]
