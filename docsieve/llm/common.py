@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,12 +21,15 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "s
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary one of its own.
+    Only a local session that names none (a test) gets a temporary one of its own; on a cluster
+    a folder of one machine would hold parts of a table, so a missing setting is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not getattr(context, "_llm_dir", None):
         context._llm_dir = "file://" + tempfile.mkdtemp(prefix="docsieve-llm-")
     return context._llm_dir
@@ -50,7 +54,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._llm_path = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Remove the files of a table that ``written`` made, once a later one has taken its place."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._llm_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def one_text(name: str) -> F.Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, fingerprint, html_extract, minhash, mixing, packing, quality, substring_dedup, suffix_dedup, warc
+from docsieve.llm import (
+    centroids, chat_format, exact_dedup, fingerprint, html_extract, minhash, mixing, packing, quality, substring_dedup, suffix_dedup, warc, whitening,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -66,8 +68,72 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000).drop("deviation_exact")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, size=64, seed=1).drop("centroid")
+
+
+#: What both turns of the conversation that ``op13`` adds say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat_format.chat_digests(chat_format.as_events(rows))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_minhash, op2_quality, op3_html_text, op4_fingerprints, op5_suffix_dedup, op6_mix_sources, op7_best_fit_packing, op8_warc, op9_substring_dedup, op10_exact_dedup)}
+    op1_minhash, op2_quality, op3_html_text, op4_fingerprints, op5_suffix_dedup, op6_mix_sources, op7_best_fit_packing, op8_warc, op9_substring_dedup, op10_exact_dedup,
+    op11_whitening, op12_centroids, op13_chat_format)}
+
+def _centroid_sql(rounds: int) -> str:
+    """The clustering of op12, one pair of common table expressions a round."""
+    nearest = """
+        a{0} AS MATERIALIZED (
+            SELECT vec_id, x, arg_min(k, (d, k)) AS cluster, min(d) AS distance
+            FROM (SELECT vec_id, x, k, CAST(list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d FROM v CROSS JOIN c{0})
+            GROUP BY vec_id, x)"""
+    moved = """
+        c{1} AS MATERIALIZED (
+            SELECT k, coalesce(m.c, c{0}.c) AS c
+            FROM c{0} LEFT JOIN (
+                SELECT cluster, list(q ORDER BY i) AS c
+                FROM (SELECT cluster, i, CAST(floor(sum(e) / count(*)) AS BIGINT) AS q
+                      FROM (SELECT cluster, unnest(x) AS e, unnest(range(1, 65)) AS i FROM a{0}) GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = k)"""
+    parts = [nearest.format(0)]
+    for r in range(rounds):
+        parts += [moved.format(r, r + 1), nearest.format(r + 1)]
+    return """
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, x AS c FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16),""" + ",".join(parts) + f"""
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON k = cluster"""
+
+
+def _chat_sql() -> str:
+    """Digests of the turns; the length of the formatted text from counts of backslashes and control strings."""
+    found = lambda c: " + ".join(f"(length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}" for x in ("\\", *chat_format.CONTROLS))
+    marks = sum(map(len, (chat_format.TURN, chat_format.TEXT, chat_format.END)))
+    return f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
+        s AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS spoken,
+                   coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss,
+                   CAST(sum({marks} + length(role) + length(text) + {found('role')} + {found('text')}) AS BIGINT) AS formatted_chars
+            FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM s"""
+
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -122,4 +188,6 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op12_centroids": _centroid_sql(3),
+    "op13_chat_format": _chat_sql(),
 }
