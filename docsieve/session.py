@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,3 +43,19 @@ def ship_package(spark: SparkSession) -> None:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="docsieve-"), "docsieve"), "zip", root, "docsieve"))
     context._docsieve_shipped = True
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a temporary folder; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not base:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not getattr(context, "_docsieve_scratch", None):
+            context._docsieve_scratch = "file:" + tempfile.mkdtemp(prefix="docsieve-")
+        base = context._docsieve_scratch
+    return f"{base.rstrip('/')}/docsieve/{name}-{uuid.uuid4().hex}"

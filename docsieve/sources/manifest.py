@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.functions import dims
+from docsieve.sources.listing import DocumentFiles
 
 ACCEPTED, QUARANTINED = "ACCEPTED", "QUARANTINED"
 NOT_FOUND, NOT_A_FILE, UNSUPPORTED, CORRUPT = "not_found", "not_a_file", "unsupported_type", "corrupt_content"
@@ -33,21 +34,17 @@ def document_id(path: Column) -> Column:
     return F.sha2(path, 256)
 
 
-def manifest_scan(spark: SparkSession, path: str, signatures: bool = False) -> DataFrame:
+def manifest_scan(spark: SparkSession, path: str, signatures: bool = False, **options: int) -> DataFrame:
     """Files below a folder: source_path, file_size_bytes, modified_at (and ``head``).
 
-    Without ``signatures`` the file contents are never read.  File sources skip names that
-    start with ``_`` or ``.``; such documents do not appear.
+    All names count, those starting with ``_`` or ``.`` too.  Contents are never read;
+    ``signatures`` fetches eight leading bytes of every file that filters on path and size leave.
+    ``options`` are those of the ``document_files`` source (folders, files, bytes).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    columns = [
-        F.col("path").alias("source_path"),
-        F.col("length").alias("file_size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-    ]
-    if signatures:
-        columns.append(F.hex(F.substring("content", 1, 8)).alias("head"))
-    return files.select(*columns)
+    spark.dataSource.register(DocumentFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    files = spark.read.format("document_files").options(headBytes=8 if signatures else 0, **options).load(path)
+    return files if signatures else files.drop("head")
 
 
 def signature_matches(kind: Column, head: Column) -> Column:
