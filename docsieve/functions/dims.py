@@ -139,6 +139,12 @@ NO_KEY_VALUES = "No key-value pairs found in model output"
 NO_TABLE_ROWS = "No table rows found in model output"
 NO_SUMMARY = "Model produced no summary text"
 NO_ANSWER = "Model gave no answer visible in the document"
+PROMPT_REQUIRED = "prompt must be a non-empty string"
+IMAGE_REQUIRED = "An image_path or image is required"
+QUESTION_REQUIRED = "question is required for the question_answering task"
+UNSUPPORTED_TASK = "Unsupported task '{}'"
+NO_PAGES = "Document has no pages to process"
+PAGE_NOT_FOUND = "Page {} not found in document"
 SUMMARY_NOTE = "No numerical summarization quality score in this phase."
 
 # ---- Fixed values: accepted file extensions and their file types ---------------------------

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.functions import dims
 from docsieve.functions.text import round4, strip
 
 # Line order inside a page: the page number of the word record comes last.
@@ -98,8 +99,7 @@ def page_select_errors(documents: DataFrame, pages: DataFrame, page_number: int
     missing = documents.select("document_id").distinct().join(
         page_select(pages, page_number).select("document_id"), "document_id", "left_anti")
     if page_number is None:
-        return missing.withColumn("error", F.lit("Document has no pages to process"))
+        return missing.withColumn("error", F.lit(dims.NO_PAGES))
     some = pages.select("document_id").distinct().withColumn("_has_pages", F.lit(True))
-    reason = F.when(F.col("_has_pages"), f"Page {page_number} not found in document").otherwise(
-        "Document has no pages to process")
+    reason = F.when(F.col("_has_pages"), dims.PAGE_NOT_FOUND.format(page_number)).otherwise(dims.NO_PAGES)
     return missing.join(some, "document_id", "left").select("document_id", reason.alias("error"))
