@@ -6,7 +6,7 @@ parsed here, so a parsing mistake cannot cancel itself out.
 
 from __future__ import annotations
 
-from docsieve.fixtures.render import COMPANY, EVENT_BLOCK, EXTENSIONS, LABELS, LEDGER_BLOCK, OTHERS, PHRASES, TOKENS
+from docsieve.fixtures.render import COMPANY, EVENT_BLOCK, EXTENSIONS, HEADS, LABELS, LEDGER_BLOCK, OTHERS, PHRASES, PREFIXES, TOKENS
 from docsieve.functions import dims
 from docsieve.functions.text import WHITESPACE
 from docsieve.operators import prompts
@@ -93,7 +93,6 @@ src AS (
 
 
 _ALL = f"WITH {_DOCS},{_long('docs')}"
-_INV = f"WITH {_INVOICES},{_long('invoices')}"
 
 # What the key-value parser gets out of each reply shape.
 _FULL = "(v IN (0, 1, 5, 7, 9) OR k % 20 = 14 OR (v = 2 AND document_type <> 'invoice'))"
@@ -110,6 +109,9 @@ extra AS (
 ORACLE["kv_long"] = f"{_ALL},{_KV} SELECT document_id, field, value FROM kv UNION ALL SELECT document_id, field, value FROM extra"
 _DENSE = f"{_ALL},{_KV}, dense AS (SELECT s.document_id, s.document_type, s.k, s.i, s.field, s.value AS expected, kv.value AS value FROM src s LEFT JOIN kv USING (document_id, field))"
 ORACLE["kv_dense"] = f"{_DENSE} SELECT document_id, CAST(i AS INTEGER) AS ordinal, field, value FROM dense"
+_WIDE = lambda t: f"""{_DENSE} SELECT document_id, {', '.join(f"max(value) FILTER (field = '{f}') AS {f}" for f in dims.DOCUMENT_SCHEMAS[t])}
+FROM dense WHERE document_type = '{t}' GROUP BY document_id"""
+ORACLE["kv_wide"], ORACLE["kv_wide_statements"] = _WIDE("invoice"), _WIDE("bank_statement")
 ORACLE["kv_additional"] = f"{_ALL},{_KV} SELECT document_id, field, value FROM extra"
 _FIELD_DOC = f"""{_DENSE}, scored AS (
   SELECT document_id, document_type, CAST(count(*) AS INTEGER) AS total_fields,
@@ -134,6 +136,7 @@ ORACLE["classify_reply"] = f"""WITH {_DOCS}, {_TYPED}
 SELECT document_id, document_type, document_type <> 'unknown' AS parse_success,
        CASE WHEN k % 6 = 5 THEN {lit(dims.EMPTY_REPLY)} WHEN k % 6 = 3 THEN {lit(dims.NO_DOCUMENT_TYPE)} END AS parse_error
 FROM typed"""
+ORACLE["classify_reply_table"] = ORACLE["classify_reply"]
 ORACLE["classification_accuracy"] = f"""WITH {_DOCS}, {_TYPED}
 SELECT expected, count(*) AS total, count(*) FILTER (document_type = expected) AS correct,
        {round4('count(*) FILTER (document_type = expected)', 'count(*)')} AS accuracy
@@ -142,7 +145,34 @@ FROM typed GROUP BY 1"""
 # ---- candidates and structured objects -------------------------------------------------------------
 
 _HAS_JSON = "(k % 10 IN (0, 1, 2, 3, 7, 8, 9) OR k % 20 = 14)"
-ORACLE["json_candidates"] = f"WITH {_DOCS} SELECT document_id, 1::BIGINT AS candidates FROM docs WHERE {_HAS_JSON}"
+_TEXT = lambda x: f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
+_PAIRS = lambda name, value: f"'{{' || string_agg(CAST(to_json({name}) AS VARCHAR) || ':' || {_TEXT(value)}, ',' ORDER BY i) || '}}'"
+_NULLED = f"CASE WHEN i % 2 = 1 THEN {lits(TOKENS)}[CAST((i + k) % {len(TOKENS)} AS INTEGER) + 1] ELSE rv END"
+_LABEL = case('document_type', {t: f"{lits(labels)}[i + 1]" for t, labels in LABELS.items()})
+_SHAPES = f"""
+texts AS (
+  SELECT document_id, document_type, k, {_PAIRS('field', 'rv')} AS fields, {_PAIRS('field', _NULLED)} AS nulled, {_PAIRS(_LABEL, 'rv')} AS labelled,
+         '[' || string_agg('{{' || CAST(to_json(field) AS VARCHAR) || ':' || {_TEXT('rv')} || '}}', ',' ORDER BY i) || ']' AS listed,
+         list({_TEXT('rv')} ORDER BY i) AS vs, min(field) FILTER (i = 0) AS f0 FROM src GROUP BY 1, 2, 3),
+expected AS (
+  SELECT document_id, k, '{{"document_type":"' || document_type || '","fields":' || CASE k % 10 WHEN 7 THEN listed WHEN 8 THEN nulled
+           WHEN 9 THEN '{{"' || f0 || '":"stale",' || substr(fields, 2) ELSE fields END || ',"tables":[],"summary":"'
+           || CASE WHEN k % 10 = 9 THEN 'uses }} and {{ inside' ELSE 'Plain record' END || '"}}' AS object,
+         fields, labelled, document_type, '{{"document_type":"invoice","invoice_number":' || vs[1] || ',"date":' || vs[3] || ',"customer_name":' || vs[2]
+           || ',"company":"{COMPANY}","total_amount":' || vs[6] || '}}' AS flat
+  FROM texts),
+single AS (
+  SELECT document_id, 0 AS pos, CASE WHEN k % 10 = 2 THEN CASE WHEN document_type = 'invoice' THEN flat ELSE labelled END
+         WHEN k % 10 = 3 THEN '{{"text":' || object || '}}' WHEN k % 10 = 4 THEN fields ELSE object END AS candidate
+  FROM expected WHERE {_HAS_JSON}),
+several AS (
+  SELECT document_id, unnest(range(3)) AS pos, unnest([
+    '{{"id":"' || document_id || '","type":"' || document_type || '"}}', '{{"n":' || k || ',"id":"' || document_id || '"}}', '{{"k":' || k || ',"s":"}} not the end {{"}}']) AS candidate
+  FROM docs WHERE k % 3 = 0
+  UNION ALL SELECT document_id, 0, '{{"a":{{"k":' || k || ',"s":"}} not the end {{"}}}}' FROM docs WHERE k % 3 = 1)"""
+ORACLE["json_candidates"] = f"""{_ALL},{_SHAPES}
+SELECT document_id, CAST(pos AS INTEGER) AS pos, candidate FROM single UNION ALL SELECT 'several ' || document_id, CAST(pos AS INTEGER), candidate FROM several"""
+ORACLE["json_candidates_sql"] = f"{_ALL},{_SHAPES} SELECT document_id, CAST(pos AS INTEGER) AS pos, candidate FROM several"
 ORACLE["json_first_valid"] = f"""WITH {_DOCS}
 SELECT document_id, CASE WHEN {_HAS_JSON} THEN 0 END::INTEGER AS candidate_pos, CASE WHEN {_HAS_JSON} THEN 'object' END AS payload_kind,
        CASE WHEN NOT {_HAS_JSON} THEN {lit(dims.NO_JSON_OBJECT)} END AS json_error
@@ -170,27 +200,32 @@ objf AS (
   UNION ALL SELECT document_id, k, CASE field WHEN 'date' THEN 1 ELSE 0 END, field, rv FROM src WHERE k % 20 = 14 AND field IN ('invoice_number', 'date')
   UNION ALL SELECT document_id, k, CASE field WHEN 'invoice_number' THEN 0 WHEN 'date' THEN 1 WHEN 'customer' THEN 2 ELSE 4 END,
                    CASE field WHEN 'customer' THEN 'customer_name' WHEN 'amount' THEN 'total_amount' ELSE field END, rv
-            FROM src WHERE v = 2 AND field IN ('invoice_number', 'date', 'customer', 'amount')
+            FROM src WHERE v = 2 AND document_type = 'invoice' AND field IN ('invoice_number', 'date', 'customer', 'amount')
   UNION ALL SELECT document_id, k, 3, 'company', '{COMPANY}' FROM invoices WHERE k % 10 = 2)"""
-ORACLE["fields_long"] = f"""{_INV},{_OBJECT_FIELDS}
+ORACLE["fields_long"] = f"""{_ALL},{_OBJECT_FIELDS}
 SELECT document_id, CAST(pos AS INTEGER) AS pos, field, value, CASE WHEN value IS NULL THEN 'null' ELSE 'string' END AS value_kind FROM objf"""
 _errors = lambda *messages: lits(messages)
 _moved = [dims.UNEXPECTED_FIELD + f for f in dims.FLAT_FIELD_NAMES]
 _missing = {f: dims.MISSING_FIELD + f for f in dims.REQUIRED_KEYS}
+_extra = lambda names, *present: _errors(*[_missing[f] for f in dims.REQUIRED_KEYS if f not in present], *[dims.UNEXPECTED_FIELD + n for n in sorted(names) if n not in present])
+_OPEN = {t: _extra(dims.DOCUMENT_SCHEMAS[t], *[f for f in dims.REQUIRED_KEYS if f in dims.DOCUMENT_SCHEMAS[t]]) for t in LABELS if t != 'invoice'}
 _SCHEMA_ERRORS = f"""CASE
+  WHEN k % 10 = 2 AND document_type <> 'invoice' THEN {case('document_type', {t: _extra(LABELS[t]) for t in LABELS if t != 'invoice'})}
+  WHEN k % 20 = 14 AND document_type <> 'invoice' THEN {case('document_type', _OPEN)}
   WHEN k % 10 = 2 THEN {_errors(*_moved, _missing['tables'], _missing['summary'])}
   WHEN k % 10 = 3 THEN {_errors(dims.UNWRAPPED_TEXT)}
   WHEN k % 20 = 14 THEN {_errors(_moved[0], _moved[1], _missing['document_type'], _missing['tables'], _missing['summary'],
                                  *[dims.UNEXPECTED_FIELD + f for f in ('amount', 'customer', 'item', 'quantity')])}
   WHEN k % 10 = 7 THEN {_errors(dims.TYPE_ERRORS['fields'])}
   ELSE [] END"""
-_OBJECTS = f"""{_INV},{_OBJECT_FIELDS},
+_OBJECTS = f"""{_ALL},{_OBJECT_FIELDS},
 obj AS (
   SELECT document_id, k, k % 10 AS variant, {_HAS_JSON} AS parse_success, k % 10 IN (0, 1, 3, 8, 9) AS schema_valid,
-         (k % 10 = 2 OR k % 20 = 14) AS schema_normalized, {_SCHEMA_ERRORS} AS errs,
-         CASE WHEN k % 10 IN (0, 1, 2, 3, 7, 8, 9) THEN 'invoice' END AS document_type,
+         (k % 10 = 2 OR k % 20 = 14) AND document_type = 'invoice' AS schema_normalized, {_SCHEMA_ERRORS} AS errs, document_type AS family,
+         CASE WHEN k % 10 IN (0, 1, 3, 7, 8, 9) OR (k % 10 = 2 AND document_type = 'invoice') THEN document_type
+              WHEN k % 20 = 14 AND document_type = 'identity_document' THEN vals[1] END AS document_type,
          CASE WHEN k % 10 IN (0, 1, 3, 7, 8) THEN 'Plain record' WHEN k % 10 = 9 THEN 'uses }} and {{ inside' END AS summary
-  FROM invoices),
+  FROM docs),
 counted AS (SELECT obj.*, CAST(coalesce(n, 0) AS INTEGER) AS field_count FROM obj LEFT JOIN (
   SELECT document_id, count(*) FILTER (value IS NOT NULL AND value <> '') AS n FROM objf GROUP BY 1) USING (document_id))"""
 _pick = lambda field: f"(SELECT max(value) FROM objf WHERE objf.document_id = counted.document_id AND field = '{field}')"
@@ -217,13 +252,22 @@ strict AS (
   SELECT document_id AS sample_id, 'echo' AS model, 'v' || variant AS dataset, 'document_understanding' AS task, metric, score FROM (
     SELECT document_id, variant, unnest(['field_extraction_accuracy', 'document_classification_accuracy', 'ocr_correction_accuracy', 'json_parse_success',
                   'schema_compliance', 'schema_normalization_rate', 'field_extraction_count']) AS metric,
-           unnest([CAST(hit AS DOUBLE) / n, CASE WHEN document_type = 'invoice' THEN 1.0::DOUBLE ELSE 0.0 END,
+           unnest([CAST(hit AS DOUBLE) / n, CASE WHEN document_type = family THEN 1.0::DOUBLE ELSE 0.0 END,
                    CASE WHEN k % 2 = 0 THEN CASE WHEN summary = 'Plain record' THEN 1.0::DOUBLE ELSE 0.0 END END,
                    CAST(CAST(parse_success AS INTEGER) AS DOUBLE), CAST(CAST(schema_valid AS INTEGER) AS DOUBLE), CAST(CAST(schema_normalized AS INTEGER) AS DOUBLE),
                    CASE WHEN parse_success THEN CAST(field_count AS DOUBLE) END]) AS score
     FROM counted JOIN hits USING (document_id)) WHERE score IS NOT NULL)"""
 ORACLE["strict_metrics"] = f"{_STRICT} SELECT model, dataset, task, sample_id, metric, round(score, 6) AS score FROM strict"
 ORACLE["bench_summary"] = f"{_STRICT} SELECT model, dataset, task, metric, count(*) AS samples, round(avg(score), 6) AS mean_score FROM strict GROUP BY 1, 2, 3, 4"
+_CUBED = [("model", 8), ("dataset", 4), ("task", 2), ("metric", 1)]
+ORACLE["bench_cube"] = f"""{_STRICT},
+c AS (SELECT CAST(grouping_id(model, dataset, task, metric) AS INTEGER) AS level, model, dataset, task, metric, count(*) AS samples, round(avg(score), 6) AS mean_score
+      FROM strict GROUP BY CUBE (model, dataset, task, metric)),
+l AS (SELECT level, {', '.join(f"CASE WHEN (level & {bit}) = 0 THEN {name} END AS {name}" for name, bit in _CUBED)}, score, sample_id
+      FROM strict CROSS JOIN (SELECT unnest(range(16)) AS level)),
+r AS (SELECT *, row_number() OVER (PARTITION BY level, model, dataset, task, metric ORDER BY score, sample_id) AS n FROM l),
+s AS (SELECT level, model, dataset, task, metric, string_agg(sample_id || '=' || printf('%.4f', score), ',' ORDER BY n) AS lowest FROM r WHERE n <= 3 GROUP BY ALL)
+SELECT c.*, s.lowest FROM c JOIN s ON s.level = c.level AND {' AND '.join(f"s.{name} IS NOT DISTINCT FROM c.{name}" for name, _ in _CUBED)}"""
 ORACLE["inference_log"] = """
 SELECT CAST(event_id AS VARCHAR) AS document_id, 1 AS page_number, 'echo' AS model_id, event_type AS task,
        CASE WHEN event_id % 20 <> 0 THEN value END AS latency_seconds,
@@ -343,6 +387,14 @@ SELECT event_type, count(*) FILTER (s <> 0) AS timed_runs, round(sum(s), 3) AS t
        min(s) FILTER (s <> 0) AS min_seconds, max(s) AS max_seconds
 FROM (SELECT event_type, CASE WHEN event_id % 20 <> 0 THEN value END AS s FROM events) GROUP BY 1"""
 
+ORACLE["latency_quantiles"] = """
+SELECT event_type, count(*) AS timed_runs, TRUE AS p50_close, TRUE AS p90_close, TRUE AS p99_close FROM events WHERE event_id % 20 <> 0 AND value <> 0 GROUP BY 1"""
+ORACLE["report_sink"] = f"""{_RUNS},
+written AS (
+  SELECT 'first' AS run_id, task, CASE WHEN task IN ('classification', 'question_answering') THEN 'again ' || status ELSE status END AS status, label_correct FROM scored
+  UNION ALL SELECT 'second', task, status, label_correct FROM scored WHERE status = 'RUN')
+SELECT run_id, task, status, count(*) AS runs, count(*) FILTER (label_correct) AS correct FROM written GROUP BY 1, 2, 3"""
+
 # ---- files, words, pages ----------------------------------------------------------------------------------------------
 
 _FILES = f"""
@@ -356,6 +408,24 @@ man AS (
 ORACLE["manifest_validate"] = f"WITH {_FILES} SELECT document_id, filename, file_type, file_size_bytes, CASE WHEN file_type IS NULL THEN NULL ELSE page_count END AS page_count, source_path, status, reason FROM man"
 ORACLE["manifest_reject_counts"] = f"WITH {_FILES} SELECT reason, count(*) AS files, CAST(sum(file_size_bytes) AS BIGINT) AS bytes FROM man WHERE reason IS NOT NULL GROUP BY 1"
 ORACLE["page_explode"] = f"WITH {_FILES} SELECT document_id, source_path, file_type, CAST(unnest(range(1, page_count + 1)) AS INTEGER) AS page_number FROM man WHERE reason IS NULL"
+_NAMED = f"""
+named AS (
+  SELECT doc_id, text, 'batch_' || doc_id % 5 AS folder, {lits(PREFIXES)}[CAST(doc_id % {len(PREFIXES)} AS INTEGER) + 1] || 'doc_' || doc_id || {lits(EXTENSIONS)}[CAST(doc_id % {len(EXTENSIONS)} AS INTEGER) + 1] AS name,
+         {lits(EXTENSIONS)}[CAST(doc_id % {len(EXTENSIONS)} AS INTEGER) + 1] AS suffix FROM documents),
+headed AS (SELECT *, CASE WHEN doc_id % 7 = 3 THEN {lit(HEADS['.pdf'])} ELSE {case('suffix', {k: lit(v) for k, v in HEADS.items()}, "''")} END AS head FROM named)"""
+ORACLE["manifest_scan"] = f"WITH {_NAMED} SELECT folder || '/' || name AS path, CAST(length(head) // 2 + strlen(coalesce(text, '')) AS BIGINT) AS file_size_bytes, TRUE AS dated FROM headed"
+ORACLE["signature_check"] = f"""WITH {_NAMED}
+SELECT name AS filename, substr(head || CAST(hex(encode(coalesce(text, ''))) AS VARCHAR), 1, 16) AS head,
+       CASE WHEN suffix = '' THEN doc_id % 7 = 3 AND FALSE ELSE CASE WHEN doc_id % 7 = 3 THEN suffix = '.pdf' ELSE TRUE END END AS signature_ok
+FROM headed WHERE suffix <> '.txt'"""
+ORACLE["truth_source"] = f"""{_ALL},
+one AS (SELECT document_id, document_type, k, list_sort(list(field || '=' || coalesce(value, '-'))) AS pairs, list(coalesce(value, '-') ORDER BY i) AS vs, list(field ORDER BY i) AS fs,
+               max(value) FILTER (i = n - 1) AS answer FROM src GROUP BY 1, 2, 3)
+SELECT document_id, document_type, array_to_string(pairs, ',') AS fields, CASE WHEN document_type = 'identity_document' THEN '' ELSE array_to_string(vs[-3:], '|') END AS cells,
+       array_to_string(fs[-3:], '|') AS columns, 'What is the ' || fs[-1] || '?' AS question, answer FROM one"""
+ORACLE["ocr_text_source"] = """
+SELECT doc_id, CASE WHEN doc_id % 4 <> 1 AND doc_id % 9 <> 4 THEN md5(coalesce(text, '')) END AS text_md5,
+       CASE WHEN doc_id % 4 <> 1 AND doc_id % 9 = 4 THEN 'side files with one name: 2' END AS ocr_error FROM documents"""
 _WORDS = f"""
 doc_lines AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 raw_words AS (SELECT doc_id, line, unnest(range(len(ws))) AS word, unnest(ws) AS raw FROM (SELECT doc_id, line, string_split(body, ' ') AS ws FROM doc_lines)),
@@ -378,9 +448,32 @@ FROM line_rows"""
 ORACLE["ocr_page_text"] = f"WITH {_WORDS} SELECT document_id, CAST(page_number AS INTEGER) AS page_number, text, CAST(n_blocks AS INTEGER) AS n_blocks FROM page_rows"
 ORACLE["ocr_document_text"] = f"WITH {_WORDS} SELECT document_id, string_agg(text, chr(10) ORDER BY page_number) AS ocr_text FROM page_rows GROUP BY 1"
 ORACLE["ocr_json"] = f"WITH {_WORDS} SELECT document_id, CAST(count(*) AS INTEGER) AS pages, string_agg(text, chr(12) ORDER BY page_number) AS text FROM page_rows GROUP BY 1"
+ORACLE["ocr_clustered"] = ORACLE["ocr_document_text"]
+ORACLE["ocr_json_sink"] = f"""WITH {_WORDS} SELECT document_id, CAST(count(*) AS INTEGER) AS pages, CAST(sum(n_blocks) AS INTEGER) AS blocks, 'preprocessed' AS spaces FROM page_rows GROUP BY 1"""
+ORACLE["ocr_boxes_original"] = f"""WITH {_WORDS},
+own AS (SELECT *, CAST(document_id AS BIGINT) AS d, CASE WHEN CAST(document_id AS BIGINT) % 2 = 0 THEN 2 ELSE 1 END AS f, (CAST(document_id AS BIGINT) + page_number) % 4 AS turn FROM line_rows),
+-- corners off the turned page of 2000 by 3000, unscaled, then turned back about its middle
+turned AS (SELECT *, x0 * f AS a0, y0 * f AS b0, x1 * f AS a1, y1 * f AS b1 FROM own),
+back AS (
+  SELECT *, [a0, 2500 - b1, 2000 - a1, b0 - 500][CAST(turn AS INTEGER) + 1] AS l, [b0, a0 + 500, 3000 - b1, 2500 - a1][CAST(turn AS INTEGER) + 1] AS t,
+         [a1, 2500 - b0, 2000 - a0, b1 - 500][CAST(turn AS INTEGER) + 1] AS r, [b1, a1 + 500, 3000 - b0, 2500 - a0][CAST(turn AS INTEGER) + 1] AS u
+  FROM turned)
+SELECT document_id, CAST(page_number AS INTEGER) AS page_number, CAST(block_num AS INTEGER) AS block_num, 1 AS par_num, CAST(line % 5 AS INTEGER) AS line_num, 1 AS page_num,
+       {', '.join(f"CAST(CASE WHEN d % 5 <> 0 THEN {c} END AS INTEGER) AS {n}" for c, n in (('l', 'x0'), ('t', 'y0'), ('r', 'x1'), ('u', 'y1')))},
+       CASE WHEN d % 5 <> 0 THEN 'original' END AS coordinate_space, CASE WHEN d % 5 = 0 THEN 'no transform from preprocessed to original' END AS space_error
+FROM back"""
+ORACLE["ocr_mixed_spaces"] = f"""WITH {_WORDS},
+spaced AS (SELECT document_id, page_number, count(*) AS n, count(*) FILTER ((line % 5 + block_num) % 3 = 0) AS o FROM line_rows GROUP BY 1, 2)
+SELECT document_id, CAST(page_number AS INTEGER) AS page_number, CASE WHEN o = n THEN 'original' WHEN o = 0 THEN 'preprocessed' END AS coordinate_space,
+       CASE WHEN o NOT IN (0, n) THEN 'boxes of several coordinate spaces' END AS space_error FROM spaced"""
 _PAGES = f"""{_WORDS},
+layouts AS (
+  SELECT document_id, page_number, '[' || string_agg('{{"text":' || CAST(to_json(text) AS VARCHAR) || ',"bbox":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1 || '],"confidence":'
+         || CASE WHEN c > 0 AND c < 0.001 THEN CAST(c * 10000 AS VARCHAR) || 'E-4' ELSE CAST(c AS VARCHAR) END || '}}', ',' ORDER BY line) || ']' AS layout
+  FROM (SELECT *, CAST(printf('%.4f', CAST(conf AS DOUBLE) / 100 / n) AS DOUBLE) AS c FROM line_rows) GROUP BY 1, 2),
 pages_of AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(range(1, (len(string_split(text, chr(10))) - 1) // 20 + 3)) AS page_number FROM documents),
-joined AS (SELECT p.document_id, p.page_number, r.text AS ocr_text, coalesce(r.n_blocks, 0) AS n_blocks FROM pages_of p LEFT JOIN page_rows r USING (document_id, page_number))"""
+joined AS (SELECT p.document_id, p.page_number, r.text AS ocr_text, coalesce(r.n_blocks, 0) AS n_blocks, l.layout
+           FROM pages_of p LEFT JOIN page_rows r USING (document_id, page_number) LEFT JOIN layouts l USING (document_id, page_number))"""
 ORACLE["page_ocr_join"] = f"WITH {_PAGES} SELECT document_id, CAST(page_number AS INTEGER) AS page_number, ocr_text, CAST(n_blocks AS INTEGER) AS n_blocks FROM joined"
 ORACLE["page_select"] = f"""WITH {_PAGES}
 SELECT document_id, 3 AS page_number, CAST(NULL AS VARCHAR) AS error FROM pages_of WHERE page_number = 3
@@ -408,13 +501,13 @@ ORACLE["task_fanout"] = f"WITH {_QUEUE} SELECT document_id, task, hint AS docume
 ORACLE["prompt_task"] = f"WITH {_QUEUE} SELECT document_id, task, md5(prompt) AS prompt_md5, ocr_text IS NOT NULL AS ocr_context_used FROM prompted"
 _OBJECT_PROMPT = f"""CASE WHEN TRUE THEN {lit(prompts.OBJECT_INTRO)} || {lit(chr(10) * 2 + 'Task: ')} || task || {lit(chr(10) * 2 + 'Page text:' + chr(10))}
   || CASE WHEN coalesce(trim(ocr_text, {WS}), '') = '' THEN {lit(prompts.NO_OCR_TEXT)} ELSE trim(ocr_text, {WS}) END
-  || {lit(chr(10) * 2 + 'Page layout:' + chr(10) + '<layout>' + chr(10) * 2 + 'Instruction: ')} || {case('task', {t: lit(i) for t, i in prompts.OBJECT_INSTRUCTIONS.items()})}
+  || {lit(chr(10) * 2 + 'Page layout:' + chr(10))} || coalesce(layout, {lit(prompts.NO_OCR_BLOCKS)}) || {lit(chr(10) * 2 + 'Instruction: ')} || {case('task', {t: lit(i) for t, i in prompts.OBJECT_INSTRUCTIONS.items()})}
   || {lit(chr(10) * 2 + 'Answer schema:' + chr(10))} || CASE WHEN task = 'document_understanding' THEN {lit(prompts.INVOICE_SCHEMA)} ELSE {lit(prompts.GENERAL_SCHEMA)} END
   || {lit(chr(10) * 2 + prompts.OBJECT_RULES + chr(10) * 2 + prompts.OBJECT_END)} END"""
 ORACLE["prompt_object"] = f"""WITH {_PAGES},
 tasked AS (SELECT *, {lits(dims.OBJECT_TASKS)}[page_number % {len(dims.OBJECT_TASKS)} + 1] AS task FROM joined)
 SELECT document_id, CAST(page_number AS INTEGER) AS page_number, task, md5({_OBJECT_PROMPT}) AS prompt_md5,
-       CAST(CASE WHEN n_blocks > 0 THEN n_blocks END AS INTEGER) AS n_blocks FROM tasked"""
+       CAST(n_blocks AS INTEGER) AS n_blocks FROM tasked"""
 _BASE = ("describe", " Classify", "key_value", "QA", "document_qa", "poem")
 ORACLE["prompt_baseline"] = f"""
 SELECT c_custkey, prompt_name, md5(prompt) AS prompt_md5, CASE WHEN prompt IS NULL THEN CASE WHEN prompt_name = 'poem' THEN 'Unknown baseline prompt ''poem''' ELSE 'The ''qa'' prompt requires a question' END END AS error
@@ -430,16 +523,20 @@ FROM (SELECT *, k % 11 = 5 AS bad FROM prompted)"""
 ORACLE["analyze_documents"] = f"""WITH {_QUEUE},
 done AS (SELECT q.*, length(p.prompt) AS n, q.reason IS NULL AND q.k % 11 <> 5 AS ran
          FROM queue q LEFT JOIN prompted p USING (document_id, task))
-SELECT document_id, task, CASE WHEN ran THEN 'RUN' ELSE 'FAILED' END AS status,
-       CASE WHEN reason IS NOT NULL THEN reason WHEN NOT ran THEN 'cannot read ' || image_path END AS error,
-       CASE WHEN ran AND task = 'classification' THEN 'invoice' WHEN ran THEN hint END AS document_type,
-       ocr_text IS NOT NULL AS ocr_context_used, CASE WHEN ran THEN n / 1000.0::DOUBLE END AS inference_time,
-       CASE WHEN ran THEN TRUE END AS parse_success,
-       CASE WHEN ran AND task = 'key_value_extraction' THEN CAST(n AS VARCHAR) END AS field_value,
-       CASE WHEN ran AND task = 'table_extraction' THEN CAST(n AS VARCHAR) END AS cell_value,
-       CASE WHEN ran AND task = 'summarization' THEN n || ' chars' END AS summary,
-       CASE WHEN ran AND task = 'question_answering' THEN CAST(n AS VARCHAR) END AS answer
+SELECT document_id, task, md5(concat_ws('|', CASE WHEN ran THEN 'RUN' ELSE 'FAILED' END,
+       CASE WHEN reason IS NOT NULL THEN reason WHEN NOT ran THEN 'cannot read ' || image_path ELSE '-' END,
+       CASE WHEN ran AND task = 'classification' THEN 'invoice' WHEN ran THEN coalesce(hint, '-') ELSE '-' END,
+       CASE WHEN ocr_text IS NOT NULL THEN 'true' ELSE 'false' END, CASE WHEN ran THEN CAST(n AS VARCHAR) ELSE '-' END, CASE WHEN ran THEN 'true' ELSE '-' END,
+       CASE WHEN ran AND task = 'key_value_extraction' THEN CAST(n AS VARCHAR) ELSE '-' END,
+       CASE WHEN ran AND task = 'table_extraction' THEN CAST(n AS VARCHAR) ELSE '-' END,
+       CASE WHEN ran AND task = 'summarization' THEN n || ' chars' ELSE '-' END,
+       CASE WHEN ran AND task = 'question_answering' THEN CAST(n AS VARCHAR) ELSE '-' END)) AS envelope_md5
 FROM done"""
+ORACLE["infer_resumed"] = f"""WITH {_QUEUE}
+SELECT document_id, task, CASE WHEN bad THEN 'FAILED' ELSE 'RUN' END AS status, CASE WHEN bad THEN 'cannot read ' || image_path END AS error,
+       CASE WHEN NOT bad THEN image_path || '|' || length(prompt) END AS response, CASE WHEN NOT bad THEN length(prompt) / 1000.0::DOUBLE END AS inference_time,
+       CAST(CASE WHEN bad THEN 3 ELSE 1 END AS INTEGER) AS attempts
+FROM (SELECT *, k % 11 = 5 AS bad FROM prompted)"""
 ORACLE["reply_strip_chat"] = f"SELECT conv_id, turn, trim(text, {WS}) AS response FROM conversations"
 
 # ---- whole documents -----------------------------------------------------------------------------------------------------------

@@ -8,11 +8,16 @@ instead of one endless one.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docsieve.functions import dims
+from docsieve.sources.remote import opened
 
 EVENT_BLOCK = 1000   # events per statement at most (event ids are unique)
 LEDGER_BLOCK = 8     # orders per ledger
@@ -384,3 +389,82 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = (F.floor((n_lines - 1) / 20) + 2).cast("int")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"), F.explode(F.sequence(F.lit(1), last)).alias("page_number"))
+
+
+# ---- real files -------------------------------------------------------------------------------------
+
+HEADS = {".pdf": "255044462D312E37", ".PNG": "89504E470D0A1A0A", ".jpg": "FFD8FFE000104A46", ".jpeg": "FFD8FFE000104A46"}
+PREFIXES = ("", "_", ".")
+
+
+def document_file(key: Column) -> Column:
+    """Path of a document's file below its folder; some names start with ``_`` or ``.``."""
+    prefix = F.get(dims.string_array(PREFIXES), (key % len(PREFIXES)).cast("int"))
+    suffix = F.get(dims.string_array(EXTENSIONS), (key % len(EXTENSIONS)).cast("int"))
+    return F.concat(F.lit("batch_"), key % 5, F.lit("/"), prefix, F.lit("doc_"), key, suffix)
+
+
+def write_document_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """A file per document: the leading bytes of its type (every seventh has those of a PDF), then the text."""
+    key = F.col("doc_id")
+    suffix = F.get(dims.string_array(EXTENSIONS), (key % len(EXTENSIONS)).cast("int"))
+    head = F.when(key % 7 == 3, HEADS[".pdf"]).otherwise(F.coalesce(F.try_element_at(dims.literal_map(HEADS), suffix), F.lit("")))
+    write_files(table(spark, sf_dir, "documents").select(
+        document_file(key).alias("name"), F.concat(F.unhex(head), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content")), folder)
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write (name, content) rows as files below ``folder``, in tasks."""
+    def run(batches):
+        system, root = opened(folder)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = f"{root}/{name}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as file:
+                    file.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+    files.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
+def write_truth_files(truth: DataFrame, folder: str, files: int = 8) -> None:
+    """Truth documents as ``{"documents": [...]}`` files, one a task."""
+    names = F.col("expected_fields")
+    document = F.to_json(F.struct(
+        "document_id", "image_path", "document_type", names.alias("fields"),
+        F.struct(F.slice(F.map_keys(names), -3, 3).alias("columns"), F.col("expected_rows").alias("rows")).alias("table"), "question", "answer"))
+
+    def run(batches):
+        system, root = opened(folder)
+        system.create_dir(root, recursive=True)
+        n = 0
+        with system.open_output_stream(f"{root}/truth-{TaskContext.get().partitionId()}.json") as file:
+            file.write(json.dumps({"made": {"documents": "none"}})[:-1].encode() + b', "documents": [')
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    file.write((b",\n" if n else b"") + text.encode())
+                    n += 1
+            file.write(b"]}")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+    truth.select(document.alias("text")).repartition(files).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
+def several_replies(documents: DataFrame) -> DataFrame:
+    """Replies with several candidates: a fence, objects in prose, one twice, one inside an object that stays open."""
+    plain = F.to_json(F.struct(F.col("k").alias("n"), F.col("document_id").alias("id")))
+    fenced = F.to_json(F.struct(F.col("document_id").alias("id"), F.col("document_type").alias("type")))
+    inner = F.concat(F.lit('{"k":'), F.col("k"), F.lit(',"s":"} not the end {"}'))
+    several = F.concat(F.lit("Draft "), plain, F.lit(" and\n```json\n"), fenced, F.lit("\n```\nthen again "), plain, F.lit(' {"open":'), inner)
+    whole = F.concat(F.lit('{"a":'), inner, F.lit("}"))
+    reply = F.when(F.col("k") % 3 == 0, several).when(F.col("k") % 3 == 1, whole).otherwise(F.concat(F.lit("none, only a } of "), F.col("document_id")))
+    return documents.select("document_id", "k", reply.alias("response"))
+
+
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the pages of ``documents`` were prepared: turned by quarters, halved for even ids; every fifth document is not known."""
+    pages = document_pages(spark, sf_dir)
+    key = F.col("document_id").cast("bigint")
+    scale = F.when(key % 2 == 0, 0.5).otherwise(1.0)
+    return pages.filter(key % 5 != 0).select(
+        "document_id", "page_number", F.lit(2000).alias("width"), F.lit(3000).alias("height"),
+        ((key + F.col("page_number")) % 4 * 90).alias("rotation"), scale.alias("scale_x"), scale.alias("scale_y"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import dims
 from docsieve.functions.text import round4, strip
+from docsieve.operators.coordinates import one_space
 
 # Line order inside a page: the page number of the word record comes last.
 LINE_KEYS = ("block_num", "par_num", "line_num", "page_num")
@@ -30,7 +31,10 @@ def ocr_word_filter(words: DataFrame, min_confidence: float = 0.0) -> DataFrame:
 
 
 def ocr_lines(words: DataFrame, min_confidence: float = 0.0) -> DataFrame:
-    """One row per text line: text in word order, enclosing box, mean confidence."""
+    """One row per text line: text in word order, enclosing box, mean confidence, coordinate space.
+
+    Words may name their ``coordinate_space``; a line of several spaces has no box.
+    """
     in_order = F.sort_array(F.collect_list(F.struct("word_idx", "text")))
     edge = lambda start, size: (F.col(start) + F.col(size)).cast("int")
     lines = ocr_word_filter(words, min_confidence).groupBy(*PAGE_KEYS, *LINE_KEYS).agg(
@@ -42,26 +46,27 @@ def ocr_lines(words: DataFrame, min_confidence: float = 0.0) -> DataFrame:
         # decimal sum: the same result in whatever order partial sums are merged
         F.sum(F.col("confidence").cast("decimal(18,8)")).alias("_confidence"),
         F.count(F.lit(1)).alias("word_count"),
+        *[c.alias(name) for name, c in one_space(words).items()],
     )
     return lines.select(
         *PAGE_KEYS, *LINE_KEYS,
         F.array_join(F.transform("_words", lambda w: w["text"]), " ").alias("text"),
-        F.array("_left", "_top", "_right", "_bottom").alias("bbox"),
+        F.when(F.col("space_error").isNull(), F.array("_left", "_top", "_right", "_bottom")).alias("bbox"),
         round4(F.col("_confidence").cast("double") / F.col("word_count")).alias("confidence"),
-        "word_count",
+        "word_count", "coordinate_space", "space_error",
     )
 
 
 def ocr_page_text(lines: DataFrame) -> DataFrame:
-    """One row per page: line texts joined by newline and the ordered blocks."""
+    """One row per page: line texts joined by newline, the ordered blocks and their coordinate space."""
     block = F.struct("text", "bbox", "confidence")
     ordered = F.sort_array(F.collect_list(F.struct(*LINE_KEYS, block.alias("block"))))
-    pages = lines.groupBy(*PAGE_KEYS).agg(ordered.alias("_lines"))
+    pages = lines.groupBy(*PAGE_KEYS).agg(ordered.alias("_lines"), *[c.alias(name) for name, c in one_space(lines).items()])
     blocks = F.transform("_lines", lambda line: line["block"])
     return pages.select(
         *PAGE_KEYS,
         F.array_join(F.transform("_lines", lambda line: line["block"]["text"]), "\n").alias("text"),
-        blocks.alias("blocks"),
+        blocks.alias("blocks"), "coordinate_space", "space_error",
     )
 
 
@@ -74,14 +79,15 @@ def ocr_document_text(pages: DataFrame) -> DataFrame:
 
 
 def ocr_documents(pages: DataFrame) -> DataFrame:
-    """Nested document: ``pages array<struct<page_number, text, blocks>>`` in page order."""
-    return pages.groupBy("document_id").agg(
-        F.sort_array(F.collect_list(F.struct("page_number", "text", "blocks"))).alias("pages"))
+    """Nested document: ``pages array<struct<page_number, text, blocks, coordinate_space>>`` in page order."""
+    parts = [c for c in ("page_number", "text", "blocks", "coordinate_space") if c in pages.columns]
+    return pages.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("pages"))
 
 
 def page_ocr_join(pages: DataFrame, ocr_pages: DataFrame) -> DataFrame:
     """Attach OCR text and blocks to every page; pages without OCR stay (NULL, no blocks)."""
-    ocr = ocr_pages.select(*PAGE_KEYS, F.col("text").alias("ocr_text"), F.col("blocks").alias("ocr_blocks"))
+    carried = [c for c in ("coordinate_space", "space_error") if c in ocr_pages.columns and c not in pages.columns]
+    ocr = ocr_pages.select(*PAGE_KEYS, F.col("text").alias("ocr_text"), F.col("blocks").alias("ocr_blocks"), *carried)
     joined = pages.join(ocr, list(PAGE_KEYS), "left")
     return joined.withColumn("ocr_blocks", F.coalesce("ocr_blocks", F.array().cast(f"array<{BLOCK}>")))
 

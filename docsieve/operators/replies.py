@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.functions import dims, jsonreply
@@ -16,6 +16,18 @@ def json_candidates(replies: DataFrame, reply: str = "response") -> DataFrame:
     return jsonreply.explode_rows(found, F.col("_found"), "pos", "candidate").select(*keep, "pos", "candidate")
 
 
+class JsonCandidates:
+    """Table function over one reply: (pos, candidate) of each candidate JSON text."""
+
+    def eval(self, reply: str):
+        yield from enumerate(jsonreply.candidate_texts(reply) if reply else ())
+
+
+def register_functions(spark: SparkSession) -> None:
+    """``json_candidates(reply)`` for SQL: ``FROM replies, LATERAL json_candidates(response)``."""
+    spark.udtf.register("json_candidates", F.udtf(JsonCandidates, returnType="pos int, candidate string"))
+
+
 def json_first_valid(replies: DataFrame, reply: str = "response") -> DataFrame:
     """Adds candidate, payload_kind and json_error; exactly one row per reply."""
     first = replies.withColumn("_first", jsonreply.json_first_valid(F.col(reply)))

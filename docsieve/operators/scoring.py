@@ -8,7 +8,7 @@ split by adaptive skew-join handling because the other side has one row for it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.jsonreply import explode_rows
@@ -156,6 +156,29 @@ def latency_summary(runs: DataFrame, *group_by: str, seconds: str = "inference_t
     return runs.groupBy(*group_by).agg(*[c.alias(name) for name, c in latency_aggregates(executed).items()])
 
 
+#: Size of a quantile sketch; the rank of an estimate is off by at most SKETCH_ERROR with 99 % confidence.
+SKETCH_K = 400
+SKETCH_ERROR = 0.0066
+QUANTILES = (0.5, 0.9, 0.99)
+
+
+def latency_sketches(runs: DataFrame, *group_by: str, seconds: str = "inference_time", status: str = "status") -> DataFrame:
+    """One mergeable sketch of executed runs' times a group: sketch, timed_runs (0 and NULL left out).
+
+    Kept per run, sketches of any runs can be merged later without their times.
+    """
+    timed = F.when((F.col(status) == "RUN") & (F.col(seconds) != 0), F.col(seconds).cast("double"))
+    return runs.groupBy(*group_by).agg(F.kll_sketch_agg_double(timed, SKETCH_K).alias("sketch"), F.count(timed).alias("timed_runs"))
+
+
+def latency_quantiles(sketches: DataFrame, *group_by: str, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """Merged quantiles p50_seconds, p90_seconds, ... of ``latency_sketches``; NULL where nothing was timed."""
+    merged = sketches.groupBy(*group_by).agg(
+        F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"), F.sum("timed_runs").alias("timed_runs"))
+    estimate = lambda q: F.when(F.col("timed_runs") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))))
+    return merged.select(*group_by, "timed_runs", *[estimate(q).alias(f"p{q * 100:g}_seconds") for q in quantiles])
+
+
 def run_status(runs: DataFrame, *group_by: str, status: str = "status") -> DataFrame:
     """Executed and failed counts; RUN when any run succeeded."""
     executed = F.col(status) == "RUN"
@@ -209,3 +232,27 @@ def bench_summary(metrics: DataFrame, *group_by: str) -> DataFrame:
     keys = group_by or ("model", "dataset", "task")
     return metrics.groupBy(*keys, "metric").agg(
         F.count("score").alias("samples"), F.avg("score").alias("mean_score"))
+
+
+#: Rows of a group that ``bench_cube`` lists.
+LISTED = 5
+
+
+def bench_cube(metrics: DataFrame, *group_by: str, listed: int = LISTED) -> DataFrame:
+    """Mean score for every combination of model, dataset, task (or given columns) and metric, some or all summed over.
+
+    ``level`` is the grouping id: one bit a key, the first key's the highest, set where the key is
+    summed over (its column is NULL).  ``lowest`` lists the ``listed`` lowest scores of the group
+    (score, sample_id); each task cuts its part of a group to that many rows before the exchange.
+    """
+    keys = (*(group_by or ("model", "dataset", "task")), "metric")
+    cube = metrics.cube(*keys).agg(F.grouping_id().cast("int").alias("level"), F.count("score").alias("samples"), F.avg("score").alias("mean_score"))
+    summed = lambda i: F.col("level").bitwiseAND(1 << (len(keys) - 1 - i)) != 0
+    rows = metrics.select(*keys, "score", "sample_id", F.explode(F.sequence(F.lit(0), F.lit((1 << len(keys)) - 1))).alias("level"))
+    rows = rows.select("level", *[F.when(~summed(i), F.col(k)).alias(k) for i, k in enumerate(keys)], "score", "sample_id")
+    place = F.row_number().over(Window.partitionBy("level", *keys).orderBy("score", "sample_id"))
+    lists = rows.withColumn("_place", place).filter(F.col("_place") <= listed).groupBy("level", *keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_place", "score", "sample_id"))), lambda r: F.struct(r["score"], r["sample_id"])).alias("lowest"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+    joined = cube.alias("c").join(lists.alias("l"), [F.col("c.level") == F.col("l.level"), *same])
+    return joined.select("c.level", *[f"c.{k}" for k in keys], "c.samples", "c.mean_score", "l.lowest")

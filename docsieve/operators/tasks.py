@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions import dims
+from docsieve.functions.phrases import PhraseTable
 from docsieve.functions.jsonreply import explode_rows, json_tree, leaves, node
 from docsieve.functions.text import is_blank, let, lines, norm_field_name, norm_text, norm_value, strip
 
@@ -225,6 +226,7 @@ def task_dispatch(
     task: str = "task",
     document_type: str = "document_type_hint",
     tasks: tuple[str, ...] = dims.ANALYSIS_TASKS,
+    phrases: PhraseTable | None = None,
 ) -> DataFrame:
     """Parse a mixed corpus: each reply by its own task.
 
@@ -232,6 +234,7 @@ def task_dispatch(
     parse_success and parse_errors; the reply and every other input column are kept.
     Key-value replies with an unknown type hint come back as errors, not exceptions.
     ``tasks`` names the tasks that occur, when fewer than all; others count as unsupported.
+    ``phrases`` are the evidence for document types, where the fixed ones are not meant.
     """
     name, raw = F.col(task), F.col("_reply")
     is_a = {t: name == t for t in tasks}
@@ -253,7 +256,8 @@ def task_dispatch(
 
     if dims.CLASSIFICATION in tasks:
         this = is_a[dims.CLASSIFICATION]
-        staged = staged.withColumn("_evidence", F.when(this, _evidence(raw))).withColumn("_type", _earliest_type("_evidence"))
+        staged = staged.withColumn("_evidence", F.when(this, _evidence(raw))).withColumn(
+            "_type", phrases.earliest(F.col("_evidence"))["type"] if phrases else _earliest_type("_evidence"))
         error = error.when(this & is_blank(raw), dims.EMPTY_REPLY).when(this & F.col("_type").isNull(), dims.NO_DOCUMENT_TYPE)
         results["document_type"] = F.when(this, F.coalesce("_type", F.lit(dims.UNKNOWN_TYPE)))
     if dims.KEY_VALUE in tasks:
@@ -288,15 +292,17 @@ def task_dispatch(
     return staged.withColumn("_error", error).select(*kept, *[column.alias(c) for c, column in results.items()])
 
 
-def _single(replies: DataFrame, reply: str, task: str, *wanted: str, document_type: str = "document_type_hint") -> DataFrame:
-    parsed = task_dispatch(replies.withColumn("_task", F.lit(task)), reply, "_task", document_type, (task,))
+def _single(
+    replies: DataFrame, reply: str, task: str, *wanted: str, document_type: str = "document_type_hint", phrases: PhraseTable | None = None,
+) -> DataFrame:
+    parsed = task_dispatch(replies.withColumn("_task", F.lit(task)), reply, "_task", document_type, (task,), phrases)
     kept = [c for c in replies.columns if c not in wanted]
     return parsed.select(*kept, *wanted, "parse_success", "parse_errors")
 
 
-def classify_reply(replies: DataFrame, reply: str = "response") -> DataFrame:
-    """Adds document_type, parse_success, parse_errors."""
-    return _single(replies, reply, dims.CLASSIFICATION, "document_type")
+def classify_reply(replies: DataFrame, reply: str = "response", phrases: PhraseTable | None = None) -> DataFrame:
+    """Adds document_type, parse_success, parse_errors; ``phrases`` (lower case) in place of the fixed ones."""
+    return _single(replies, reply, dims.CLASSIFICATION, "document_type", phrases=phrases)
 
 
 def summary_parse(replies: DataFrame, reply: str = "response") -> DataFrame:
@@ -338,6 +344,21 @@ def kv_additional(replies: DataFrame, reply: str = "response", document_type: st
     return explode_rows(parsed, F.col("additional_fields"), "_at", "field", "value").select(*keep, "field", "value")
 
 
+def kv_wide(replies: DataFrame, document_type: str, reply: str = "response", hint: str = "document_type_hint") -> DataFrame:
+    """One typed table of a document type: a row per reply of that type, a column per field of its schema.
+
+    The schema names the columns, so this pivot is a projection of the parsed row: no pass to find
+    the names, no grouping, no exchange.  Input columns but the reply are kept; a field that one of
+    them has as its name is called ``<document_type>_<field>``.
+    """
+    names = dims.DOCUMENT_SCHEMAS[document_type]
+    keep = [c for c in replies.columns if c != reply]
+    own = replies.filter(F.lower(F.trim(F.col(hint))) == document_type)
+    parsed = parse_key_value(own.select(F.struct(*keep).alias("_kept"), reply, hint), reply, hint)
+    column = lambda name: F.try_element_at("fields", F.lit(name)).alias(f"{document_type}_{name}" if name in keep else name)
+    return parsed.select("_kept.*", *map(column, names))
+
+
 def cells_long(replies: DataFrame, reply: str = "response") -> DataFrame:
     """One row per table cell: row_idx, col_idx, column_name, value."""
     keep = [c for c in replies.columns if c != reply]

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from docsieve.fixtures import render
 from docsieve.functions import dims
 from docsieve.functions.text import reply_strip_chat
-from docsieve.operators import infer, ocr, prompts, queue, replies, scoring, structured, tasks
+from docsieve.functions.phrases import PhraseTable
+from docsieve.operators import coordinates, infer, ocr, prompts, queue, replies, scoring, structured, tasks, workqueue
 from docsieve.plans import analyze, report, understand
-from docsieve.sources import manifest
+from docsieve.session import scratch_dir
+from docsieve.sources import clustered, files, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,10 +32,6 @@ def _field_replies(spark, sf):
     return render.field_replies(render.source_documents(spark, sf))
 
 
-def _invoice_replies(spark, sf):
-    return render.field_replies(render.invoices(spark, sf))
-
-
 # ---- files, words, pages ----------------------------------------------------------------------
 
 @query
@@ -48,6 +46,51 @@ def manifest_reject_counts(spark, sf):
         F.count(F.lit(1)).alias("files"), F.sum("file_size_bytes").alias("bytes"))
 
 
+def _scanned(spark, sf, signatures):
+    folder = scratch_dir(spark, "inbox")
+    render.write_document_files(spark, sf, folder)
+    return manifest.manifest_scan(spark, folder, signatures, folders=3, files=100)
+
+
+@query
+def manifest_scan(spark, sf):
+    """The documents written as files, hidden names too, and listed again."""
+    files = _scanned(spark, sf, False)
+    below = F.array_join(F.slice(F.split("source_path", "/"), -2, 2), "/")
+    return files.select(below.alias("path"), "file_size_bytes", F.col("modified_at").isNotNull().alias("dated"))
+
+
+@query
+def signature_check(spark, sf):
+    checked = manifest.signature_check(_scanned(spark, sf, True).filter(~F.col("source_path").endswith(".txt")))
+    return checked.select(manifest.filename(F.col("source_path")).alias("filename"), "head", "signature_ok")
+
+
+@query
+def truth_source(spark, sf):
+    folder = scratch_dir(spark, "truth")
+    render.write_truth_files(render.evaluation_truth(render.source_documents(spark, sf)), folder)
+    entry = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))
+    return files.truth_source(spark, folder, range_bytes=1 << 16).select(
+        "document_id", "document_type", F.array_join(F.array_sort(F.transform(F.map_entries("expected_fields"), entry)), ",").alias("fields"),
+        F.array_join(F.flatten("expected_rows"), "|", "-").alias("cells"), F.array_join("table.columns", "|").alias("columns"), "question", "answer")
+
+
+@query
+def ocr_text_source(spark, sf):
+    folder = scratch_dir(spark, "texts")
+    key = F.col("doc_id")
+    name = F.concat(F.lit("batch "), key % 5, F.lit("/doc+"), key)
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    documents = render.table(spark, sf, "documents").filter("doc_id % 4 <> 1")
+    first = documents.select(F.concat(name, F.lit(".txt")).alias("name"), content.alias("content"))
+    second = documents.filter("doc_id % 9 = 4").select(F.concat(name, F.lit(".ocr")).alias("name"), content.alias("content"))
+    render.write_files(first.unionByName(second), folder)
+    asked = render.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("file:/scans/"), name, F.lit(".png")).alias("source_path"))
+    joined = files.with_ocr_text(asked, files.ocr_text_source(spark, folder), "/scans")
+    return joined.select("doc_id", F.md5("ocr_text").alias("text_md5"), "ocr_error")
+
+
 @query
 def page_explode(spark, sf):
     return manifest.page_explode(manifest.manifest_validate(render.files(spark, sf)))
@@ -104,6 +147,43 @@ def ocr_json(spark, sf):
     return back.select("document_id", F.size("d.pages").alias("pages"), F.array_join(F.transform("d.pages", lambda p: p["text"]), "\f").alias("text"))
 
 
+@query
+def ocr_json_sink(spark, sf):
+    """Nested documents written as JSON lines and read back."""
+    folder = scratch_dir(spark, "ocr-json")
+    files.write_ocr_json(ocr.ocr_documents(ocr.ocr_page_text(ocr.ocr_lines(render.ocr_words(spark, sf)))), folder)
+    back = spark.read.schema(f"document_id string, pages array<struct<page_number:int,text:string,blocks:array<{ocr.BLOCK}>,coordinate_space:string>>").json(folder)
+    return back.select(
+        "document_id", F.size("pages").alias("pages"), F.aggregate("pages", F.lit(0), lambda n, p: n + F.size(p["blocks"])).alias("blocks"),
+        F.array_join(F.array_distinct(F.transform("pages", lambda p: p["coordinate_space"])), ",").alias("spaces"))
+
+
+@query
+def ocr_clustered(spark, sf):
+    """Document texts of words stored by document, without an exchange after the write."""
+    folder = scratch_dir(spark, "words")
+    table = "words_" + folder.rsplit("-", 1)[1]
+    clustered.write_words(render.ocr_words(spark, sf), table, 16, folder)
+    return clustered.clustered_text(spark, table)[2]
+
+
+@query
+def ocr_boxes_original(spark, sf):
+    lines = ocr.ocr_lines(render.ocr_words(spark, sf))
+    moved = coordinates.to_space(lines, coordinates.page_transforms(render.page_sizes(spark, sf)))
+    box = {name: F.get("bbox", F.lit(i)) for i, name in enumerate(("x0", "y0", "x1", "y1"))}
+    return moved.select(*ocr.PAGE_KEYS, *ocr.LINE_KEYS, *[c.alias(n) for n, c in box.items()], "coordinate_space", "space_error")
+
+
+@query
+def ocr_mixed_spaces(spark, sf):
+    """Every third line's words claim the original's space: pages and documents with both have no space."""
+    words = render.ocr_words(spark, sf)
+    space = F.when((F.col("line_num") + F.col("block_num")) % 3 == 0, coordinates.ORIGINAL).otherwise(coordinates.PREPARED)
+    pages = ocr.ocr_page_text(ocr.ocr_lines(words.withColumn("coordinate_space", space)))
+    return pages.select(*ocr.PAGE_KEYS, "coordinate_space", "space_error")
+
+
 # ---- work queue and prompts ----------------------------------------------------------------------
 
 def _asked_documents(spark, sf):
@@ -138,12 +218,8 @@ def _object_pages(spark, sf):
 
 @query
 def prompt_object(spark, sf):
-    prompted = prompts.prompt_object(_object_pages(spark, sf))
-    layout = prompts.ocr_blocks_json(F.col("ocr_blocks"))
-    return prompted.select(
-        *ocr.PAGE_KEYS, "task",
-        F.md5(F.replace("prompt", layout, F.lit("<layout>"))).alias("prompt_md5"),
-        F.size(F.from_json(layout, f"array<{ocr.BLOCK}>")).alias("n_blocks"))
+    return prompts.prompt_object(_object_pages(spark, sf)).select(
+        *ocr.PAGE_KEYS, "task", F.md5("prompt").alias("prompt_md5"), F.size("ocr_blocks").alias("n_blocks"))
 
 
 @query
@@ -180,8 +256,17 @@ QUERIES["reply_strip_chat"] = QUERIES.pop("reply_strip_chat_query")
 
 @query
 def json_candidates(spark, sf):
-    candidates = replies.json_candidates(_field_replies(spark, sf))
-    return candidates.groupBy("document_id").agg(F.count(F.lit(1)).alias("candidates"))
+    both = _field_replies(spark, sf).select("document_id", "response").unionByName(
+        render.several_replies(render.source_documents(spark, sf)).select(F.concat(F.lit("several "), "document_id").alias("document_id"), "response"))
+    return replies.json_candidates(both).select("document_id", "pos", "candidate")
+
+
+@query
+def json_candidates_sql(spark, sf):
+    """The table function in SQL, joined laterally."""
+    replies.register_functions(spark)
+    several = render.several_replies(render.source_documents(spark, sf))
+    return spark.sql("SELECT r.document_id, c.pos, c.candidate FROM {several} r, LATERAL json_candidates(r.response) c", several=several)
 
 
 @query
@@ -199,7 +284,7 @@ def json_entries(spark, sf):
 
 @query
 def structured_parse(spark, sf):
-    parsed = structured.structured_parse(_invoice_replies(spark, sf))
+    parsed = structured.structured_parse(_field_replies(spark, sf))
     value = lambda key: F.try_element_at("fields", F.lit(key))
     return parsed.select(
         "document_id", "document_type", "summary", "parse_success", "schema_valid", "schema_normalized", "field_count",
@@ -209,25 +294,25 @@ def structured_parse(spark, sf):
 
 @query
 def schema_errors(spark, sf):
-    parsed = structured.structured_parse(_invoice_replies(spark, sf))
+    parsed = structured.structured_parse(_field_replies(spark, sf))
     return structured.schema_errors_long(parsed, "document_id")
 
 
 @query
 def schema_error_counts(spark, sf):
-    parsed = structured.structured_parse(_invoice_replies(spark, sf).withColumn("variant", F.col("k") % 10))
+    parsed = structured.structured_parse(_field_replies(spark, sf).withColumn("variant", F.col("k") % 10))
     return structured.schema_errors_long(parsed, "variant").groupBy("variant", "error").agg(F.count(F.lit(1)).alias("replies"))
 
 
 @query
 def schema_rates(spark, sf):
-    parsed = structured.structured_parse(_invoice_replies(spark, sf).withColumn("variant", F.col("k") % 10))
+    parsed = structured.structured_parse(_field_replies(spark, sf).withColumn("variant", F.col("k") % 10))
     return structured.schema_rates(parsed, "variant")
 
 
 @query
 def fields_long(spark, sf):
-    parsed = structured.structured_parse(_invoice_replies(spark, sf))
+    parsed = structured.structured_parse(_field_replies(spark, sf))
     return structured.fields_long(parsed, "document_id")
 
 
@@ -263,6 +348,26 @@ def classify_reply(spark, sf):
         "document_id", "document_type", "parse_success", F.get("parse_errors", F.lit(0)).alias("parse_error"))
 
 
+@query
+def classify_reply_table(spark, sf):
+    """Phrases from a table: the fixed ones, and one of each part, which no reply holds."""
+    fixed = dims.dim_type_phrase(spark)
+    parts = render.table(spark, sf, "part").select(F.lower(F.concat_ws(" ", F.lit("part"), "p_partkey", "p_name")).alias("phrase"), F.lit("part").alias("document_type"), F.lit(9).alias("ordinal"))
+    book = PhraseTable(fixed.unionByName(parts), shard=1000)
+    return tasks.classify_reply(_type_replies(spark, sf), phrases=book).select(
+        "document_id", "document_type", "parse_success", F.get("parse_errors", F.lit(0)).alias("parse_error"))
+
+
+@query
+def kv_wide(spark, sf):
+    return tasks.kv_wide(_field_replies(spark, sf), "invoice").drop("k", "document_type", "document_type_hint")
+
+
+@query
+def kv_wide_statements(spark, sf):
+    return tasks.kv_wide(_field_replies(spark, sf), "bank_statement").drop("k", "document_type", "document_type_hint")
+
+
 @query
 def kv_long(spark, sf):
     return tasks.kv_long(_field_replies(spark, sf)).select("document_id", "field", "value")
@@ -301,10 +406,12 @@ def summary_parse(spark, sf):
 
 
 def _answers(spark, sf):
-    invoices = render.invoices(spark, sf)
-    truth = F.element_at("values", -1)
-    read = F.when(F.col("k") % 7 == 3, F.concat(truth, F.lit("9"))).otherwise(truth)
-    return invoices.select("document_id", "k", truth.alias("expected"), render.answer_reply(read).alias("response"))
+    """Answers about the amount of an order: one scan of three columns."""
+    truth = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    asked = render.table(spark, sf, "orders").select(
+        F.concat(F.lit("ORD-"), "o_orderkey").alias("document_id"), F.col("o_orderkey").alias("k"), truth.alias("expected"))
+    read = F.when(F.col("k") % 7 == 3, F.concat("expected", F.lit("9"))).otherwise(F.col("expected"))
+    return asked.withColumn("response", render.answer_reply(read))
 
 
 @query
@@ -383,18 +490,18 @@ def table_accuracy_micro(spark, sf):
 
 @query
 def qa_exact_match(spark, sf):
-    answers = tasks.qa_parse(_answers(spark, sf)).select("document_id", F.col("answer").alias("predicted"))
-    truth = render.invoices(spark, sf).select("document_id", "k", F.element_at("values", -1).alias("expected"))
+    answers = tasks.qa_parse(_answers(spark, sf).select("document_id", "response")).select("document_id", F.col("answer").alias("predicted"))
+    truth = _answers(spark, sf).select("document_id", "k", "expected")
     pairs = answers.join(truth, "document_id").withColumn("variant", F.col("k") % 5)
     return scoring.qa_exact_match(pairs, "predicted", "expected", "variant")
 
 
 def _strict(spark, sf):
-    invoices = render.invoices(spark, sf)
-    samples = render.truth_fields(invoices).select(
-        F.col("document_id").alias("sample_id"), F.lit(" INVOICE").alias("expected_document_type"), "expected_fields",
+    documents = render.source_documents(spark, sf)
+    samples = render.truth_fields(documents).select(
+        F.col("document_id").alias("sample_id"), F.concat(F.lit(" "), F.upper("document_type")).alias("expected_document_type"), "expected_fields",
         F.when(F.col("k") % 2 == 0, "Plain record ").alias("corrected_text"))
-    parsed = structured.structured_parse(render.field_replies(invoices)).select(
+    parsed = structured.structured_parse(render.field_replies(documents)).select(
         F.col("document_id").alias("sample_id"), F.lit("echo").alias("model"), F.concat(F.lit("v"), F.col("k") % 10).alias("dataset"),
         F.lit("document_understanding").alias("task"), "document_type", "field_entries", "summary",
         "parse_success", "schema_valid", "schema_normalized", "field_count")
@@ -412,11 +519,35 @@ def bench_summary(spark, sf):
 
 
 @query
-def latency_summary(spark, sf):
+def bench_cube(spark, sf):
+    cube = scoring.bench_cube(_strict(spark, sf), listed=3)
+    lowest = F.transform("lowest", lambda r: F.concat(r["sample_id"], F.lit("="), F.format_number(r["score"], 4)))
+    return cube.withColumn("mean_score", F.round("mean_score", 6)).withColumn("lowest", F.array_join(lowest, ","))
+
+
+def _timed_runs(spark, sf):
     failed = F.col("event_id") % 20 == 0
-    runs = render.table(spark, sf, "events").select(
-        "event_type", F.when(failed, "FAILED").otherwise("RUN").alias("status"), F.when(~failed, F.col("value")).alias("inference_time"))
-    return scoring.latency_summary(runs, "event_type")
+    return render.table(spark, sf, "events").select(
+        "event_id", "event_type", F.when(failed, "FAILED").otherwise("RUN").alias("status"), F.when(~failed, F.col("value")).alias("inference_time"))
+
+
+@query
+def latency_summary(spark, sf):
+    return scoring.latency_summary(_timed_runs(spark, sf), "event_type")
+
+
+@query
+def latency_quantiles(spark, sf):
+    """Sketches of 50 runs, kept apart and merged per event type, held against the exact ranks."""
+    runs = _timed_runs(spark, sf).withColumn("run", F.col("event_id") % 50)
+    estimates = scoring.latency_quantiles(scoring.latency_sketches(runs, "run", "event_type"), "event_type")
+    names = [f"p{q * 100:g}_seconds" for q in scoring.QUANTILES]
+    # an estimate's true rank lies between the share of times below it and of times up to it
+    at = runs.filter("status = 'RUN' and inference_time <> 0").join(estimates, "event_type")
+    share = lambda found: F.count_if(found) / F.count(F.lit(1))
+    close = [((share(F.col("inference_time") < F.col(n)) <= q + scoring.SKETCH_ERROR) & (share(F.col("inference_time") <= F.col(n)) >= q - scoring.SKETCH_ERROR)).alias(
+        n.replace("_seconds", "_close")) for n, q in zip(names, scoring.QUANTILES)]
+    return at.groupBy("event_type").agg(F.first("timed_runs").alias("timed_runs"), *close)
 
 
 @query
@@ -434,6 +565,16 @@ def batch_infer(spark, sf):
     return done.select("document_id", "task", "status", "error", "response", "model_name", "device", "inference_time")
 
 
+@query
+def infer_resumed(spark, sf):
+    """A run over two tasks, then one over all that asks for the rest only; unreadable images are asked three times."""
+    prompted = prompts.prompt_task(queue.accepted(_queue(spark, sf))).select("document_id", "task", "image_path", "prompt")
+    path, model = scratch_dir(spark, "answers"), infer.echo_predictor_factory()
+    workqueue.run_queue(prompted.filter(F.col("task").isin(dims.CLASSIFICATION, dims.SUMMARY)), path, model, "echo", flush_rows=1 << 14)
+    done = workqueue.run_queue(prompted, path, model, "echo", flush_rows=1 << 14)
+    return done.select("document_id", "task", "status", "error", "response", "inference_time", "attempts")
+
+
 def counting_reply(image_ref: str, prompt: str) -> str:
     n = len(prompt)
     return f'{{"document_type":"invoice","fields":{{"Prompt chars":{n}}},"columns":["n"],"rows":[[{n}]],"summary":"{n} chars.","answer":"{n}"}}'
@@ -443,10 +584,12 @@ def counting_reply(image_ref: str, prompt: str) -> str:
 def analyze_documents(spark, sf):
     done = analyze.analyze_documents(
         _asked_documents(spark, sf), infer.echo_predictor_factory(reply=counting_reply), dims.string_array(REQUESTED_TASKS), model_key="counting")
-    return done.select(
-        "document_id", "task", "status", "error", "document_type", "ocr_context_used", "inference_time", "parse_success",
-        F.try_element_at("additional_fields", F.lit("prompt_chars")).alias("field_value"),
-        F.get(F.get("table.rows", F.lit(0)), F.lit(0)).alias("cell_value"), "summary", "answer")
+    parts = [
+        "status", "error", "document_type", F.col("ocr_context_used").cast("string"), F.round(F.col("inference_time") * 1000).cast("bigint").cast("string"),
+        F.col("parse_success").cast("string"), F.try_element_at("additional_fields", F.lit("prompt_chars")),
+        F.get(F.get("table.rows", F.lit(0)), F.lit(0)), "summary", "answer"]
+    line = F.concat_ws("|", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("-")) for p in parts])
+    return done.select("document_id", "task", F.md5(line).alias("envelope_md5"))
 
 
 @query
@@ -456,6 +599,18 @@ def eval_runs(spark, sf):
         "total_fields", "correct_fields", "expected_rows", "correct_rows", "total_cells", "correct_cells", "field_accuracy")
 
 
+@query
+def report_sink(spark, sf):
+    """Two runs written, then two tasks of the first once more: these are replaced, all else stays."""
+    path, columns = scratch_dir(spark, "runs"), ("document_id", "task", "status", "label_correct")
+    runs = _runs(spark, sf).select(*columns)
+    files.write_runs(runs, path, "first")
+    files.write_runs(runs.filter("status = 'RUN'"), path, "second")
+    files.write_runs(runs.filter(F.col("task").isin(dims.CLASSIFICATION, dims.QA)).withColumn("status", F.concat(F.lit("again "), "status")), path, "first")
+    back = files.read_runs(spark, path, "document_id string, status string, label_correct boolean, task string")
+    return back.groupBy("run_id", "task", "status").agg(F.count(F.lit(1)).alias("runs"), F.count_if("label_correct").alias("correct"))
+
+
 @query
 def eval_report(spark, sf):
     nested = report.eval_report(_runs(spark, sf), "echo", {"device": "cpu"})

@@ -63,7 +63,7 @@ def fold_documents(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     folded = rows.groupBy("document_id").agg(
         F.first("task").alias("task"),
         F.max("model_name").alias("model_id"),
-        in_order("page_number", F.col("ocr_text").alias("text"), F.col("ocr_blocks").alias("blocks")).alias("ocr"),
+        in_order("page_number", F.col("ocr_text").alias("text"), F.col("ocr_blocks").alias("blocks"), "coordinate_space").alias("ocr"),
         in_order(*RESULT).alias("results"),
         in_order(*LOG).alias("inference_logs"),
     )

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from docsieve.operators import ocr
@@ -83,12 +84,34 @@ def test_ocr_side_files(spark, rows, tmp_path):
 
 
 def test_sinks(spark, rows, tmp_path):
-    runs = spark.createDataFrame([("d", "classification", "RUN")], "document_id string, task string, status string")
-    files.write_runs(runs, str(tmp_path / "runs"))
-    assert (tmp_path / "runs" / "task=classification").is_dir()
     files.write_report(spark.range(1).select(F.lit(None).cast("double").alias("score")), str(tmp_path / "report"))
     assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ['{"score":null}']
     pages = spark.createDataFrame([("d", 1, "t\nu", [("t", [0, 0, 1, 1], 0.5)])], f"document_id string, page_number int, text string, blocks array<{ocr.BLOCK}>")
     files.write_ocr_json(ocr.ocr_documents(pages), str(tmp_path / "ocr"))
     assert json.loads(spark.read.text(str(tmp_path / "ocr")).first().value) == {
         "document_id": "d", "pages": [{"page_number": 1, "text": "t\nu", "blocks": [{"text": "t", "bbox": [0, 0, 1, 1], "confidence": 0.5}]}]}
+
+
+RUNS = "document_id string, status string, task string"
+
+
+def test_runs_can_be_written_again(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    write = lambda run_id, *records: files.write_runs(spark.createDataFrame(records, RUNS), path, run_id)
+    read = lambda: sorted((r.run_id, r.task, r.document_id, r.status) for r in files.read_runs(spark, path, RUNS).collect())
+    write("a", ("d1", "RUN", "classification"), ("d2", "RUN", "classification"), ("d1", "RUN", "summarization"))
+    write("b", ("d1", "FAILED", "classification"))
+    write("a", ("d3", "RUN", "classification"))
+    expected = [("a", "classification", "d3", "RUN"), ("a", "summarization", "d1", "RUN"), ("b", "classification", "d1", "FAILED")]
+    assert read() == expected
+    assert (tmp_path / "runs" / "records" / "run_id=a" / "task=classification").is_dir()
+    # a write that fails before its end changes nothing
+    bad = spark.createDataFrame([("d9", "RUN", "classification")], RUNS).withColumn("status", F.raise_error(F.lit("stop")))
+    with pytest.raises(Exception):
+        files.write_runs(bad, path, "a")
+    assert read() == expected
+    # one that ends between records and commit record is seen, and left out
+    torn = spark.createDataFrame([("d7", "RUN", "a", "summarization", "other write")], "document_id string, status string, run_id string, task string, write_id string")
+    torn.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "task").parquet(path + "/records")
+    assert read() == [r for r in expected if r[1] != "summarization"]
+    assert {(r.run_id, r.task): r.whole for r in files.run_commits(spark, path).filter("not whole").collect()} == {("a", "summarization"): False}
