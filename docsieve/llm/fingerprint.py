@@ -156,14 +156,15 @@ def _block(ids: DataFrame, rows_per_block: int) -> F.Column:
     parts = min(MOST_BLOCKS, -(-known["n"] // rows_per_block))
     if parts <= 1:
         return F.lit(0).cast("long")
-    cuts = sorted({int(c) for c in known["cuts"]} - {known["low"]})
+    cuts = sorted({int(c) for c in known["cuts"] if known["low"] < int(c) <= known["high"]})
     fine = -(-parts // (len(cuts) + 1))
     edges = [known["low"], *cuts, known["high"] + 1]
     rank = _rank(F.col("doc_id"), cuts)
-    low, high = (F.element_at(F.array(*[F.lit(float(e)) for e in part]), rank + 1) for part in (edges[:-1], edges[1:]))
-    step = F.least(F.lit(fine - 1), F.floor((high - F.col("doc_id") - 1) * fine / (high - low)))
+    # whole numbers all the way: ids may be neighbours beyond 2^53, or at both ends of the long range
+    low, high = (F.element_at(F.array(*[F.lit(str(e)).cast("decimal(20,0)") for e in part]), rank + 1) for part in (edges[:-1], edges[1:]))
+    step = F.call_function("div", (high - F.col("doc_id").cast("decimal(20,0)") - 1) * fine, high - low)
     last = (len(cuts) + 1) * fine
-    return F.when(F.col("doc_id").isNull(), last).otherwise((len(cuts) - rank) * fine + F.greatest(F.lit(0), step)).cast("long")
+    return F.when(F.col("doc_id").isNull(), last).otherwise((len(cuts) - rank) * fine + step).cast("long")
 
 
 def fingerprints(docs: DataFrame, rows_per_block: int = ROWS) -> DataFrame:

@@ -195,3 +195,15 @@ def test_likeness(docs):
     usual = [r.near_edited for r in rows if r.n_chars > 300]
     assert 0.5 < np.mean(usual) < 0.8
     assert fingerprint.containment(*[np.zeros(0, np.uint64)] * 2) == 1.0
+
+
+@pytest.mark.parametrize("ids", [
+    [*range(1400), *[1 << 60] * 100], [*range(1400), *[(1 << 60) + 1] * 60, *[1 << 60] * 40], [-(1 << 63), (1 << 63) - 1, *range(-50, 50), *[(1 << 63) - 2] * 30, *[-(1 << 63)] * 30],
+    [(1 << 62) + i for i in range(300)], [-(1 << 63), (1 << 63) - 1], [7] * 40])
+def test_fingerprints_of_repeated_and_far_apart_ids(spark, ids):
+    """Blocks are cut in whole numbers: neighbouring ids beyond 2^53 and both ends of the range."""
+    table = [(i, f"text {n % 90} of {i}") for n, i in enumerate(ids)]
+    got = fingerprint.fingerprints(spark.createDataFrame(table, "doc_id long, text string"), 20).collect()
+    order = sorted(table, key=lambda r: (-r[0], r[1]))
+    want = sorted((i, len(t), hashlib.sha256(fingerprint.edited_text(t, after).encode()).hexdigest()) for (i, t), (_, after) in zip(order, order[1:] + order[:1]))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
