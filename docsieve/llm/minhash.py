@@ -37,6 +37,7 @@ SKETCH = 32
 DEEP = 4096  # sketch of the classes in long lists: the whole set, but for very long texts
 DIFFERENCES = 256  # most differences from a hub that are kept in lists; beyond, pairs are made and verified
 LONG_LIST = 32  # longer lists are contracted around a hub first
+LISTS_MET = 4  # lists in which two classes must meet before their sketches are compared
 
 
 def least_common(k: int, percent: int) -> int:
@@ -161,10 +162,11 @@ def _can_link(percent: int, k: int) -> F.Column:
 
 
 def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Inverted lists (v, cls, n, s, w) of the rarest retained values of each class (cls, n, sketch).
+    """Inverted lists (v, cls, n, s, w, met) of the rarest retained values of each class (cls, n, sketch).
 
     s counts the retained values that other classes share; w tells how central a class is: the
-    text that many others were made from shares all its values.
+    text that many others were made from shares all its values.  Two linked classes meet in at
+    least the smaller ``met`` of both.
     """
     values = classes.select("cls", "n", F.explode("sketch").alias("v"))
     frequency = values.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
@@ -174,10 +176,12 @@ def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
         F.least(F.ceil(F.col("n") * percent / 100), F.floor(k - F.col("n") * ((1 - p) / p))))
     shared = values.join(frequency, "v").groupBy("cls", "n").agg(
         F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"), F.round(F.sum(F.log2("f")), 3).alias("w"))
+    common = F.greatest(common, F.lit(1))
+    met = F.least(common, F.lit(LISTS_MET)).cast("int")
     # values that one class alone retains come first in the order, and their lists hold no pair
-    prefix = F.greatest(F.lit(0), size - F.greatest(common, F.lit(1)) + 1 - (size - F.size("vs"))).cast("int")
-    return written(shared.withColumn("s", F.size("vs")).withColumn("vs", F.slice("vs", 1, prefix)).select(
-        "cls", "n", "s", "w", F.explode("vs").alias("e")).select(F.col("e.v").alias("v"), "cls", "n", "s", "w"), "lists")
+    prefix = F.greatest(F.lit(0), size - common + met - (size - F.size("vs"))).cast("int")
+    return written(shared.withColumn("s", F.size("vs")).withColumn("met", met).withColumn("vs", F.slice("vs", 1, prefix)).select(
+        "cls", "n", "s", "w", "met", F.explode("vs").alias("e")).select(F.col("e.v").alias("v"), "cls", "n", "s", "w", "met"), "lists")
 
 
 def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -220,10 +224,28 @@ def _against_hub(lists: DataFrame, deep: DataFrame) -> DataFrame:
     ).filter(F.size("less") + F.size("more") <= DIFFERENCES), "hub-members")
 
 
+def _short_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the short lists that meet in as many of them as two linked classes must.
+
+    Two classes meet in at least the smaller ``met`` of both, short lists and long ones together;
+    the long lists of a class are counted, and so many meetings are granted.
+    """
+    long_lists = open_lists.filter(F.col("members") > LONG_LIST).groupBy("cls").agg(F.count("*").cast("int").alias("granted"))
+    short = open_lists.filter(F.col("members") <= LONG_LIST).join(long_lists, "cls", "left").fillna(0, ["granted"])
+    need = F.greatest(F.lit(1), F.least("met_x", "met_y") - F.least("granted_x", "granted_y"))
+    return _met(short, percent, SKETCH, {"met": "met", "granted": "granted"}).groupBy("a", "b").agg(
+        F.count("*").alias("lists"), F.min(need).alias("need")).filter("lists >= need").select("a", "b")
+
+
 def _cross_pairs(open_lists: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs of members outside a list's largest component with the members of other components.
+    """The pairs of ``_met``, once each."""
+    return _met(open_lists, percent, k, {}).select("a", "b").distinct()
+
+
+def _met(open_lists: DataFrame, percent: int, k: int, carried: dict[str, str]) -> DataFrame:
+    """Pairs of members outside a list's largest component with the members of other components, once a list.
 
-    Lists may carry a hub and the differences from it (see ``_against_hub``); pairs of one hub
+    ``carried`` columns come along as <name>_x and <name>_y.  Lists may carry a hub and the differences from it (see ``_against_hub``); pairs of one hub
     are then made only if their intersection suffices.
     """
     met = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))) & _can_link(percent, k)
@@ -236,10 +258,11 @@ def _cross_pairs(open_lists: DataFrame, percent: int, k: int) -> DataFrame:
         enough = [x * (100 + percent) >= (F.col("na") + F.col("nb")) * percent for x in (least, exact)]
         apart = F.col("hub_x").isNull() | F.col("hub_y").isNull() | (F.col("hub_x") != F.col("hub_y"))
         met = met & (apart | (enough[0] & enough[1]))
+    own, other = own | {c: f"{n}_x" for c, n in carried.items()}, other | {c: f"{n}_y" for c, n in carried.items()}
     minor = open_lists.filter("c <> major").select(*own).withColumnsRenamed(own)
     rest = open_lists.select("v", "major", *other).withColumnsRenamed(other)
     return minor.join(rest, (F.col("vx") == F.col("v")) & met).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *[f"{n}_{side}" for n in carried.values() for side in "xy"])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,8 +296,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     links = _verified(_hub_pairs(lists, percent, SKETCH), classes, texts, shingle, percent)
     placed = _placed(lists, links)
     open_lists = placed.join(_split(placed), "v")
-    short = _cross_pairs(open_lists.filter(F.col("members") <= LONG_LIST), percent, SKETCH)
-    links = links.unionByName(_verified(short, classes, texts, shingle, percent))
+    links = links.unionByName(_verified(_short_pairs(open_lists, percent), classes, texts, shingle, percent))
 
     # long lists that one hub does not hold together: their members are listed again, by deep sketches
     again = written(open_lists.filter(F.col("members") > LONG_LIST).select("cls").distinct(), "deep-classes")
