@@ -8,8 +8,11 @@ Candidates come from inverted lists of retained values.  Two sets with a similar
 share many retained values, so each class enters only the lists of its rarest ones: with at
 least t common values among the sketches, one lies among the first size - t + 1 of each
 class in the same order.  The order is by document frequency over all classes, so lists of
-very common shingles stay out.  Pairs of a list are filtered by set size and by the
-similarity that the sketch of the union estimates, and verified on the full sets.
+very common shingles stay out.  Every list entry carries a bit mask of its class's sketch, four
+longs: two sketches with c common values share at least c bits, less those that collide inside one
+of them.  So a pair is made only if its masks allow as many common values as any link has.  Pairs
+are then filtered by the similarity that the sketch of the union estimates, and verified on the
+full sets.
 
 Lists never emit all their pairs.  Long lists first link their members to a hub, the member
 that shares most (the text that the others were made from, as a rule), and the links so far
@@ -37,7 +40,7 @@ SKETCH = 32
 DEEP = 4096  # sketch of the classes in long lists: the whole set, but for very long texts
 DIFFERENCES = 256  # most differences from a hub that are kept in lists; beyond, pairs are made and verified
 LONG_LIST = 32  # longer lists are contracted around a hub first
-LISTS_MET = 4  # lists in which two classes must meet before their sketches are compared
+MASKS = ("m0", "m1", "m2", "m3")  # 256 bits, one for each retained value
 
 
 def least_common(k: int, percent: int) -> int:
@@ -153,6 +156,29 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     return written(ordered.mapInArrow(_verify_task(size, percent), "a long, b long").distinct(), "links")
 
 
+def _least_shared(n: F.Column, k: int, percent: int) -> F.Column:
+    """Common values that any link of a set of ``n`` shingles leaves in both sketches, whole or truncated."""
+    p = percent / 100
+    return F.greatest(F.lit(1), F.when(n > k, least_common(k, percent)).otherwise(
+        F.least(F.ceil(n * percent / 100), F.floor(k - n * ((1 - p) / p))))).cast("int")
+
+
+def _with_masks(sets: DataFrame) -> DataFrame:
+    """Bit masks of the sketches, and in how many values they fall short of them (``lost``)."""
+    def mask(w: int) -> F.Column:
+        bit = lambda v: F.when(F.shiftright(v, 6).bitwiseAND(F.lit(3)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))).otherwise(0)
+        return F.aggregate("sketch", F.lit(0).cast("long"), lambda all_bits, v: all_bits.bitwiseOR(bit(v)))
+    masked = sets.select("cls", F.size("sketch").alias("size"), *[mask(w).alias(m) for w, m in enumerate(MASKS)])
+    return masked.withColumn("lost", F.col("size") - sum(F.bit_count(m) for m in MASKS)).drop("size")
+
+
+def _masks_allow(own: str, other: str, k: int, percent: int) -> F.Column:
+    """The pair's masks share as many bits as its link would, for columns with these suffixes."""
+    met = sum(F.bit_count(F.col(m + own).bitwiseAND(F.col(m + other))) for m in MASKS)
+    need = F.greatest(_least_shared(F.col("na"), k, percent), _least_shared(F.col("nb"), k, percent))
+    return met >= need - F.least("lost" + own, "lost" + other)
+
+
 def _can_link(percent: int, k: int) -> F.Column:
     """What sizes and shared values allow: (na, sa) and (nb, sb) of a pair."""
     fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
@@ -162,26 +188,24 @@ def _can_link(percent: int, k: int) -> F.Column:
 
 
 def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Inverted lists (v, cls, n, s, w, met) of the rarest retained values of each class (cls, n, sketch).
+    """Inverted lists (v, cls, n, s, w, masks of sketches that are not deep) of the rarest retained values of each class (cls, n, sketch).
 
     s counts the retained values that other classes share; w tells how central a class is: the
-    text that many others were made from shares all its values.  Two linked classes meet in at
-    least the smaller ``met`` of both.
+    text that many others were made from shares all its values.
     """
     values = classes.select("cls", "n", F.explode("sketch").alias("v"))
     frequency = values.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
-    size, p = F.least(F.col("n"), F.lit(k)), percent / 100
-    # common values that any link leaves in both sketches, whole or truncated
-    common = F.when(F.col("n") > k, least_common(k, percent)).otherwise(
-        F.least(F.ceil(F.col("n") * percent / 100), F.floor(k - F.col("n") * ((1 - p) / p))))
+    size, common = F.least(F.col("n"), F.lit(k)), _least_shared(F.col("n"), k, percent)
     shared = values.join(frequency, "v").groupBy("cls", "n").agg(
         F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"), F.round(F.sum(F.log2("f")), 3).alias("w"))
-    common = F.greatest(common, F.lit(1))
-    met = F.least(common, F.lit(LISTS_MET)).cast("int")
     # values that one class alone retains come first in the order, and their lists hold no pair
-    prefix = F.greatest(F.lit(0), size - common + met - (size - F.size("vs"))).cast("int")
-    return written(shared.withColumn("s", F.size("vs")).withColumn("met", met).withColumn("vs", F.slice("vs", 1, prefix)).select(
-        "cls", "n", "s", "w", "met", F.explode("vs").alias("e")).select(F.col("e.v").alias("v"), "cls", "n", "s", "w", "met"), "lists")
+    prefix = F.greatest(F.lit(0), size - common + 1 - (size - F.size("vs"))).cast("int")
+    masks = ()
+    listed = shared.withColumn("s", F.size("vs")).withColumn("vs", F.slice("vs", 1, prefix)).filter(F.size("vs") > 0)
+    if k == SKETCH:
+        masks = (*MASKS, "lost")
+        listed = listed.join(_with_masks(classes), "cls")
+    return written(listed.select("cls", "n", "s", "w", *masks, F.explode("vs").alias("e")).select(F.col("e.v").alias("v"), "cls", "n", "s", "w", *masks), "lists")
 
 
 def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -200,11 +224,14 @@ def _split(placed: DataFrame) -> DataFrame:
 
 def _hub_pairs(lists: DataFrame, percent: int, k: int) -> DataFrame:
     """Pairs of the most central member of each long list with the others."""
-    hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("w", F.negate("cls").alias("o"), "cls", "n", "s")).alias("h")).filter(
+    masks = [m for m in (*MASKS, "lost") if m in lists.columns]
+    hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("w", F.negate("cls").alias("o"), "cls", "n", "s", *masks)).alias("h")).filter(
         F.col("m") > LONG_LIST)
+    allowed = _can_link(percent, k) & _masks_allow("_x", "_y", k, percent) if masks else _can_link(percent, k)
     return lists.join(hubs, "v").filter(F.col("cls") != F.col("h.cls")).select(
         F.col("h.cls").alias("x"), F.col("h.n").alias("na"), F.col("h.s").alias("sa"), F.col("cls").alias("y"), F.col("n").alias("nb"), F.col("s").alias("sb"),
-    ).filter(_can_link(percent, k)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        *[F.col(f"h.{m}").alias(f"{m}_x") for m in masks], *[F.col(m).alias(f"{m}_y") for m in masks],
+    ).filter(allowed).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _against_hub(lists: DataFrame, deep: DataFrame) -> DataFrame:
@@ -224,32 +251,17 @@ def _against_hub(lists: DataFrame, deep: DataFrame) -> DataFrame:
     ).filter(F.size("less") + F.size("more") <= DIFFERENCES), "hub-members")
 
 
-def _short_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the short lists that meet in as many of them as two linked classes must.
-
-    Two classes meet in at least the smaller ``met`` of both, short lists and long ones together;
-    the long lists of a class are counted, and so many meetings are granted.
-    """
-    long_lists = open_lists.filter(F.col("members") > LONG_LIST).groupBy("cls").agg(F.count("*").cast("int").alias("granted"))
-    short = open_lists.filter(F.col("members") <= LONG_LIST).join(long_lists, "cls", "left").fillna(0, ["granted"])
-    need = F.greatest(F.lit(1), F.least("met_x", "met_y") - F.least("granted_x", "granted_y"))
-    return _met(short, percent, SKETCH, {"met": "met", "granted": "granted"}).groupBy("a", "b").agg(
-        F.count("*").alias("lists"), F.min(need).alias("need")).filter("lists >= need").select("a", "b")
-
-
 def _cross_pairs(open_lists: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs of ``_met``, once each."""
-    return _met(open_lists, percent, k, {}).select("a", "b").distinct()
-
-
-def _met(open_lists: DataFrame, percent: int, k: int, carried: dict[str, str]) -> DataFrame:
-    """Pairs of members outside a list's largest component with the members of other components, once a list.
+    """Pairs of members outside a list's largest component with the members of other components.
 
-    ``carried`` columns come along as <name>_x and <name>_y.  Lists may carry a hub and the differences from it (see ``_against_hub``); pairs of one hub
+    Lists may carry a hub and the differences from it (see ``_against_hub``); pairs of one hub
     are then made only if their intersection suffices.
     """
     met = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))) & _can_link(percent, k)
     own, other = {"cls": "x", "n": "na", "s": "sa", "c": "cx", "v": "vx"}, {"cls": "y", "n": "nb", "s": "sb", "c": "cy"}
+    if "lost" in open_lists.columns:
+        own, other = own | {m: f"{m}_x" for m in (*MASKS, "lost")}, other | {m: f"{m}_y" for m in (*MASKS, "lost")}
+        met = met & _masks_allow("_x", "_y", k, percent)
     if "hub" in open_lists.columns:
         own, other = own | {"hub": "hub_x", "less": "less_x", "more": "more_x"}, other | {"hub": "hub_y", "hub_n": "hub_n", "less": "less_y", "more": "more_y"}
         least = F.col("hub_n") - F.greatest(F.size("less_x"), F.size("less_y")) + F.least(F.size("more_x"), F.size("more_y"))
@@ -258,11 +270,10 @@ def _met(open_lists: DataFrame, percent: int, k: int, carried: dict[str, str]) -
         enough = [x * (100 + percent) >= (F.col("na") + F.col("nb")) * percent for x in (least, exact)]
         apart = F.col("hub_x").isNull() | F.col("hub_y").isNull() | (F.col("hub_x") != F.col("hub_y"))
         met = met & (apart | (enough[0] & enough[1]))
-    own, other = own | {c: f"{n}_x" for c, n in carried.items()}, other | {c: f"{n}_y" for c, n in carried.items()}
     minor = open_lists.filter("c <> major").select(*own).withColumnsRenamed(own)
     rest = open_lists.select("v", "major", *other).withColumnsRenamed(other)
     return minor.join(rest, (F.col("vx") == F.col("v")) & met).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *[f"{n}_{side}" for n in carried.values() for side in "xy"])
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +307,8 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     links = _verified(_hub_pairs(lists, percent, SKETCH), classes, texts, shingle, percent)
     placed = _placed(lists, links)
     open_lists = placed.join(_split(placed), "v")
-    links = links.unionByName(_verified(_short_pairs(open_lists, percent), classes, texts, shingle, percent))
+    short = _cross_pairs(open_lists.filter(F.col("members") <= LONG_LIST), percent, SKETCH)
+    links = links.unionByName(_verified(short, classes, texts, shingle, percent))
 
     # long lists that one hub does not hold together: their members are listed again, by deep sketches
     again = written(open_lists.filter(F.col("members") > LONG_LIST).select("cls").distinct(), "deep-classes")
