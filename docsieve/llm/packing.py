@@ -23,25 +23,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsieve.llm.common import text_blocks, written
+from docsieve.llm.common import LOWER, prefix_hash, span_hash, text_blocks, words, written
 
 CAPACITY = 4096
 BLOCK = 20_000
 TRIES = 300_000  # pieces that the search of one block may try
-CACHE = 350_000
+CACHE = 350_000  # chunks, or half of them, whose tokens a worker keeps
+WORDS = 1_000_000  # words that a worker keeps in flat arrays before it starts anew
 
 _TOKENIZERS: dict[str, tuple] = {}
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-# between an ASCII letter and a sign (without the apostrophe, which may open a contraction)
-_CUT = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
+# between a letter or digit and an ASCII sign, either way round; the apostrophe may open a contraction
+_CUT = re.compile(r"(?<=[^\W_])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[^\W_])")
 
 
 class _Memo:
-    """Token bytes of text chunks; the older half is dropped when the newer is full."""
+    """Token bytes of parts of texts; the older half is dropped when the newer is full."""
 
     def __init__(self) -> None:
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def turn(self) -> None:
         if len(self.new) >= CACHE:
@@ -57,14 +58,13 @@ def _tokenizer(path: str) -> tuple:
         ends = np.zeros(tokenizer.get_vocab_size(), bool)
         for token, number in tokenizer.get_vocab().items():
             ends[number] = token.endswith("</w>")
-        _TOKENIZERS[path] = (tokenizer, ends, _Memo())
+        _TOKENIZERS[path] = (tokenizer, ends, _Memo(), _Words())
     return _TOKENIZERS[path]
 
 
-def _encode(chunks: list[bytes], tokenizer: object, ends: np.ndarray) -> list[bytes]:
-    """Token bytes of chunks without white space, by few calls."""
-    out: list[bytes] = [b""] * len(chunks)
-    texts = [c.decode() for c in chunks]
+def _encode(texts: list[str], tokenizer: object, ends: np.ndarray) -> list[bytes]:
+    """Token bytes of texts without white space, by few calls."""
+    out: list[bytes] = [b""] * len(texts)
     # a run of letters is one word to this tokenizer, and every word ends in a token marked so
     plain = [i for i, t in enumerate(texts) if t.isalpha()]
     for first in range(0, len(plain), 2000):
@@ -74,8 +74,9 @@ def _encode(chunks: list[bytes], tokenizer: object, ends: np.ndarray) -> list[by
         if len(edge) != len(part) or edge[-1] != len(ids):
             plain = []
             break
+        raw = ids.tobytes()
         for i, a, b in zip(part, [0, *edge], edge):
-            out[i] = ids[a:b].tobytes()
+            out[i] = raw[4 * a: 4 * b]
     done = set(plain)
     for i, text in enumerate(texts):
         if i not in done:
@@ -83,31 +84,131 @@ def _encode(chunks: list[bytes], tokenizer: object, ends: np.ndarray) -> list[by
     return out
 
 
+def chunk_tokens(chunks: list[bytes], path: str) -> list[bytes]:
+    """Token ids, as little-endian unsigned 32-bit numbers, of distinct texts without white space.
+
+    A run of letters never joins a sign, so both are encoded on their own; parts met before come
+    from a bounded memo.
+    """
+    tokenizer, ends, memo, _ = _tokenizer(path)
+    memo.turn()
+    new, old = memo.new, memo.old
+    split: list[list[str]] = []
+    lacking: dict[str, None] = {}
+    for chunk in chunks:
+        text = chunk.decode("utf-8", "surrogatepass")
+        parts = [text] if text.isalpha() or "<|" in text else _CUT.split(text)
+        for part in parts:
+            if part not in new:
+                tokens = old.get(part)
+                if tokens is None:
+                    lacking[part] = None
+                else:
+                    new[part] = tokens
+        split.append(parts)
+    unseen = list(lacking)
+    new.update(zip(unseen, _encode(unseen, tokenizer, ends)))
+    return [new[parts[0]] if len(parts) == 1 else b"".join([new[p] for p in parts]) for parts in split]
+
+
 def token_bytes(raws: list[bytes], path: str) -> list[bytes]:
-    """Token ids of texts as little-endian unsigned 32-bit numbers.
+    """Token ids of texts, one by one.
 
     The tokenizer drops white space and lowers case, so a text is encoded in chunks between
-    spaces, ASCII letters lowered first; chunks met before come from a bounded memo.  Texts
-    that may hold a special token keep their case.
+    spaces, ASCII letters lowered first.  Texts that may hold a special token keep their case.
     """
-    tokenizer, ends, memo = _tokenizer(path)
-    memo.turn()
     split = [raw.split() if b"<|" in raw else raw.translate(_LOWER).split() for raw in raws]
-    unseen = set().union(*split).difference(memo.new)
-    later = []
-    for chunk in unseen:
-        tokens = memo.old.get(chunk)
-        if tokens is None:
-            # a run of letters never joins a sign: both sides are encoded on their own
-            later.append((chunk, [chunk] if b"<|" in chunk else _CUT.sub(b" ", chunk).split()))
-        else:
-            memo.new[chunk] = tokens
-    parts = list({p for _, cut in later for p in cut}.difference(memo.new))
-    memo.new.update(zip(parts, _encode(parts, tokenizer, ends)))
-    for chunk, cut in later:
-        if len(cut) > 1:
-            memo.new[chunk] = b"".join([memo.new[p] for p in cut])
-    return [b"".join(map(memo.new.__getitem__, chunks)) for chunks in split]
+    unseen = list(set().union(*split))
+    known = dict(zip(unseen, chunk_tokens(unseen, path)))
+    return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+
+
+class _Words:
+    """Token ids of the words met so far, found by hash and held against their bytes.
+
+    All as flat arrays, so a run of texts is looked up and put together without a step per word:
+    its distinct words, their tokens, then the tokens of all words in order.
+    """
+
+    def __init__(self) -> None:
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and where their word lies
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, "<u4")
+        self.byte_ends, self.id_ends = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of words (distinct ``hashes``); -1 for those not held, or held with other bytes."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        place = np.where(self.hashes[at] == hashes, self.places[at], -1)
+        held = np.flatnonzero(place >= 0)
+        first, last = self.byte_ends[place[held]], self.byte_ends[place[held] + 1]
+        place[held[~_same_bytes(data, start[held], end[held], self.bytes, first, last)]] = -1
+        return place
+
+    def add(self, hashes: np.ndarray, words: list[bytes], ids: list[bytes]) -> np.ndarray:
+        """Hold new words; their places."""
+        if len(self.places) > WORDS:
+            self.__init__()
+        new = np.arange(len(words)) + len(self.byte_ends) - 1
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        self.byte_ends = np.concatenate([self.byte_ends, self.byte_ends[-1] + np.cumsum([len(w) for w in words])])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum([len(i) // 4 for i in ids])])
+        # a hash held with other bytes keeps its place; the new word is only put together now
+        at = np.searchsorted(self.hashes, hashes)
+        fresh = np.append(self.hashes, np.uint64(0))[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+        fresh |= at == len(self.hashes)
+        at = at[fresh]
+        self.hashes, self.places = np.insert(self.hashes, at, hashes[fresh]), np.insert(self.places, at, new[fresh])
+        return new
+
+
+def _same_bytes(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Which spans of ``a`` equal their spans of ``b``."""
+    length = a_end - a_start
+    same = length == b_end - b_start
+    length = np.where(same, length, 0)
+    before = np.cumsum(length) - length
+    step = np.arange(int(length.sum())) - np.repeat(before, length)
+    differ = a[step + np.repeat(a_start, length)] != b[step + np.repeat(b_start, length)]
+    wrong = np.bincount(np.repeat(np.arange(len(length)), length)[differ], minlength=len(length))
+    return same & (wrong == 0)
+
+
+def token_runs(data: np.ndarray, offsets: np.ndarray, path: str) -> list[bytes]:
+    """Token ids of a run of texts (see ``text_blocks``), as ``token_bytes`` gives them one by one."""
+    known, n = _tokenizer(path)[3], len(offsets) - 1
+    lower = LOWER[data]
+    start, end, row = words(lower, offsets)
+    marked = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if len(data) else np.zeros(0, np.int64)
+    out: list[bytes] = [b""] * n
+    if len(start):
+        hashes, first, of = np.unique(span_hash(prefix_hash(lower), start, end), return_index=True, return_inverse=True)
+        # every word is held against the one that stands for its hash
+        alike = _same_bytes(lower, start, end, lower, start[first][of], end[first][of])
+        place = known.find(hashes, lower, start[first], end[first])
+        lacking = np.flatnonzero(place < 0)
+        if len(lacking) and len(known.places) > WORDS:  # about to start anew
+            place, lacking = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        if len(lacking):
+            own = [lower[a:b].tobytes() for a, b in zip(start[first[lacking]].tolist(), end[first[lacking]].tolist())]
+            place[lacking] = known.add(hashes[lacking], own, chunk_tokens(own, path))
+        own_place = place[of]
+        count = known.id_ends[own_place + 1] - known.id_ends[own_place]
+        after = np.cumsum(count)
+        index = np.arange(int(after[-1])) - np.repeat(after - count - known.id_ends[own_place], count)
+        ids = known.ids[index].tobytes()
+        ends = np.concatenate([[0], after])[np.searchsorted(row, np.arange(n + 1))].tolist()
+        out = [ids[4 * a: 4 * b] for a, b in zip(ends[:-1], ends[1:])]
+        strange = set(row[~alike].tolist())
+    else:
+        strange = set()
+    # texts that may hold a special token, and those with a word of another's hash, on their own
+    strange |= set((np.searchsorted(offsets, marked, "right") - 1).tolist())
+    for i in sorted(strange):
+        out[i] = token_bytes([data[offsets[i]: offsets[i + 1]].tobytes()], path)[0]
+    return out
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -122,8 +223,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
             ids = batch.column(0).to_pylist()
             rows = []
             for first, last, data, offsets in text_blocks(batch.column(1)):
-                raws = [data[offsets[i]: offsets[i + 1]].tobytes() for i in range(last - first)]
-                for doc_id, found in zip(ids[first:last], token_bytes(raws, path)):
+                for doc_id, found in zip(ids[first:last], token_runs(data, offsets, path)):
                     tokens = found + end
                     for piece, at in enumerate(range(0, len(tokens), 4 * capacity)):
                         part = tokens[at: at + 4 * capacity]
