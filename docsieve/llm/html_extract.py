@@ -12,9 +12,11 @@ known by construction.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,15 +31,15 @@ PATH_DIM, WORD_DIM, FIGURES = 64, 24, 6
 DIM = PATH_DIM + WORD_DIM + FIGURES
 HIDDEN = 20
 TRAIN_PAGES = 300  # bound of the training sample
-COMPOSED = 600  # least number of composed training pages
-EPOCHS, RATE, BATCH, SEED = 8, 0.01, 16, 5
+COMPOSED = 1000  # least number of composed training pages
+EPOCHS, RATE, BATCH, SEED = 10, 0.01, 16, 5
 MAX_TRAIN_BLOCKS = 400  # longer pages are not learned from; every page is extracted whole
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"  # ends at once; the other elements without visible text ignore the slash
-    r"|<(script|style|template|noscript|svg|iframe|object|canvas|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+# elements without visible text; all but svg ignore a slash at the end of their tag
+_RAW = re.compile(r"(script|style|template|noscript|svg|iframe|object|canvas|textarea|select|title)\b", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_SIGNS = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
@@ -51,7 +53,28 @@ _IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript scr
 _HEAD_TOP = frozenset("head basefont bgsound".split())
 _PIECES = re.compile(r"[a-z]+")
 
-Block = tuple[tuple[str, ...], str, int]  # tag path, text, characters inside links
+Block = tuple["Path | tuple[str, ...]", str, int]  # tag path, text, characters inside links
+
+
+class Path:
+    """Names of the open elements of a block, outermost first, and their vector.
+
+    The vector is kept up to date while elements open and close, so a block costs the same at
+    any depth; the names are put together only where they are asked for.
+    """
+
+    __slots__ = ("node", "vector", "hidden")
+
+    def __init__(self, node: tuple, vector: bytes, hidden: bool) -> None:
+        self.node, self.vector, self.hidden = node, vector, hidden
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        parts, node = [], self.node
+        while node is not None:
+            parts.append(node[1])
+            node = node[0]
+        return tuple(n for names in reversed(parts) for n in names)
 
 
 @lru_cache(maxsize=20_000)
@@ -59,16 +82,156 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     """Path names of an element: its tag, then class, id and role words."""
     out = [tag]
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        out += [f".{piece}" for piece in _PIECES.findall((a or b or c).lower())][:8]
+        out += [f".{piece}" for piece in _PIECES.findall((a or b or c).lower())]
     return tuple(out)
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Markup in page order: (start, end, tag or None for what has no element, end tag, attributes).
+
+    Comments, declarations and elements without visible text are one piece each, to the end of
+    the page if they are not closed.  A tag without its ``>`` is text.  Linear in the page: once a
+    tag was found open, the ends of all later ones are read off a table made in one pass.
+    """
+    ends: dict[int, int] | None = None
+    signs: list[int] = []
+    n, last, at = len(page), page.rfind(">"), page.find("<")
+
+    def table() -> None:
+        """For each ``>`` or quote outside quotes: where a tag that reaches it there ends."""
+        nonlocal ends
+        ends, upcoming = {}, {}
+        for found in reversed(list(_SIGNS.finditer(page))):
+            i, sign = found.start(), found[0]
+            if sign == ">":
+                ends[i] = i
+            else:
+                close = upcoming.get(sign)
+                beyond = None if close is None else following.get(close)
+                ends[i] = -1 if beyond is None else ends[beyond]
+                upcoming[sign] = i
+            following[i] = signs[-1] if signs else None
+            signs.append(i)
+        signs.reverse()
+
+    following: dict[int, int | None] = {}
+
+    def tag_at(at: int) -> tuple[int, str, bool, str] | None:
+        if ends is None:
+            found = _TAG.match(page, at)
+            if found:
+                return found.end(), found[2], bool(found[1]), found[3]
+            if not _TAG_NAME.match(page, at):
+                return None
+            table()
+        named = _TAG_NAME.match(page, at)
+        k = bisect.bisect_left(signs, named.end()) if named else len(signs)
+        end = ends[signs[k]] if k < len(signs) else -1
+        return None if end < 0 else (end + 1, named[2], bool(named[1]), page[named.end(): end])
+
+    while 0 <= at:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at + 9)
+            end = n if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            end = n if end < 0 else end + 1
+        else:
+            found = tag_at(at) if at < last else None
+            if found is None:
+                at = page.find("<", at + 1)
+                continue
+            end, tag, closing, attributes = found
+            raw = None if closing else _RAW.match(tag)
+            if raw is None:
+                yield at, end, tag.lower(), closing, attributes
+                at = page.find("<", end)
+                continue
+            if not (raw[1].lower() == "svg" and attributes.endswith("/")):
+                close = _closing(raw[1].lower()).search(page, end)
+                end = n if close is None else close.end()
+        yield at, end, None, False, ""
+        at = page.find("<", end)
+
+
+@lru_cache(maxsize=None)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*+>", re.I)
+
+
+class _Open:
+    """The open elements of a page, with all that blocks and end tags ask of them, each in constant time."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple]] = []
+        self.places: dict[str, list[int]] = {}  # of each tag, ascending
+        self.kinds: dict[str, list[int]] = {"block": [], "container": [], "body": []}
+        self.count: dict[str, int] = {}
+        self.vector = [0.0] * PATH_DIM
+        self.known: dict[int, Path] = {}
+
+    def _add(self, name: str, by: int) -> None:
+        before = self.count.get(name, 0)
+        self.count[name] = before + by
+        if (by > 0 and before == 0) or (by < 0 and before == 1):
+            cell, sign = _cell(name)
+            self.vector[cell] += sign * by
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, (self.stack[-1][1] if self.stack else None, names)))
+        self.places.setdefault(tag, []).append(at)
+        for kind, belongs in (("block", tag not in _INLINE), ("container", tag in _CONTAINERS), ("body", tag not in _HEAD_TOP)):
+            if belongs:
+                self.kinds[kind].append(at)
+        for name in names:
+            self._add(name, 1)
+
+    def cut(self, at: int) -> None:
+        """Close every element from place ``at`` on."""
+        while len(self.stack) > at:
+            tag, (_, names) = self.stack.pop()
+            self.places[tag].pop()
+            for places in self.kinds.values():
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+            for name in names:
+                self._add(name, -1)
+            self.known.pop(len(self.stack), None)
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def last_of(self, kind: str) -> int:
+        return self.kinds[kind][-1] if self.kinds[kind] else -1
+
+    def path(self) -> Path:
+        at = len(self.stack) - 1
+        if at not in self.known:
+            node = self.stack[-1][1] if self.stack else None
+            names = node[1] if node else ()
+            if node and len(names) < 2:
+                names = (*(node[0][1][-1:] if node[0] else ()), *names)
+            vector = array("f", self.vector)
+            cell, sign = _cell("/".join(names[-2:]))
+            vector[cell] += sign
+            self.known[at] = Path(node, vector.tobytes(), self.last("head") >= 0)
+        return self.known[at]
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order, white space collapsed, character references decoded."""
+    """Leaf blocks of a page in order, white space collapsed, character references decoded.
+
+    Linear in the page, whatever is left open or nested in it.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
-    linked, path = 0, ()
+    elements = _Open()
+    linked, path = 0, elements.path()
 
     def flush() -> None:
         nonlocal linked
@@ -81,11 +244,9 @@ def blocks(page: str) -> list[Block]:
 
     def leave_head() -> None:
         """An open head ends, with or without its end tag, where anything of the body begins."""
-        i = len(stack)
-        while i and stack[i - 1][0] in _HEAD_TOP:
-            i -= 1
-        if any(tag == "head" for tag, _ in stack[i:]):
-            del stack[i:]
+        beyond = elements.last_of("body")
+        if elements.last("head") > beyond:
+            elements.cut(beyond + 1)
 
     def add(raw: str) -> None:
         nonlocal linked, path
@@ -96,55 +257,52 @@ def blocks(page: str) -> list[Block]:
             if raw.isspace():
                 return
             leave_head()
-            path = tuple(n for _, names in stack for n in names)
+            path = elements.path()
         text.append(raw)
-        if any(tag == "a" for tag, _ in stack):
+        if elements.last("a") >= 0:
             linked += len(raw.strip())
 
     at = 0
-    for found in _TOKEN.finditer(page):
-        add(page[at: found.start()])
-        at = found.end()
-        tag = found[3]
-        if tag is None:  # comment, declaration or an element without visible text
+    for start, end, tag, closing, attributes in _tags(page):
+        add(page[at:start])
+        at = end
+        if tag is None:
             continue
-        tag = tag.lower()
         if tag not in _INLINE:
             flush()
         elif tag == "br" and text:
             text.append(" ")
-        if found[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag in _INLINE and stack[i][0] not in _INLINE:
-                    break
+        if closing:
+            place = elements.last(tag)
+            if place >= 0 and not (tag in _INLINE and elements.last_of("block") > place):
+                elements.cut(place)
         else:
             if tag not in _IN_HEAD:
                 leave_head()
             if tag not in _INLINE or tag in _CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or stack[i][0] in _CLOSES.get(tag, ()):
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _CONTAINERS:
-                        break
-            if tag not in _VOID and not found[4].rstrip().endswith("/"):
-                stack.append((tag, _names(tag, found[4])))
+                place = max(elements.last(t) for t in ("p", *_CLOSES.get(tag, ())))
+                if place > elements.last_of("container"):
+                    elements.cut(place)
+            if tag not in _VOID and not attributes.rstrip().endswith("/"):
+                elements.push(tag, _names(tag, attributes))
     add(page[at:])
     flush()
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _cell(name: str) -> tuple[int, float]:
+    h = zlib.crc32(name.encode("utf-8", "surrogatepass"))
+    return h % PATH_DIM, 1.0 if h & 1024 else -1.0
+
+
 @lru_cache(maxsize=50_000)
 def _path_vector(path: tuple[str, ...]) -> bytes:
     """Signed hashed counts of the path's names, and of the innermost two as a pair."""
-    out = np.zeros(PATH_DIM, np.float32)
-    names = [*dict.fromkeys(path), "/".join(path[-2:])]
-    for name in names:
-        h = zlib.crc32(name.encode())
-        out[h % PATH_DIM] += 1 if h & 1024 else -1
+    out = array("f", [0.0] * PATH_DIM)
+    for name in [*dict.fromkeys(path), "/".join(path[-2:])]:
+        cell, sign = _cell(name)
+        out[cell] += sign
     return out.tobytes()
 
 
@@ -152,7 +310,7 @@ def vectors(page: list[Block]) -> np.ndarray:
     """One row per block; a head of the document (title and the like) never counts as visible."""
     n = len(page)
     out = np.zeros((n, DIM), np.float32)
-    out[:, :PATH_DIM] = np.frombuffer(b"".join([_path_vector(p) for p, _, _ in page]), np.float32).reshape(n, PATH_DIM)
+    out[:, :PATH_DIM] = np.frombuffer(b"".join([p.vector if isinstance(p, Path) else _path_vector(p) for p, _, _ in page]), np.float32).reshape(n, PATH_DIM)
     raw = [t.encode("utf-8", "surrogatepass") for _, t, _ in page]
     data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
@@ -319,10 +477,30 @@ _AROUND_WORDS = frozenset(
 
 def taught(page: list[Block]) -> np.ndarray | None:
     """Labels by the page's own markup, or None where it names no article."""
-    labels = np.array([bool(_MAIN & set(p)) and not (_AROUND & set(p) or _AROUND_WORDS & set(p)) for p, _, _ in page], np.float32)
+    labels = np.array([_is_main(p.names) for p, _, _ in page], np.float32)
     return labels if labels.any() else None
 
 
+def _is_main(names: tuple[str, ...]) -> bool:
+    """Inside an article and in nothing around; a header inside the article is its own."""
+    inside = max((i for i, name in enumerate(names) if name in _MAIN), default=-1)
+    own = [name for i, name in enumerate(names) if not (i > inside and name == "header")]
+    return inside >= 0 and not (_AROUND & set(own) or _AROUND_WORDS & set(own))
+
+
+#: Forms of text in an article: runs of (path, how many blocks, how many words a block).
+_FORMS = (
+    (("ul li", (2, 7), (1, 14)),), (("ol li", (2, 7), (1, 14)),), (("ul li p", (2, 5), (3, 20)),), (("ul li", (1, 5), (1, 6)), ("ul li ul li", (1, 4), (1, 6)), ("ul li", (1, 3), (1, 6)), ("p", (1, 3), (10, 50))),
+    (("pre", (1, 2), (3, 40)),), (("pre code", (1, 2), (2, 40)),), (("div .highlight pre code", (1, 2), (2, 30)),), (("p code", (1, 2), (1, 6)),),
+    (("blockquote", (1, 2), (5, 40)),), (("blockquote p", (1, 3), (5, 40)),), (("blockquote p", (1, 2), (5, 30)), ("blockquote cite", (1, 2), (1, 5))),
+    (("table tr th", (2, 5), (1, 3)), ("table tr td", (2, 13), (1, 4))), (("table thead tr th", (2, 5), (1, 3)), ("table tbody tr td", (2, 13), (1, 4))),
+    (("table caption", (1, 2), (2, 10)), ("table tr td", (2, 13), (1, 4))), (("div table tbody tr td", (2, 9), (1, 6)),), (("table tr td p", (2, 7), (1, 9)),),
+    (("figure figcaption", (1, 2), (3, 20)),), (("div .figure p .caption", (1, 2), (3, 20)),), (("dl dt", (1, 2), (1, 4)), ("dl dd", (1, 2), (3, 20)), ("dl dt", (1, 2), (1, 4)), ("dl dd", (1, 2), (3, 20))),
+    (("h2", (1, 2), (1, 7)), ("p", (1, 3), (10, 50))), (("section h2", (1, 2), (1, 7)), ("section p", (1, 4), (10, 50))), (("h3", (1, 2), (1, 7)), ("ul li", (2, 6), (1, 9))),
+    (("div p", (1, 4), (8, 40)),), (("div", (1, 3), (8, 40)),), (("details summary", (1, 2), (1, 6)), ("details p", (1, 2), (5, 30))), (("address", (1, 2), (3, 12)),),
+)
+
+
 def _composed(page: list[Block], labels: np.ndarray, rng: np.random.Generator, texts: list[str]) -> tuple[list[Block], np.ndarray]:
     """The page's article in another layout, with other surroundings."""
     def pick(options: str) -> tuple[str, ...]:
@@ -356,19 +534,42 @@ def _composed(page: list[Block], labels: np.ndarray, rng: np.random.Generator, t
     side = pick("aside|div .sidebar|aside .sidebar|div .widget|div .related")
     if chance(0.25):
         around(side + pick("ul li a|p|h3|section p"), int(rng.integers(1, 5)), 2, 20, chance(0.5))
+    if chance(0.4):
+        root += pick("div|div .wrap|div .container|div .page div .row|div .layout div .column")
     home = pick("article|article|main|main article|div .content|div .post|div .article .body|div .entry .content|section .story|div|div .main .text|div .page div")
     longer = int(rng.integers(2, 40)) if chance(0.1) else 1  # some articles are very long
-    for (path, text, linked), label in list(zip(page, labels)) * longer:
-        if len(out) < MAX_TRAIN_BLOCKS and label:
-            cut = max([i for i, name in enumerate(path) if name in _MAIN], default=len(path) - 2) + 1
-            out.append((root + home + (path[cut:] or ("p",)), text, linked, 1))
-            if chance(0.05):
-                around(home + pick("div .ad|aside .promo p|div .share a|figure .advert|form .newsletter p"), 1, 2, 15, chance(0.3))
+    rich, headed = chance(0.6), chance(0.4)
+
+    def inside(path: tuple[str, ...], text: str, linked: int = 0) -> None:
+        out.append((root + home + path, text, linked, 1))
+
+    for at, ((path, text, linked), label) in enumerate(list(zip(page, labels)) * longer):
+        if len(out) >= MAX_TRAIN_BLOCKS or not label:
+            continue
+        names = path.names
+        cut = max([i for i, name in enumerate(names) if name in _MAIN], default=len(names) - 2) + 1
+        if headed and not any(row[3] for row in out):
+            # the article's own head: its title, perhaps a line below it
+            head = pick("header|header .entry|div .head|hgroup|div .title|header div")
+            inside(head + pick("h1|h1|h2"), text, linked)
+            if chance(0.6):
+                inside(head + pick("p|p .byline|p .lead|div|time|span .author"), words_of(2, 14))
+        else:
+            inside(names[cut:] or ("p",), text, linked)
+        if rich and chance(0.4):
+            # other forms of text that articles hold, in runs as they come
+            for form in _FORMS[rng.integers(len(_FORMS))]:
+                for _ in range(int(rng.integers(*form[1]))):
+                    inside(tuple(form[0].split()), words_of(*form[2]))
+        if chance(0.1):
+            around(home + pick("div .ad|aside|aside p|aside .promo p|div .advert p|div .share a|figure .advert|form .newsletter p|div .sponsor|aside div"), 1, 1, 15, chance(0.3))
     if chance(0.35):
         around(home + pick("div .share a|div .tags a|p .meta|div .meta span"), int(rng.integers(1, 4)), 1, 5, chance(0.6))
     if chance(0.5):
-        comment = pick("section .comments|div .comments|div #|ol .comment .list li|div .responses") + pick("div .comment p|li .comment p|div .comment .body p|p .comment|article .comment p")
-        around(comment, int(rng.integers(1, 7)), 3, 40, False)
+        thread = pick("section .comments|div .comments|div #|ol .comment .list li|div .responses")
+        if chance(0.6):
+            around(thread[:2] + pick("h2|h3|h4|p .title|div .comments .title"), 1, 1, 4, False)
+        around(thread + pick("div .comment p|li .comment p|div .comment .body p|p .comment|article .comment p"), int(rng.integers(1, 7)), 3, 40, False)
     if chance(0.3):
         around(pick("form|div .login form|form .search|form .newsletter|div .signup form") + pick("label|p|button|div|span"), int(rng.integers(1, 4)), 1, 12, False)
     if chance(0.4):
@@ -390,7 +591,7 @@ def training_set(pages: list[str]) -> list[tuple[list[Block], np.ndarray]]:
         labels = taught(cut) if cut and len(cut) <= MAX_TRAIN_BLOCKS else None
         if labels is not None:
             known.append((cut, labels))
-    texts = [t for page, _ in known for _, t, _ in page][:5000]
+    texts = [t for page, _ in known for _, t, _ in page]
     out = []
     for page, labels in known:
         out.append((page, labels))
@@ -421,11 +622,8 @@ def fit(pages: DataFrame, sample: int = TRAIN_PAGES) -> dict[str, np.ndarray]:
     return {r["name"]: np.frombuffer(r["weights"], np.float32).reshape(shapes[r["name"]]) for r in rows}
 
 
-_HIDDEN_TAGS = frozenset(["head"])
-
-
 def main_text(pages: list[str], model: dict[str, np.ndarray]) -> list[str]:
-    cut = [[b for b in blocks(p) if not _HIDDEN_TAGS & set(b[0])] for p in pages]
+    cut = [[b for b in blocks(p) if not b[0].hidden] for p in pages]
     chances = probabilities([vectors(c) if c else np.zeros((0, DIM), np.float32) for c in cut], model)
     return ["\n".join([t for (_, t, _), y in zip(c, p) if y >= 0.5]) for c, p in zip(cut, chances)]
 

@@ -4,11 +4,14 @@ import base64
 import gzip
 import hashlib
 import os
+import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from comparing import same_rows
+from pages_by_hand import AROUND, PAGES
 
 from docsieve.llm import html_extract, quality, warc
 from docsieve.llm.common import new_path
@@ -125,6 +128,40 @@ def test_extraction(spark):
     assert alone == html_extract.main_text(rows, model)[:20]
 
 
+@real
+def test_pages_by_hand(spark):
+    """Lists, tables, code, quotes, captions, heads and adverts inside articles, block by block."""
+    model = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    wrong = []
+    for (name, _, keep, drop), text in zip(PAGES, html_extract.main_text([p for _, p, _, _ in PAGES], model)):
+        own = text.split("\n")
+        assert not set(own) & {*AROUND, *drop}, name
+        wrong += [name] if own != keep else []
+    assert wrong == []
+
+
+@pytest.mark.parametrize("unit", ["<svg ", "<div ", '<a b="', "<div>x", "<b>x", "<b><h1>x", "<i></b>", "<head><b><basefont>x", "<p '>", "<script></script ", "<i><div><b></i>x", "<!--", "&#x", None])
+def test_broken_pages_take_linear_time(unit):
+    page = lambda n: unit * (n // len(unit)) if unit else "".join(f'<div class="c{i}">x' for i in range(n // 18))
+    took = []
+    for n in (100_000, 1_000_000):
+        start = time.process_time()
+        html_extract.blocks(page(n))
+        took.append(time.process_time() - start)
+    assert took[1] < 6 and took[1] < 40 * max(took[0], 0.02)
+
+
+def test_paths_and_vectors_of_deep_pages():
+    """Vectors kept up to date while elements open and close are those of the whole path."""
+    rng = random.Random(3)
+    bits = ["<p>", "</p>", '<div class="a b a">', "</div>", "<b>", "</b>", '<a href="x>y">', "</a>", "<li>", "<ul>", "</ul>", "<td>", "<tr>", "<table>", "</table>", "<head>", "<body>", "t", " u ", "<br/>", "<h1 id=Q>", "</h1>", "<header>", "<dt>", "<main role='main'>"]
+    for _ in range(500):
+        for path, _, _ in html_extract.blocks("".join(rng.choice(bits) for _ in range(60))):
+            assert path.vector == html_extract._path_vector(path.names) and path.hidden == ("head" in path.names)
+    names = html_extract.blocks('<div class="' + " ".join(f"n{'x' * i}" for i in range(30)) + '">t')[0][0].names
+    assert len(names) == 31  # every word of an attribute counts
+
+
 def test_extraction_odd_inputs(spark):
     rows = [(1, "http://a", PAGE), (1, "http://a", PAGE), (2, None, None), (3, "", ""), (None, "u", "<p>"), (5, "u", "a < b & c <unclosed"),
             (6, "u", "<article>" + "<p>word and words.</p>" * 3000 + "</article>"), (7, "u", "<!-- never closed"), (8, "u", "<script>x")]
