@@ -14,7 +14,7 @@ def page(body, extra=""):
     return f"<!doctype html><html><head><title>T</title></head><body><header class='site-header'><a href='/'>The Paper</a></header>{NAV}{body}{extra}{FOOT}</body></html>"
 
 
-PAGES = [
+HAND_PAGES = [
     ("lists", page(f"<article><h1>{TITLE}</h1><p>{P1}</p><ul><li>A new deck</li><li>Two footpaths</li><li>Lamps on every pier</li></ul><p>{P2}</p><ol><li>Survey the piers</li><li>Close one lane</li></ol></article>", SIDE),
      [TITLE, P1, "A new deck", "Two footpaths", "Lamps on every pier", P2, "Survey the piers", "Close one lane"], []),
     ("code and quote", page(f"<article><h1>How to list files</h1><p>{P1}</p><pre><code>for f in *.txt; do echo $f; done</code></pre><p>{P2}</p><blockquote><p>{P3}</p></blockquote></article>"),

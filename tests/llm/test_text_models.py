@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 from comparing import same_rows
-from pages_by_hand import AROUND, PAGES
+from pages_by_hand import AROUND, HAND_PAGES
 
 from docsieve.llm import html_extract, quality, warc
 from docsieve.llm.common import new_path
@@ -133,7 +133,7 @@ def test_pages_by_hand(spark):
     """Lists, tables, code, quotes, captions, heads and adverts inside articles, block by block."""
     model = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
     wrong = []
-    for (name, _, keep, drop), text in zip(PAGES, html_extract.main_text([p for _, p, _, _ in PAGES], model)):
+    for (name, _, keep, drop), text in zip(HAND_PAGES, html_extract.main_text([p for _, p, _, _ in HAND_PAGES], model)):
         own = text.split("\n")
         assert not set(own) & {*AROUND, *drop}, name
         wrong += [name] if own != keep else []
@@ -188,7 +188,7 @@ def test_extraction_open_head_and_closed_svg(spark):
     for html, texts in [('<p>one <svg class="i"/> two</p><p>three</p>', ["one two", "three"]), ("<head><title>x</title>bare <b>text</b>", ["bare text"]),
                         ("<head><bgsound src=a><meta name=b><p>one", ["one"]), ("<p>one<svg><g/><text>drawn</text></svg> two", ["one two"])]:
         cut = html_extract.blocks(html)
-        assert [t for _, t, _ in cut] == texts and not any("head" in path for path, _, _ in cut)
+        assert [t for _, t, _ in cut] == texts and not any("head" in path.names for path, _, _ in cut)
     # what stands in the head, and only that, keeps its path
     kept = html_extract.blocks("<head><noframes>old</noframes><link href=a></head><body><p>one")
     assert [("head" in path, t) for path, t, _ in kept] == [(True, "old"), (False, "one")]
