@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.operators.infer import batch_infer
 from docsieve.operators.ocr import ocr_lines, ocr_page_text, page_ocr_join, page_select, page_select_errors
 from docsieve.operators.prompts import prompt_object
 from docsieve.operators.structured import structured_parse
+from docsieve.session import scratch_dir
 from docsieve.sources.manifest import accepted, page_explode
 
 PAGE_COUNT_UNKNOWN = "page_count_unknown"
@@ -56,21 +57,44 @@ def understand_errors(manifest: DataFrame, page_number: int | None = None) -> Da
 
 
 def fold_documents(pages: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Page results per document: metadata, OCR pages, results and logs, in page order."""
-    in_order = lambda *columns: F.sort_array(F.collect_list(F.struct(*columns)))
+    """Page results per document: metadata, OCR pages, results and logs, in page order.
+
+    Three folds, joined at the end: an aggregation holds the page texts and blocks of a document,
+    or its results, or its logs, never all of them at once.  ``pages`` is read once for each, so it
+    should be a table (``understand_documents`` writes one); else inference would run three times.
+    """
+    key = "document_id"
+    ocr, results, logs = fold_ocr(pages), fold_results(pages), fold_logs(pages)
+    metadata = manifest.select(key, F.struct("filename", "file_type", "page_count", "source_path").alias("metadata"))
+    return results.join(ocr, key).join(logs, key).join(metadata, key).select(
+        key, "task", "model_id", "metadata", "ocr", "results", "inference_logs")
+
+
+def _in_order(*columns: str | Column) -> Column:
+    return F.sort_array(F.collect_list(F.struct(*columns)))
+
+
+def fold_ocr(pages: DataFrame) -> DataFrame:
+    """Recognised pages of each document, in page order: document_id, ocr."""
+    return pages.groupBy("document_id").agg(
+        _in_order("page_number", F.col("ocr_text").alias("text"), F.col("ocr_blocks").alias("blocks"), "coordinate_space").alias("ocr"))
+
+
+def fold_results(pages: DataFrame) -> DataFrame:
+    """Structured results of each document's pages: document_id, task, model_id, results."""
     # Maps are not orderable, so they travel as JSON next to the page number.
     rows = pages.withColumn("fields", F.to_json("fields", {"ignoreNullFields": "false"}))
-    folded = rows.groupBy("document_id").agg(
-        F.first("task").alias("task"),
-        F.max("model_name").alias("model_id"),
-        in_order("page_number", F.col("ocr_text").alias("text"), F.col("ocr_blocks").alias("blocks"), "coordinate_space").alias("ocr"),
-        in_order(*RESULT).alias("results"),
-        in_order(*LOG).alias("inference_logs"),
-    )
-    metadata = manifest.select("document_id", F.struct("filename", "file_type", "page_count", "source_path").alias("metadata"))
-    return folded.join(metadata, "document_id").select(
-        "document_id", "task", "model_id", "metadata", "ocr", "results", "inference_logs")
+    return rows.groupBy("document_id").agg(F.first("task").alias("task"), F.max("model_name").alias("model_id"), _in_order(*RESULT).alias("results"))
+
+
+def fold_logs(pages: DataFrame) -> DataFrame:
+    """Log records of each document's pages: document_id, inference_logs."""
+    return pages.groupBy("document_id").agg(_in_order(*LOG).alias("inference_logs"))
 
 
 def understand_documents(manifest: DataFrame, words: DataFrame, task: str, factory, **options) -> DataFrame:
-    return fold_documents(understand_pages(manifest, words, task, factory, **options), manifest)
+    """Understood documents, one row each.  Pages are written to the shared folder first: each is inferred once."""
+    spark, folder = words.sparkSession, scratch_dir(words.sparkSession, "understood-pages")
+    pages = understand_pages(manifest, words, task, factory, **options)
+    pages.write.parquet(folder)
+    return fold_documents(spark.read.schema(pages.schema).parquet(folder), manifest)
