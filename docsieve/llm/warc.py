@@ -16,12 +16,12 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import dataset, fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import new_path, written
@@ -224,39 +224,89 @@ def _records(reader: Reader, lines: list[list]) -> list[dict]:
 
 def read_archives(directory: DataFrame, folder: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """All records, by way of the index: each task reads blocks of it and the ranges they name."""
-    wanted = [c for c in (x.split()[0] for x in FIELDS.split(", ")) if not columns or c in columns]
-    schema = ", ".join(x for x in FIELDS.split(", ") if x.split()[0] in wanted)
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
-             "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+    wanted, schema, kinds = _wanted(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(folder)
         for batch in batches:
             for file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = _records(reader, index_lines(reader, file, offset, length))
-                yield _table([tuple(r[c] for c in wanted) for r in found], wanted, tuple(kinds[c] for c in wanted))
+                yield _table([tuple(r[c] for c in wanted) for r in found], wanted, kinds)
         reader.close()
 
     blocks = directory.select("file", "offset", "length")
     return blocks.repartition(directory.sparkSession.sparkContext.defaultParallelism * 4, "file", "offset").mapInArrow(run, schema)
 
 
-def lookup(spark: SparkSession, directory: DataFrame, folder: str, url: str) -> list[dict]:
-    """Records of one URL: binary search in the directory, one index range a block, then the records."""
-    key = surt(url)
-    # blocks that may hold the key; normally one
-    blocks = directory.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("file", "offset", "length").collect()
-    reader, found = Reader(folder), []
-    for b in blocks:
-        lines = index_lines(reader, b.file, b.offset, b.length)
-        low, high = bisect.bisect_left(lines, key, key=lambda x: x[0]), bisect.bisect_right(lines, key, key=lambda x: x[0])
-        found += _records(reader, lines[low:high])
-    reader.close()
-    return found
+def _blocks_of(directory: str) -> Callable:
+    """Sorted keys to the index blocks that may hold them: (file, offset, length, keys).
+
+    A task reads the part of the directory that its keys lie in and bisects it; a key that fills
+    many blocks is a row for each.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(directory)
+        table = dataset.dataset(root, filesystem=store, format="parquet")
+        columns = ["first_key", "last_key", "file", "offset", "length"]
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            if not keys:
+                continue
+            near = table.to_table(columns, filter=(dataset.field("last_key") >= keys[0]) & (dataset.field("first_key") <= keys[-1]))
+            blocks = sorted(zip(*(near[c].to_pylist() for c in columns)))
+            first, last = [b[0] for b in blocks], [b[1] for b in blocks]
+            found: dict[int, list[str]] = {}
+            for key in keys:
+                # neither first nor last keys ever fall from block to block
+                for i in range(bisect.bisect_left(last, key), bisect.bisect_right(first, key)):
+                    found.setdefault(i, []).append(key)
+            yield _table([(*blocks[i][2:], own) for i, own in found.items()], ["file", "offset", "length", "keys"],
+                         (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())))
+    return run
+
+
+def _surts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in batch.column(0).to_pylist()], pa.string())], ["surt"])
+
+
+def lookup_urls(urls: DataFrame, directory: DataFrame, folder: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Records of all captures of the URLs in column ``url``, found through the two levels of the index.
+
+    Keys, sorted, are bisected in the directory; each block that may hold some is read once more
+    by whoever owns it, its lines are bisected, and the ranges they name are read.  A URL with very
+    many captures is spread over its blocks.  ``directory`` is the table that ``write_index`` made.
+    Repeated URLs and such with one key count once, a null URL has the key of the empty one, and a
+    URL without a capture gives no row.
+    """
+    wanted, schema, kinds = _wanted(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(folder)
+        for batch in batches:
+            for file, offset, length, keys in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                lines = index_lines(reader, file, offset, length)
+                at = [line[0] for line in lines]
+                hits = [line for key in keys for line in lines[bisect.bisect_left(at, key): bisect.bisect_right(at, key)]]
+                for first in range(0, len(hits), BLOCK_LINES):
+                    yield _table([tuple(r[c] for c in wanted) for r in _records(reader, hits[first: first + BLOCK_LINES])], wanted, kinds)
+        reader.close()
+
+    keys = urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(_surts, "surt string").distinct()
+    blocks = keys.repartitionByRange("surt").sortWithinPartitions("surt").mapInArrow(
+        _blocks_of(directory._llm_path), "file string, offset long, length long, keys array<string>")
+    return blocks.repartition(urls.sparkSession.sparkContext.defaultParallelism * 4, "file", "offset").mapInArrow(run, schema)
+
+
+def _wanted(columns: tuple[str, ...]) -> tuple[list[str], str, tuple]:
+    wanted = [c for c in (x.split()[0] for x in FIELDS.split(", ")) if not columns or c in columns]
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
+             "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+    return wanted, ", ".join(x for x in FIELDS.split(", ") if x.split()[0] in wanted), tuple(kinds[c] for c in wanted)
 
 
 def warc_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write pages to archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """Write pages to archives, look all their URLs up again: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Null html is the empty payload, null url a record without target; rows repeated with one
     page_id and payload are responses all, as none is larger than another.  Null ids revisit
@@ -264,4 +314,4 @@ def warc_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """
     folder = new_path(pages.sparkSession, "warc")
     directory = write_index(write_archives(pages, folder, least), folder)
-    return read_archives(directory, folder, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    return lookup_urls(pages.select("url"), directory, folder, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))

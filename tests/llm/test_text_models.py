@@ -250,10 +250,10 @@ def test_archive_files_and_lookups(spark):
     blocks = directory.collect()
     assert sum(b.lines for b in blocks) == 300 and len(blocks) >= 300 // 16 and all(b.first_key <= b.last_key and b.lines <= 16 for b in blocks)
     want = {r[0] for r in rows if r[1] == "http://h3.example.com/p/3"}
-    found = warc.lookup(spark, directory, folder, "http://H3.example.com/p/3")
+    found = [r.asDict() for r in warc.lookup_urls(spark.createDataFrame([("http://H3.example.com/p/3",), ("http://nowhere.example.com/",), ("http://h3.example.com/p/3",)], "url string"), directory, folder).collect()]
     assert {r["page_id"] for r in found} == want and all(r["url"] == "http://h3.example.com/p/3" for r in found)
     assert all(r["payload"] == f"<p>{r['page_id'] % 90}</p>".encode() for r in found if r["record_type"] == "response")
-    assert warc.lookup(spark, directory, folder, "http://none.example.com/") == []
+    assert warc.lookup_urls(spark.createDataFrame([("http://none.example.com/",)], "url string"), directory, folder).collect() == []
     # an archive is a file of gzip members that any reader of WARC/1.1 can walk
     path = folder.removeprefix("file://")
     whole = b"".join(gzip.open(os.path.join(path, f)).read() for f in os.listdir(path) if f.endswith(".warc.gz"))
