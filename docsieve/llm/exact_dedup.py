@@ -1,12 +1,14 @@
-"""Exact deduplication over an extendible-hash index kept in shared files.
+"""Exact deduplication over entries of an extendible-hash index.
 
 Documents become index entries: the equal texts of an Arrow batch are joined into one
 entry right where they are read, so a group of copies that holds a third of all rows
-enters the index as one entry a batch.  Entries are hashed into bucket files under a
-directory of 2**depth slots.  A bucket with more than ``capacity`` keys is overfull: its
-file is split on the next hash bit and the directory doubles; only overfull buckets are
-read and written again.  Owner tasks then take ranges of buckets and chain the entries of
-a key, comparing bytes, so two texts with one hash never merge.
+enters the index as one entry a batch.  Entries get the bucket number of a directory of
+2**depth slots: a bucket with more than ``capacity`` keys is overfull, its entries are written
+again with the next hash bit and the directory doubles.
+
+The rows do not come out of the directory: a hash shuffle of the keys brings the entries of a key
+together, where they are chained by comparing bytes, so two texts with one hash never merge.  There
+are no files by bucket and no owner tasks (see README).
 """
 
 from __future__ import annotations
@@ -119,7 +121,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with one id are counted, and each of them is marked kept if its id is the one that
     stays (``exact_dedup_rows`` keeps one).  A null id never stays beside another id;
     a group of null ids alone has keep_id null and is kept.  Other columns are ignored.
-    An empty table gives no rows.
+    An empty table gives no rows.  Very long texts are hashed and compared whole.
     """
     source = docs.select(F.col(id_col).cast("long").alias("entry_doc"), F.col(text_col).cast("string").alias("text"))
     entries, _ = build_index(source.mapInArrow(_entries, ENTRY), capacity)
@@ -144,7 +146,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; one row of each group."""
+    """The documents that stay, with all their columns; one row of each group.
+
+    Null and empty texts are one group; rows repeated with the id that stays collapse to one, which
+    of them is open if their other columns differ.  A group of null ids keeps one row.  Extra
+    columns of any name stay; an empty table gives no rows; very long texts are compared whole.
+    """
     def key(doc_id: F.Column, sha: F.Column) -> F.Column:
         return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), sha)
 

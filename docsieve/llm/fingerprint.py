@@ -173,7 +173,8 @@ def fingerprints(docs: DataFrame, rows_per_block: int = ROWS) -> DataFrame:
     The next document is the one with the next smaller doc_id, after the last the first; a
     sole document is its own next.  Null ids come last.  Rows repeated with one id follow
     each other in order of text.  A null or empty text has n_chars 0 and an empty
-    fingerprint.  Other columns are ignored; an empty table gives no rows.
+    fingerprint; a very long one is chunked whole, as a row of its own.  Other columns are
+    ignored; an empty table gives no rows.
 
     Ids are cut into blocks of about ``rows_per_block`` rows (at most ``MOST_BLOCKS``, which
     then are longer: a block is streamed); every block gets, besides its own rows, a copy of

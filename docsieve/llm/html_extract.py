@@ -632,7 +632,8 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray] | None = None) -> Dat
     """One row per page: page_id, url, text, n_chars.
 
     Null and empty html give the empty text, as do pages without main text.  Rows repeated
-    with one page_id are extracted each; null ids and urls stay null.  Other columns are
+    with one page_id are extracted each; null ids and urls stay null.  Very long, deep or broken
+    pages are read whole in linear time.  Other columns are
     ignored.  An empty table gives no rows.  The model (about 90 kB, its size fixed) is sent
     to the tasks.
     """

@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col
     the least doc_id reachable.  Rows with one id count as one document where ids matter:
     each gets its row.  A null id is linked by its text; component_id is null only if all ids
     of the component are, and such a row is kept.  Other columns are ignored; an empty table
-    gives no rows.
+    gives no rows.  Very long texts are shingled whole.
     """
     return _grouped(docs, shingle, percent, id_col, text_col, F.lit(None)).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -337,7 +337,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     Other sets of that id, which are one document with it, stay too, but for one that equals the
     set of a smaller id.  A null id stays only where all ids of the group are null, and then one
     row of the group stays, that with the least SHA-256 of its text.  Texts without a shingle are
-    in no group: one row of each id (null is one) and text stays.
+    in no group: one row of each id (null is one) and text stays.  Extra columns of any name stay;
+    an empty table gives no rows; very long texts are shingled whole.
     """
     sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     kept = _grouped(docs, shingle, percent, "doc_id", "text", sha).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))

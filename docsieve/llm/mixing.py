@@ -94,8 +94,8 @@ def mix_sources(
     ``quality`` is (doc_id, quality_weight) with weights over 0; other documents weigh
     ``neutral``.  Null and empty texts have size 0 and are taken 0 times; null is a source
     of its own, the last.  Equal keys (rows repeated with one id) are ordered by id and text;
-    each row counts.  The keys are hashes of id and text, so reruns agree.  Other columns
-    are ignored; an empty table gives no rows.
+    each row counts.  The keys are hashes of id and text, so reruns agree.  Very long texts
+    count with all their words.  Other columns are ignored; an empty table gives no rows.
     """
     sized = written(_sized(docs, quality, neutral, slices, []), "mix-keys")
     plan = written(_plan(sized, share, weights, at_most), "mix-plan")
@@ -110,7 +110,9 @@ def mixed_rows(
 
     All columns stay.  The document at a budget's end is cut to its first words, joined by
     one space, and its n_chars, if there is such a column, follows.  Texts are shuffled only
-    where they lie in the slice in which a budget ends (or to meet ``quality``).
+    where they lie in the slice in which a budget ends (or to meet ``quality``).  Null and empty
+    texts are never taken; repeated rows, nulls and ties are as in ``mix_sources``; an empty table
+    gives no rows.
     """
     sized = _sized(docs, quality, neutral, slices, docs.columns)
     plan = written(_plan(written(sized.select("source", "slice", "size"), "mix-sizes"), share, weights, at_most), "mix-plan")

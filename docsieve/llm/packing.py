@@ -439,7 +439,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids, then ``end_id``: a null or empty text is one token.  Rows
-    repeated with one id are packed each; null ids stay null.  Other columns are ignored.
-    An empty table gives no rows.
+    repeated with one id are packed each; null ids stay null.  Very long texts are tokenized
+    whole and cut into pieces of ``capacity``.  Other columns are ignored.  An empty table gives
+    no rows.
     """
     return pack(written(tokenize(docs, path, capacity, end_id), "pieces"), capacity, block, tries)

@@ -115,7 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` with ``__q_score`` (0 to 1) and ``__q_predicted``; the model is 1 MB, its size fixed."""
+    """All columns of ``docs`` with ``__q_score`` (0 to 1) and ``__q_predicted``; the model is 1 MB, its size fixed.
+
+    Every row is scored by its whole text, however long, and repeated rows each; null and empty
+    texts get the bias, null ids are no matter.  An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     text = [f.name for f in docs.schema].index("text")
 
@@ -141,7 +145,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     """One row per document: doc_id, held_out, score, predicted.
 
     Null and empty texts get the model's bias as score; rows repeated with one id are scored
-    each.  Other columns are never read.  An empty table gives no rows; without labels every
+    each; very long texts are scored whole, one at a time.  Other columns are never read.  An empty table gives no rows; without labels every
     score is 0.5.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -150,6 +154,10 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
+    """The documents that the classifier accepts, with all their columns (see ``score`` for odd rows).
+
+    Repeated rows stay or go together, null and empty texts by the bias; columns named like the
+    scores are replaced.  An empty table gives no rows.
+    """
     own = docs.drop(SCORE, PREDICTED)
     return score(own, fit(docs, labels, rows)).filter(F.col(PREDICTED) == 1).select(*own.columns)

@@ -156,8 +156,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if a window of ``window`` words that covers it also starts in a document with
     a smaller id.  Null and empty texts have no words; a null id is larger than any other;
-    rows with one id are one document and remove nothing from each other.  Other columns are
-    ignored; an empty table gives no rows.
+    rows with one id are one document and remove nothing from each other.  Very long texts are
+    cut into paths, whole.  Other columns are ignored; an empty table gives no rows.
     """
     spans = repeated_passages(docs, window)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _order(F.col("doc_id")).alias("doc"))

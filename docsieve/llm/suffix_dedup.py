@@ -328,8 +328,8 @@ def remove_repeated_strings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A byte of the UTF-8 text goes if a string of ``window`` bytes that covers it also starts
     anywhere else, in this document or another; all occurrences go.  Null counts as empty;
     texts shorter than the window lose nothing.  Repeated rows are occurrences of their own,
-    so their strings go; ids may be null.  Other columns are ignored; an empty table gives no
-    rows.
+    so their strings go; ids may be null.  Very long texts are read in pieces that overlap by a
+    window, whole.  Other columns are ignored; an empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("doc", F.coalesce("doc_id", F.xxhash64("text")))

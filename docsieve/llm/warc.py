@@ -310,7 +310,8 @@ def warc_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
 
     Null html is the empty payload, null url a record without target; rows repeated with one
     page_id and payload are responses all, as none is larger than another.  Null ids revisit
-    the id that stays.  Other columns are ignored; an empty table gives no rows.
+    the id that stays.  Very long pages are records like any other, held in memory one at a
+    time.  Other columns are ignored; an empty table gives no rows.
     """
     folder = new_path(pages.sparkSession, "warc")
     directory = write_index(write_archives(pages, folder, least), folder)
