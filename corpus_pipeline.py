@@ -19,31 +19,40 @@ from docsieve.session import ship_package
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.7 or more)."""
+    """Documents that the quality classifier accepts (score of 0.7 or more); odd rows: ``quality.keep_good``."""
     ship_package(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts the document with the largest id; odd rows: ``exact_dedup.exact_dedup_rows``."""
     ship_package(spark)
     return exact_dedup.exact_dedup_rows(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles the one with the least id."""
+    """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles the one with the least id.
+
+    Nulls, repeated rows, empty and very long texts: ``minhash.keep_one``.
+    """
     ship_package(spark)
     return minhash.keep_one(docs, shingle=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as their source's epochs take them; the last one of a source cut to its budget."""
+    """The mix: documents as often as their source's epochs take them; the last one of a source cut to its budget.
+
+    Nulls, ties, repeated rows, empty and very long texts: ``mixing.mixed_rows``.
+    """
     ship_package(spark)
     return mixing.mixed_rows(docs, quality_weights(spark, sf_dir))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and offset; a repeated document is packed each time."""
+    """Pieces of all documents with their sequence and offset; a repeated document is packed each time.
+
+    Nulls, empty and very long texts: ``packing.pack_documents``.
+    """
     ship_package(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
