@@ -136,8 +136,36 @@ def _verify_task(size: int, percent: int):
     return run
 
 
+def _print_task(size: int):
+    """Per text the number of its shingles and the distinct low 16 bits of their hashes; no prints of more than ``DEEP``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, data, offsets in text_blocks(batch.column(1)):
+                row, h = shingle_sets(data, offsets, size)
+                number, first = counts_of(row, end - begin)
+                low = (h & np.uint64(0xFFFF)).astype("<u2")
+                prints = [np.unique(low[a:b]).tobytes() if b - a <= DEEP else None for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(number), pa.array(prints, pa.binary())], ["k", "n", "prints"])
+    return run
+
+
+def _printed_alike(percent: int):
+    """Pairs that their prints allow: at most as many shingles are common as prints, and those that fell together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, pa_, pb = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = np.ones(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                if pa_[i] is not None and pb[i] is not None:
+                    x, y = np.frombuffer(pa_[i], "<u2"), np.frombuffer(pb[i], "<u2")
+                    most = len(np.intersect1d(x, y, assume_unique=True)) + min(na[i] - len(x), nb[i] - len(y))
+                    keep[i] = most * (100 + percent) >= percent * (na[i] + nb[i])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+    return run
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links among candidate pairs (a, b): union-sketch estimate first, full sets then."""
+    """Links among candidate pairs (a, b): union-sketch estimate first, prints of whole sets next, full sets then."""
     sketch = classes.select("cls", "n", "sketch")
     known = pairs.join(sketch.withColumnsRenamed({"cls": "a", "n": "na", "sketch": "sa"}), "a").join(
         sketch.withColumnsRenamed({"cls": "b", "n": "nb", "sketch": "sb"}), "b")
@@ -148,8 +176,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     likely = F.when(whole, 100 * common >= percent * F.size(F.array_union("sa", "sb"))).otherwise(
         common >= F.least(F.lit(least_common(SKETCH, percent)), F.size(union) / 3))
     likely_pairs = written(known.filter(likely).select("a", "b"), "likely-pairs")
-    wanted = likely_pairs.select(F.col("a").alias("k")).unionByName(likely_pairs.select(F.col("b").alias("k"))).distinct()
-    bodies = written(texts.join(wanted, "k", "left_semi"), "pair-texts")
+    ends = lambda df: df.select(F.col("a").alias("k")).unionByName(df.select(F.col("b").alias("k"))).distinct()
+    bodies = written(texts.join(ends(likely_pairs), "k", "left_semi"), "pair-texts")
+    # two bytes a shingle tell most pairs that the sketches cannot; only the others fetch both texts
+    prints = written(bodies.mapInArrow(_print_task(size), "k long, n long, prints binary"), "prints")
+    printed = likely_pairs.join(prints.withColumnsRenamed({"k": "b", "n": "nb", "prints": "pb"}), "b").join(
+        prints.withColumnsRenamed({"k": "a", "n": "na", "prints": "pa"}), "a").select("a", "b", "na", "nb", "pa", "pb")
+    likely_pairs = written(printed.mapInArrow(_printed_alike(percent), "a long, b long").distinct(), "printed-pairs")
+    bodies = bodies.join(ends(likely_pairs), "k", "left_semi")
     both = likely_pairs.join(bodies.withColumnsRenamed({"k": "b", "text": "tb"}), "b").join(
         bodies.withColumnsRenamed({"k": "a", "text": "ta"}), "a")
     ordered = both.select("a", "b", "ta", "tb").sortWithinPartitions("a")
