@@ -1,9 +1,11 @@
 """Phrase tables, the SQL table function, quantile sketches, the cube and wide tables."""
 
 import random
+import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from docsieve.functions import dims, phrases
 from docsieve.functions.phrases import PhraseTable
@@ -33,6 +35,21 @@ def test_own_phrases(spark):
     assert {r.document_type for r in tasks.classify_reply(df, phrases=empty).collect()} == {"unknown"}
 
 
+def test_a_row_crosses_to_python_once_whatever_the_shards(spark):
+    """One call per shard made the time grow with rows times phrases; the empty table had none."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abé ") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    book = PhraseTable(spark.createDataFrame([(w, f"t{i % 7}", i % 5) for i, w in enumerate(words)], BOOK), 1)
+    assert book.shards <= phrases.FILES
+    texts = ["".join(rng.choice("abé cd") for _ in range(rng.randrange(60))) + rng.choice([*words, ""]) for _ in range(200)] + [None, ""]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    plan = found.select("i", book.earliest(F.col("text")).alias("hit"))
+    assert len(re.findall(r"run\(text", plan._jdf.queryExecution().optimizedPlan().toString())) == 1
+    want = lambda text: min(((text.index(w), i % 5, f"t{i % 7}") for i, w in enumerate(words) if w in text), default=None)
+    got = {r.i: r.hit and (r.hit.at - 1, r.hit.ordinal, r.hit.type) for r in plan.collect()}
+    assert got == {i: want(t) if t else None for i, t in enumerate(texts)}
+
+
 def test_time_does_not_depend_on_the_number_of_phrases(tmp_path):
     import ahocorasick
 
