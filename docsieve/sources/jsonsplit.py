@@ -161,18 +161,23 @@ def _objects(member: bytes) -> Callable:
 _FOUND = pa.schema([("path", pa.string()), ("pos", pa.int64()), ("text", pa.string())])
 
 
+def reading_tasks(ranges: int, size: int, cores: int) -> int:
+    """A task per ``RANGE_BYTES`` or four per core, whichever is more; none without a range."""
+    return max(1, min(ranges, max(-(-size // RANGE_BYTES), 4 * cores), 100_000))
+
+
 def member_objects(files: DataFrame, member: str, range_bytes: int = RANGE_BYTES, tasks: int | None = None) -> DataFrame:
     """Objects of the array ``member`` of each file's root object: path, pos (byte position), text.
 
     ``files`` has source_path and file_size_bytes.  Files are UTF-8, a byte order mark is skipped;
     elements that are no objects, members of other names and files whose root is no object give no
     rows, and of a file that breaks off its complete objects remain.  ``tasks`` is the number of
-    tasks that read (as many as ranges, unless given).
+    tasks that read; unless given, small ranges share a task, so it follows the bytes and not the ranges.
     """
     sized = files.filter("file_size_bytes > 0").select("source_path", "file_size_bytes")
     if tasks is None:
-        total = sized.agg(F.sum(F.expr(f"(file_size_bytes + {range_bytes - 1}) div {range_bytes}"))).first()[0]
-        tasks = max(1, min(int(total or 0), 100_000))
+        total, size = sized.agg(F.sum(F.expr(f"(file_size_bytes + {range_bytes - 1}) div {range_bytes}")), F.sum("file_size_bytes")).first()
+        tasks = reading_tasks(int(total or 0), int(size or 0), files.sparkSession.sparkContext.defaultParallelism)
     ranges = sized.select(F.col("source_path").alias("path"), "file_size_bytes", F.explode(F.expr(f"sequence(0L, file_size_bytes - 1, {range_bytes}L)")).alias("start")).select(
         "path", "start", F.least(F.lit(range_bytes), F.col("file_size_bytes") - F.col("start")).cast("bigint").alias("size"))
     effects = ranges.repartition(tasks).mapInArrow(_effects(member.encode()), f"path string, start bigint, size bigint, {_EFFECT}")

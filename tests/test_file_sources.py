@@ -144,6 +144,17 @@ def test_splitting_reader_equals_the_one_record_reader(spark, tmp_path, range_by
     assert got == read("json_record")
 
 
+def test_tasks_follow_the_bytes_not_the_ranges(spark, tmp_path):
+    """A task per small range cost more than its reading."""
+    rng = random.Random(3)
+    (tmp_path / "t.json").write_text(json.dumps({"documents": [truth_document(rng, i) for i in range(300)]}))
+    found = files.truth_source(spark, str(tmp_path), range_bytes=64)
+    assert found.count() == 300 and found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    gigabyte = 1 << 30
+    assert jsonsplit.reading_tasks(6 * gigabyte >> 16, 6 * gigabyte, 12) == 768
+    assert jsonsplit.reading_tasks(3, 100, 12) == 3 and jsonsplit.reading_tasks(0, 0, 12) == 1
+
+
 def test_odd_files(spark, tmp_path):
     cases = {
         "empty": b"", "blank": b" \n", "list": b'[{"documents":[{"document_id":"no"}]}]', "text": b'"documents"', "mark": b'\xef\xbb\xbf{"documents":[{"document_id":"bom"}]}',
