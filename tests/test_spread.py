@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from docsieve.fixtures import render
+from docsieve.operators import ocr
 
 DAY = datetime.datetime(2024, 1, 1)
 TABLES = {
@@ -32,3 +33,16 @@ def test_documents_lie_in_tasks_by_their_number(spark, made, monkeypatch):
     monkeypatch.setattr(render, "DOCUMENTS_PER_TASK", 20)
     documents = render.source_documents(spark, made)
     assert documents.rdd.getNumPartitions() == 29 and documents.count() == 200 + 7 + 60 + 5
+
+
+def exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count(" Exchange ")
+
+
+def test_words_are_grouped_without_an_exchange(spark, made):
+    """Lines, pages and documents each moved their words once more."""
+    words = render.ocr_words(spark, made)
+    texts = ocr.ocr_document_text(ocr.ocr_page_text(ocr.ocr_lines(words)))
+    assert exchanges(texts) == 1
+    assert words.filter("document_id = '7'").count() == 6
