@@ -11,7 +11,8 @@ def write_words(words: DataFrame, table: str, buckets: int = 64, path: str | Non
     """Save words bucketed by document and sorted by page and line, one exchange.
 
     A bucket is a file; choose their number so that one fits a task.  A document is in one
-    bucket, because lines, pages and its text are to meet there.
+    bucket, because lines, pages and its text are to meet there.  Words that already lie in as
+    many tasks by the hash of their document are not moved.
     """
     writer = words.repartition(buckets, "document_id").write.mode("overwrite").bucketBy(buckets, "document_id").sortBy(*PAGE_KEYS, *LINE_KEYS, "word_idx")
     (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -6,6 +6,8 @@ import pytest
 
 from docsieve.fixtures import render
 from docsieve.operators import ocr
+from docsieve.plans import catalog
+from docsieve.sources import clustered
 
 DAY = datetime.datetime(2024, 1, 1)
 TABLES = {
@@ -46,3 +48,17 @@ def test_words_are_grouped_without_an_exchange(spark, made):
     texts = ocr.ocr_document_text(ocr.ocr_page_text(ocr.ocr_lines(words)))
     assert exchanges(texts) == 1
     assert words.filter("document_id = '7'").count() == 6
+
+
+def test_stored_words_stay_in_their_tasks(spark, made, monkeypatch):
+    """Words were dealt anew over 16 buckets, however many there were."""
+    monkeypatch.setattr(render, "TEXTS_PER_TASK", 9)
+    buckets = []
+    write = clustered.write_words
+    monkeypatch.setattr(clustered, "write_words", lambda words, table, number, path: (buckets.append((words, number)), write(words, table, number, path)))
+    got = {r.document_id: r.ocr_text for r in catalog.QUERIES["ocr_clustered"](spark, made).collect()}
+    (words, number), = buckets
+    assert number == 34 == render.word_tasks(spark, made)
+    assert exchanges(words.repartition(number, "document_id")) == 1
+    direct = ocr.ocr_document_text(ocr.ocr_page_text(ocr.ocr_lines(render.ocr_words(spark, made))))
+    assert got == {r.document_id: r.ocr_text for r in direct.collect()} and len(got) > 250
