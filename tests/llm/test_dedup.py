@@ -243,3 +243,31 @@ def test_every_window_holds_a_block():
         count = anchor + 1
         assert suffix_dedup.wanted_windows(anchor, (1 << 8) - 1, count, 400).tolist() == list(range(count))
         assert all(0 <= anchor - t - (400 - 50 * (j + 1)) <= 50 for j in range(8) for t in suffix_dedup.wanted_windows(anchor, 1 << j, count, 400))
+
+
+def test_texts_of_pairs_pass_a_filter_before_they_move(spark, tmp_path, monkeypatch):
+    """All texts went through an exchange to find those of the pairs."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(150))) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1] + " tail") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    plans, write = {}, minhash.written
+
+    def seen(df, name, **settings):
+        before = {key: spark.conf.get(key) for key in settings}
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        for key, value in before.items():
+            spark.conf.set(key, value)
+        return write(df, name, **settings)
+    monkeypatch.setattr(minhash, "written", seen)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert "might_contain" in plans["pair-texts"]
+    assert all(got[5000 + i] == got[i] for i in range(40)) and len(got) == 2040
+    assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold") != "1m"
