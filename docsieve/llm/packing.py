@@ -28,7 +28,7 @@ from docsieve.llm.common import LOWER, prefix_hash, span_hash, text_blocks, word
 CAPACITY = 4096
 BLOCK = 20_000
 TRIES = 300_000  # pieces that the search of one block may try
-CACHE = 350_000  # chunks, or half of them, whose tokens a worker keeps
+CACHE = 40_000  # parts of words, or half of them, whose tokens a worker keeps; whole words are kept by _Words
 WORDS = 1_000_000  # words that a worker keeps in flat arrays before it starts anew
 
 _TOKENIZERS: dict[str, tuple] = {}

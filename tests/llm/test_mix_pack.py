@@ -207,3 +207,14 @@ def test_fingerprints_of_repeated_and_far_apart_ids(spark, ids):
     order = sorted(table, key=lambda r: (-r[0], r[1]))
     want = sorted((i, len(t), hashlib.sha256(fingerprint.edited_text(t, after).encode()).hexdigest()) for (i, t), (_, after) in zip(order, order[1:] + order[:1]))
     assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+
+
+def test_a_worker_keeps_few_parts_of_words():
+    """Up to 700,000 parts stayed in each worker, besides the words that they make up."""
+    path, rng = tokenizer_path(), random.Random(3)
+    for _ in range(12):
+        chunks = sorted({f"{rng.randrange(10**9):x}-{rng.randrange(10**9):x}".encode() for _ in range(12_000)})
+        found = packing.chunk_tokens(chunks, path)
+    assert found[:50] == packing.token_bytes(chunks[:50], path)
+    memo = packing._tokenizer(path)[2]
+    assert len(memo.new) + len(memo.old) < 150_000
