@@ -72,3 +72,15 @@ def test_predictions_of_one_hot_document(spark):
     truth = keys.distinct().select("document_id", F.lit("t").alias("document_type"), F.create_map(F.lit("a"), F.lit("1")).alias("expected_fields"))
     total = scoring.field_accuracy_micro(scoring.field_accuracy_doc(predictions, truth)).filter("document_type IS NULL").first()
     assert (total.documents, total.correct_fields) == (30000, 30000)
+
+
+def test_replies_meet_the_truth_before_they_are_parsed(spark):
+    """Parsed replies lie by no key, so a join after the parsing dealt every one of them anew."""
+    n = 3
+    keys = spark.range(40).select(F.col("id").cast("string").alias("document_id"))
+    replies = keys.select("document_id", F.lit("classification").alias("task"), F.lit(None).cast("string").alias("document_type_hint"), F.lit("RUN").alias("status"), F.lit("A passport").alias("response"))
+    truth = keys.select("document_id", F.lit("identity_document").alias("document_type"), F.create_map(F.lit("a"), F.lit("1")).alias("expected_fields"), F.array(F.array(F.lit("1"))).alias("expected_rows"), F.lit("x").alias("answer"))
+    runs = report.score_runs(replies.repartition(n, "document_id"), truth.repartition(n, "document_id"))
+    plan = runs._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Join")  # the parser stands above the join
+    assert (runs.count(), runs.filter("label_correct").count()) == (40, 40)

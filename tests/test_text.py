@@ -69,3 +69,15 @@ def test_dimensions(spark):
     assert dims.dim_field_alias(spark).count() == 42
     assert dims.dim_type_phrase(spark).count() == 21
     assert dims.dim_task(spark).groupBy("family").count().count() == 2
+
+
+def test_the_kernels_names_and_values_are_those_of_the_columns(spark):
+    import random
+
+    from docsieve.functions import dims, text
+
+    rng = random.Random(11)
+    bits = [*text.WHITESPACE, *"aZ09_.,;-'\"<>/#é", "İ", "K", "ß", "N/A", "not visible", "Unknown", "Customer Name", "invoice no", "😀".encode("utf-16", "surrogatepass").decode("utf-16")]
+    some = ["".join(rng.choice(bits) for _ in range(rng.randrange(7))) for _ in range(3000)] + [*dims.NULL_TOKENS, *dims.FIELD_ALIASES, "<value>", "<a\nb>", "<a><b>"]
+    found = spark.createDataFrame([(t,) for t in some], "t string").select("t", text.norm_field_name(F.col("t")).alias("name"), text.norm_text(F.col("t")).alias("value")).collect()
+    assert [(r.name, r.value) for r in found] == [(text.canonical_name(r.t), text.clean_text(r.t)) for r in found]
