@@ -64,6 +64,19 @@ def test_time_does_not_depend_on_the_number_of_phrases(tmp_path):
     assert took[10_000] < 10 * took[20]
 
 
+def test_a_worker_keeps_hashes_and_no_phrases(spark):
+    """Each worker held the texts of all phrases, so its memory grew with their length."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abé ") for _ in range(rng.randrange(1, 12))) + str(i % 900) for i in range(4000)]
+    book = PhraseTable(spark.createDataFrame([(w, f"t{i % 3}", i) for i, w in enumerate(words)], BOOK), 200)
+    index = phrases._Index(book.folder)
+    assert not index.known and not hasattr(index, "rows")
+    assert index.keys.nbytes + sum(b.table.nbytes for b in index.heads.values()) < 20 * len(words)
+    text = "x".join(rng.sample(words, 40)) + "cd"
+    assert sorted(r["ordinal"] for r in index.occurring(text)) == [i for i, w in enumerate(words) if w in text]
+    assert sorted(index.known) == sorted(set(index.known)) and 0 < len(index.known) < len(words)
+
+
 def _timed(call):
     start = time.perf_counter()
     call()
