@@ -134,3 +134,42 @@ def test_wide_tables(spark):
     with pytest.raises(KeyError):
         tasks.kv_wide(df, "letter")
     assert dict(tasks.kv_wide(df, "salary_slip").drop("field").dtypes)["employee_id"] == "string"
+
+
+def test_the_cube_keeps_the_lowest_as_rows_come(monkeypatch):
+    """Lists of a task over many batches: ties by id, null and odd scores, null ids, groups that come late."""
+    import math
+
+    import pyarrow as pa
+
+    from docsieve.functions import partials
+
+    monkeypatch.setattr(partials, "WAITING", 7)
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice("xyz") if i < 700 else f"late {i % 5}", rng.choice([0.0, -0.0, 0.5, 1.0, None, math.nan, math.inf, -math.inf]), rng.choice([None, f"s{i % 90}"])) for i in range(1000)]
+    schema = pa.schema([("k", pa.string()), ("metric", pa.string()), ("score", pa.float64()), ("sample_id", pa.string())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[at:at + 60]), schema)], schema=schema) for at in range(0, len(rows), 60)]
+    order = lambda s, i: ((0, 0) if s is None else (2, 0) if math.isnan(s) else (1, s + 0.0), (i is not None, i or ""))
+    (part,) = partials.sums_and_lowest(2, 3)(iter(batches))
+    got = {(r["k"], r["metric"]): r for r in part.to_pylist()}
+    assert set(got) == {r[:2] for r in rows}
+    for key, found in got.items():
+        own = [r[2:] for r in rows if r[:2] == key]
+        assert found["samples"] == sum(s is not None for s, _ in own)
+        want = sorted(order(*r) for r in own)[:3]
+        assert sorted(order(x["score"], x["sample_id"]) for x in found["lowest"])[:3] == want
+        plain = [x for x in found["lowest"] if x["score"] is not None and not math.isnan(x["score"])]
+        assert len(plain) <= 3
+    assert list(partials.sums_and_lowest(2, 3)(iter([]))) == []
+
+
+def test_the_cube_reads_its_rows_once(spark):
+    """The sums and the lists each made the metrics anew, and all rows once for every combination."""
+    metrics = spark.range(500).select(F.lit("m").alias("model"), (F.col("id") % 7).cast("string").alias("dataset"), F.lit("t").alias("task"), F.lit("acc").alias("metric"),
+                                      F.when(F.col("id") % 50 != 0, F.col("id") % 9 / 8).alias("score"), F.concat(F.lit("s"), "id").alias("sample_id"))
+    cube = scoring.bench_cube(metrics, listed=2)
+    assert "Range" not in cube._jdf.queryExecution().optimizedPlan().toString()
+    want = {tuple(r) for r in metrics.groupBy("dataset").agg(F.count("score"), F.round(F.avg("score"), 9)).collect()}
+    assert {(r.dataset, r.samples, round(r.mean_score, 9)) for r in cube.filter("level = 0").collect()} == want
+    top = cube.filter("level = 15").first()
+    assert (top.samples, [tuple(x) for x in top.lowest]) == (490, [(None, "s0"), (None, "s100")])
