@@ -9,7 +9,7 @@ from docsieve.operators.infer import batch_infer
 from docsieve.operators.ocr import ocr_lines, ocr_page_text, page_ocr_join, page_select, page_select_errors
 from docsieve.operators.prompts import prompt_object
 from docsieve.operators.structured import structured_parse
-from docsieve.session import scratch_dir
+from docsieve.session import scratch_dir, write_table
 from docsieve.sources.manifest import accepted, page_explode
 
 PAGE_COUNT_UNKNOWN = "page_count_unknown"
@@ -22,6 +22,8 @@ LOG = (
     "page_number", "status", "error", "model_name", "task", "inference_time", "parse_success", "schema_valid",
     "schema_normalized", "document_type", "field_count", "ocr_text_length", "parse_errors", "schema_errors",
 )
+#: What the folds read of a page.
+FOLDED = tuple(dict.fromkeys(("document_id", "model_name", "ocr_text", "ocr_blocks", "coordinate_space", *RESULT, *LOG)))
 
 
 def understand_pages(
@@ -35,7 +37,9 @@ def understand_pages(
     and error; documents without a page are listed by ``understand_errors``.
     """
     pages = page_select(page_explode(manifest), page_number)
-    own = page_select(words, page_number).join(accepted(manifest).select("document_id"), "document_id", "left_semi")
+    # the ids of a partition are a small hash table, so no word is sorted to be left out
+    known = accepted(manifest).select("document_id").hint("shuffle_hash")
+    own = page_select(words, page_number).join(known, "document_id", "left_semi")
     ocr = ocr_page_text(ocr_lines(own, min_confidence))
     prompted = prompt_object(page_ocr_join(pages, ocr).withColumn("task", F.lit(task)))
     prompted = prompted.withColumn("ocr_text_length", F.length(F.coalesce("ocr_text", F.lit(""))))
@@ -93,8 +97,11 @@ def fold_logs(pages: DataFrame) -> DataFrame:
 
 
 def understand_documents(manifest: DataFrame, words: DataFrame, task: str, factory, **options) -> DataFrame:
-    """Understood documents, one row each.  Pages are written to the shared folder first: each is inferred once."""
+    """Understood documents, one row each.  Pages are written to the shared folder first: each is inferred once.
+
+    The table has what the folds read; the prompts, which hold texts and blocks once more, are not among it.
+    """
     spark, folder = words.sparkSession, scratch_dir(words.sparkSession, "understood-pages")
-    pages = understand_pages(manifest, words, task, factory, **options)
-    pages.write.parquet(folder)
+    pages = understand_pages(manifest, words, task, factory, **options).select(*FOLDED)
+    write_table(pages, folder)
     return fold_documents(spark.read.schema(pages.schema).parquet(folder), manifest)

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from docsieve.fixtures import render
 from docsieve.operators import ocr
@@ -62,3 +63,28 @@ def test_stored_words_stay_in_their_tasks(spark, made, monkeypatch):
     assert exchanges(words.repartition(number, "document_id")) == 1
     direct = ocr.ocr_document_text(ocr.ocr_page_text(ocr.ocr_lines(render.ocr_words(spark, made))))
     assert got == {r.document_id: r.ocr_text for r in direct.collect()} and len(got) > 250
+
+
+def test_words_stay_where_they_lie_until_their_pages_are_made(spark):
+    """The words were sorted to leave out those of other documents, and the table of the pages held every prompt."""
+    from docsieve.operators import infer
+    from docsieve.plans import understand
+    from docsieve.sources import manifest
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = spark.createDataFrame([("/in/a.png", 9, None), ("/in/b.txt", 9, None)], "source_path string, file_size_bytes bigint, page_count int")
+    known = manifest.manifest_validate(listed)
+    ids = spark.createDataFrame([("/in/a.png", "yes"), ("/in/b.txt", "no")], "path string, text string").select(manifest.document_id(F.col("path")).alias("document_id"), "text")
+    words = ids.repartition(n, "document_id").select(
+        "document_id", F.lit(1).alias("page_number"), F.lit(0).alias("word_idx"), "text", F.lit(90.0).alias("conf"), F.lit(0).alias("block_num"), F.lit(1).alias("par_num"),
+        F.lit(0).alias("line_num"), F.lit(1).alias("page_num"), *[F.lit(1).alias(c) for c in ("left", "top", "width", "height")])
+    factory = infer.echo_predictor_factory(reply=lambda image, prompt: '{"summary": "s"}')
+    with_plan = understand.understand_pages(known, words, "document_understanding", factory)
+    plan = with_plan._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [document_id" in plan
+    # between the words and their lines there is no exchange but the one that they lie by
+    lines = plan[plan.index("collect_list(struct(word_idx"):]
+    assert "prompt" in with_plan.columns and "prompt" not in understand.FOLDED
+    assert "Exchange" not in lines[:lines.index("ShuffledHashJoin")]
+    (done,) = understand.understand_documents(known, words, "document_understanding", factory).collect()
+    assert (done.metadata.filename, [p.text for p in done.ocr], [r.summary for r in done.results]) == ("a.png", ["yes"], ["s"])
