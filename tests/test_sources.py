@@ -115,3 +115,16 @@ def test_runs_can_be_written_again(spark, tmp_path):
     torn.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "task").parquet(path + "/records")
     assert read() == [r for r in expected if r[1] != "summarization"]
     assert {(r.run_id, r.task): r.whole for r in files.run_commits(spark, path).filter("not whole").collect()} == {("a", "summarization"): False}
+
+
+def test_a_write_of_runs_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    """Each write left its shuffle files beside those of the next."""
+    seen, key = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(files, "_found", lambda *a, found=files._found: seen.append(spark.conf.get(key)) or found(*a))
+    runs = spark.createDataFrame([("d1", "summarization", "RUN")], "document_id string, task string, status string")
+    during = []
+    probe = runs.mapInArrow(lambda batches: batches, runs.schema)
+    monkeypatch.setattr(files, "settings", lambda s, values, held=files.settings: during.append(values) or held(s, values))
+    files.write_runs(probe, str(tmp_path / "runs"), "one")
+    assert during == [{key: "true"}] and seen == [spark.conf.get(key)]
+    assert [(r.document_id, r.status) for r in files.read_runs(spark, str(tmp_path / "runs"), RUNS).collect()] == [("d1", "RUN")]
