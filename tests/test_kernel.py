@@ -118,3 +118,16 @@ def test_open_fences_stay_linear():
     for text in ("```json" + " " * 200_000, "```" + "\n" * 200_000 + "x", "``` ```" * 30_000 + "`" * 100_001):
         jsonreply.first_json(text)
     assert time.perf_counter() - start < 1
+
+
+def test_named_entries_and_depth():
+    """A key-value reply comes back as its fields, the others as deep as their parser looks."""
+    texts = ['{"fields": {"Invoice No": "7.", "x": {"y": 1}, "invoice-id": "8", "**": 1, "Due": null}, "summary": "s"}', '{"fields": [{"a": "N/A"}, 5, {"A": true}, {"b": 1.50}]}',
+             '```[{"a": 1}, {"b": "2"}]```', '{"fields": "none", "c": "3", "d": ["e"]}', '{"fields": {}}', None, "{cut", '{"a": {"b": {"c": 1}}}', '{"a": {"b": {"c": 1}}}']
+    named, depth = [True] * 7 + [False] * 2, [1] * 8 + [2]
+    found = jsonreply._named_tree_batch(pa.array(texts, pa.string()), pa.array([False] * 9), pa.array(named), pa.array(depth, pa.int32())).to_pylist()
+    entries = [t and [tuple(e.values()) for e in t["entries"]] for t in found]
+    assert entries[0] == [(0, "invoice_number", "string", "7"), (2, "due", "null", None)]
+    assert entries[1:7] == [[(0, "a", "string", None), (2, "b", "number", "1.5")], [(0, "a", "number", "1"), (1, "b", "string", "2")], [(0, "c", "string", "3")], [], None, []]
+    assert all(not t["nodes"] for t in found[:7] if t) and not entries[7] and not entries[8]
+    assert [t["nodes"][0]["items"] and t["nodes"][0]["items"][0]["key"] for t in found[7:]] == [[], "b"] and found[8]["nodes"][0]["items"][0]["items"] == []
