@@ -128,6 +128,6 @@ def test_named_entries_and_depth():
     found = jsonreply._named_tree_batch(pa.array(texts, pa.string()), pa.array([False] * 9), pa.array(named), pa.array(depth, pa.int32())).to_pylist()
     entries = [t and [tuple(e.values()) for e in t["entries"]] for t in found]
     assert entries[0] == [(0, "invoice_number", "string", "7"), (2, "due", "null", None)]
-    assert entries[1:7] == [[(0, "a", "string", None), (2, "b", "number", "1.5")], [(0, "a", "number", "1"), (1, "b", "string", "2")], [(0, "c", "string", "3")], [], None, []]
+    assert entries[1:7] == [[(0, "a", "string", None), (2, "b", "number", "1.5")], [(0, "a", "number", "1"), (1, "b", "string", "2")], [(0, "fields", "string", None), (1, "c", "string", "3")], [], None, []]
     assert all(not t["nodes"] for t in found[:7] if t) and not entries[7] and not entries[8]
     assert [t["nodes"][0]["items"] and t["nodes"][0]["items"][0]["key"] for t in found[7:]] == [[], "b"] and found[8]["nodes"][0]["items"][0]["items"] == []
